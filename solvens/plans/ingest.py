@@ -369,7 +369,8 @@ _corr = " union all ".join(
 )
 
 ORACLES = {
-    "scan_filings": with_tables("select * from raw_filings", "raw_filings"),
+    # An empty CSV field is a missing value.
+    "scan_filings": with_tables("select * replace (nullif(x2,'') as x2) from raw_filings", "raw_filings"),
     "scan_statements": with_tables(
         "select ticker, statement, freq, line_item, make_date(period,12,31) as period, value from statements_long",
         "statements_long",

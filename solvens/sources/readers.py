@@ -65,12 +65,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     """Overwrite ``path``; csv keeps a header and no row index."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        # Blanks are data here; empty text stays apart from NULL.
+        # Outer blanks are data here; an empty field reads back as NULL.
         writer = (
             writer.option("header", True)
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
-            .option("emptyValue", '""')
         )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
