@@ -47,13 +47,17 @@ def confidence(probs) -> Column:
     return round_half_even(F.array_max(col(probs)) * 100, 2)
 
 
+def _times(weight: float):
+    return lambda v: v * weight
+
+
 def weighted_blend(prob_columns: list, weights: list[float]) -> Column:
     """Class-wise weighted sum of several probability arrays."""
     if len(prob_columns) != len(weights):
         raise ValueError("one weight per probability column is needed")
-    out = F.transform(col(prob_columns[0]), lambda v: v * weights[0])
+    out = F.transform(col(prob_columns[0]), _times(weights[0]))
     for column, weight in zip(prob_columns[1:], weights[1:]):
-        out = F.zip_with(out, col(column), lambda a, b, w=weight: a + b * w)
+        out = F.zip_with(out, F.transform(col(column), _times(weight)), lambda a, b: a + b)
     return out
 
 

@@ -16,6 +16,7 @@ from solvens.functions.numeric import round_half_even
 from solvens.functions.ordering import BUCKET, quantile_buckets, running_totals, with_neighbour
 from solvens.functions.text import class_name
 from solvens.schemas import CLASS_NAMES
+from solvens.session import materialise
 
 CLASSES = list(range(len(CLASS_NAMES)))
 
@@ -179,9 +180,9 @@ def score_counts(df: DataFrame, probs: list[str], truth: str = "target", by: lis
     )
 
 
-def _cumulated(df: DataFrame, probs: list[str], truth: str, by: list[str], buckets: int) -> DataFrame:
+def _cumulated(counts: DataFrame, by: list[str], buckets: int) -> DataFrame:
     part = [*by, "class_id"]
-    counts = score_counts(df, probs, truth, by).withColumn("rank", -F.col("score"))
+    counts = counts.withColumn("rank", -F.col("score"))
     cum = running_totals(counts, part, "rank", ["pos", "neg"], buckets)
     totals = counts.groupBy(*part).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return cum.join(F.broadcast(totals), part)
@@ -195,7 +196,9 @@ def roc_curve(df: DataFrame, probs: list[str], truth: str = "target", by: list[s
     """
     by = list(by)
     part = [*by, "class_id"]
-    cum = _cumulated(df, probs, truth, by, buckets)
+    # Read several times below; written once instead of scanning the rows again.
+    counts = materialise(score_counts(df, probs, truth, by), "score-counts")
+    cum = _cumulated(counts, by, buckets)
     if drop_collinear:
         ahead = with_neighbour(cum, part, "rank", ["pos", "neg"], ahead=True, buckets=buckets)
         first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
@@ -209,7 +212,7 @@ def roc_curve(df: DataFrame, probs: list[str], truth: str = "target", by: list[s
         ratio0(F.col("cum_neg"), F.col("N")).alias("fpr"),
         ratio0(F.col("cum_pos"), F.col("P")).alias("tpr"),
     )
-    starts = score_counts(df, probs, truth, by).select(*part).distinct().select(
+    starts = counts.select(*part).distinct().select(
         *part,
         F.lit(float("inf")).alias("score"),
         F.lit(0).cast("bigint").alias("fp"),
@@ -227,7 +230,7 @@ def roc_auc(df: DataFrame, probs: list[str], truth: str = "target", by: list[str
     height ``cum_pos - pos / 2``; twice that is an integer.
     """
     by = list(by)
-    cum = _cumulated(df, probs, truth, by, buckets)
+    cum = _cumulated(materialise(score_counts(df, probs, truth, by), "score-counts"), by, buckets)
     twice = F.col("neg").cast("decimal(19,0)") * (2 * F.col("cum_pos") - F.col("pos")).cast("decimal(19,0)")
     area = cum.groupBy(*by, "class_id").agg(F.sum(twice).alias("a"), F.max("P").alias("P"), F.max("N").alias("N"))
     full = 2 * F.col("P").cast("double") * F.col("N").cast("double")
@@ -242,6 +245,7 @@ def roc_macro(df: DataFrame, probs: list[str], truth: str = "target", drop_colli
     outside a bucket come from bucket edges, so no window spans the curve.
     """
     points = roc_curve(df, probs, truth, drop_collinear=drop_collinear, buckets=buckets)
+    points = materialise(points.select("class_id", "fpr", "tpr"), "roc-points")
     knots = points.groupBy("class_id", "fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
     n = len(probs)
     spread = F.array(
@@ -291,6 +295,7 @@ def roc_macro(df: DataFrame, probs: list[str], truth: str = "target", drop_colli
 
 def curve_area(curve: DataFrame, x: str = "fpr", y: str = "mean_tpr", buckets: int = 64) -> DataFrame:
     """Trapezoid area under one curve with distinct ``x``."""
+    curve = materialise(curve.select(x, y), "curve")
     steps = with_neighbour(curve, [], x, [x, y], ahead=False, buckets=buckets)
     width = F.col(x) - F.col(f"prev_{x}")
     return steps.agg(F.sum(width * (F.col(y) + F.col(f"prev_{y}")) / 2).alias("auc"))
