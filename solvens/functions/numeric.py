@@ -40,51 +40,20 @@ def total(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def _splittable(x: Column) -> Column:
-    """Finite and small enough that a scaled value still fits a BIGINT."""
-    return F.abs(x) < 1e13
-
-
-def scaled_half_even(x, digits: int) -> Column:
-    """``x * 10**digits`` as BIGINT, rounded half-even on the exact binary value.
+def fixed_text(x, digits: int, thousands: bool = False) -> Column:
+    """Fixed-point text, rounded half-even on the exact binary value.
 
-    ``round`` works on the shortest decimal text of a double and would turn
-    2.675 into 2.68.  The product's rounding error is recovered by splitting
-    ``x`` into two halves (Dekker 1971), so a tie is seen as a tie only when it
-    is one.  NULL for values outside ``_splittable``.
+    ``round`` and ``format_string`` work on the shortest decimal text of a
+    double and would turn 2.675 into 2.68; ``format_number`` does not.
     """
-    raw = col(x).cast("double")
-    x = F.when(_splittable(raw), raw)
-    scale = F.lit(float(10**digits))
-    split = x * F.lit(134217729.0)
-    high = split - (split - x)
-    low = x - high
-    product = x * scale
-    error = (high * scale - product) + low * scale
-    whole = F.floor(product)
-    frac = product - whole
-    odd = F.pmod(whole, F.lit(2)) == 1
-    up = (frac > 0.5) | ((frac == 0.5) & ((error > 0) | ((error == 0) & odd)))
-    return whole + up.cast("bigint")
+    pattern = ("#,##0" if thousands else "0") + "." + "0" * digits
+    return F.call_function("format_number", col(x).cast("double"), F.lit(pattern))
 
 
 def round_half_even(x, digits: int) -> Column:
-    """Rounded double; values too large to hold such a fraction pass unchanged."""
-    x = col(x).cast("double")
-    return F.when(_splittable(x), scaled_half_even(x, digits) / F.lit(float(10**digits))).otherwise(x)
-
-
-def fixed_text(x, digits: int, thousands: bool = False) -> Column:
-    """Fixed-point text with ``digits`` decimals; the sign survives rounding to zero."""
     x = col(x).cast("double")
-    r = scaled_half_even(F.abs(x), digits)
-    unit = F.lit(10**digits)
-    cents = r % unit
-    whole = F.format_string("%,d" if thousands else "%d", ((r - cents) / unit).cast("bigint"))
-    text = F.concat(whole, F.lit("."), F.lpad(cents.cast("string"), digits, "0"))
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    wide = F.format_string(f"%{',' if thousands else ''}.{digits}f", x)
-    return F.when(_splittable(x), F.concat(sign, text)).when(x.isNotNull(), wide)
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(finite, fixed_text(x, digits).cast("double")).otherwise(x)
 
 
 def percent_text(x, digits: int = 1) -> Column:
