@@ -132,10 +132,13 @@ def _search(queries: DataFrame, data: DataFrame, k: int, block: int) -> DataFram
         .select("cls", "cell", "blk", "part", "pid", "vec", "mult")
     )
     group = ["cls", "cell", "blk", "part"]
+    # Own names on the query side: both sides may stem from one table.
+    q = q.toDF(*[f"q_{c}" for c in q.columns])
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"cls": [], "pid": [], "other": [], "dist": [], "mult": [], "vec": []})
+        left = left.rename(columns=lambda c: c[2:])
         right = right.sort_values("pid", ignore_index=True)
         d = _distances(_matrix(left["vec"]), _matrix(right["vec"]))
         d[left["pid"].to_numpy()[:, None] == right["pid"].to_numpy()[None, :]] = np.inf
@@ -155,7 +158,7 @@ def _search(queries: DataFrame, data: DataFrame, k: int, block: int) -> DataFram
             }
         )
 
-    return q.groupBy(*group).cogroup(p.groupBy(*group)).applyInPandas(nearest, HIT_SCHEMA)
+    return q.groupBy(*[f"q_{c}" for c in group]).cogroup(p.groupBy(*group)).applyInPandas(nearest, HIT_SCHEMA)
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
