@@ -137,7 +137,7 @@ def _search(queries: DataFrame, data: DataFrame, k: int, block: int) -> DataFram
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"cls": [], "pid": [], "other": [], "dist": [], "mult": [], "vec": []})
+            return _no_hits()
         left = left.rename(columns=lambda c: c[2:])
         right = right.sort_values("pid", ignore_index=True)
         d = _distances(_matrix(left["vec"]), _matrix(right["vec"]))
@@ -147,6 +147,8 @@ def _search(queries: DataFrame, data: DataFrame, k: int, block: int) -> DataFram
         cols = best.ravel()
         keep = np.isfinite(d[rows, cols])
         rows, cols = rows[keep], cols[keep]
+        if not len(rows):
+            return _no_hits()
         return pd.DataFrame(
             {
                 "cls": left["cls"].to_numpy()[rows],
@@ -161,6 +163,12 @@ def _search(queries: DataFrame, data: DataFrame, k: int, block: int) -> DataFram
     return q.groupBy(*[f"q_{c}" for c in group]).cogroup(p.groupBy(*group)).applyInPandas(nearest, HIT_SCHEMA)
 
 
+def _no_hits() -> pd.DataFrame:
+    # Typed columns: Arrow cannot turn an empty numeric column into arrays.
+    kinds = {"cls": "int32", "pid": object, "other": object, "dist": float, "mult": "int64", "vec": object}
+    return pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
+
+
 def _best(hits: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("cls", "pid").orderBy("dist", "other")
     return hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
