@@ -126,15 +126,16 @@ def _attribute(x: np.ndarray, tables: list[LeafTable]) -> np.ndarray:
     return out
 
 
-def tree_attributions(
+def attribution_items(
     model: SoftmaxBoostModel,
     df: DataFrame,
-    keys: list[str],
+    keep: list[str],
     names: list[str],
     features: str = "features",
     predicted: str | None = "pred",
 ) -> DataFrame:
-    """Long table (keys, class_id, feature, phi, actual).
+    """One row per input row (and class): ``keep`` columns, ``class_id`` and ``items``,
+    an array of (feature, phi, actual) that the report takes as it is.
 
     Attributions explain margins: per row and class they sum to the margin minus
     the class's base value (``base_values``).  With ``predicted`` only the
@@ -145,10 +146,9 @@ def tree_attributions(
     tables = [ensemble_tables(saved_nodes(m, spark), weight)[1] for m in model.ensembles]
     shared = spark.sparkContext.broadcast(tables)
     chosen = [F.col(predicted).cast("int").alias("_pred")] if predicted else []
-    rows = df.select(*keys, vector_to_array(features).alias("_x"), *chosen)
-    key_types = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes)
+    rows = df.select(*keep, vector_to_array(features).alias("_x"), *chosen)
+    kept_types = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes)
     classes = range(model.classes)
-    p = len(names)
 
     def run(batches):
         for batch in batches:
@@ -157,16 +157,24 @@ def tree_attributions(
             x = np.stack(batch["_x"].to_numpy()).astype(float)
             for k in classes:
                 at = np.nonzero(batch["_pred"].to_numpy() == k)[0] if predicted else np.arange(len(batch))
-                if not len(at):
-                    continue
-                phi = _attribute(x[at], shared.value[k])
-                out = {c: np.repeat(batch[c].to_numpy()[at], p) for c in keys}
-                out["class_id"] = np.full(len(at) * p, k, dtype=np.int32)
-                out["feature"] = np.tile(np.array(names, dtype=object), len(at))
-                out["phi"], out["actual"] = phi.ravel(), x[at].ravel()
-                yield pd.DataFrame(out)
-
-    return rows.mapInPandas(run, f"{key_types}, class_id int, feature string, phi double, actual double")
+                if len(at):
+                    phi = _attribute(x[at], shared.value[k])
+                    part = batch[keep].iloc[at]
+                    yield part.assign(class_id=np.int32(k), _phi=list(phi), _actual=list(x[at]))
+
+    done = rows.mapInPandas(run, f"{kept_types}, class_id int, _phi array<double>, _actual array<double>")
+    labels = F.array(*[F.lit(n) for n in names])
+    items = F.transform(
+        labels,
+        lambda n, i: F.struct(n.alias("feature"), F.get("_phi", i).alias("phi"), F.get("_actual", i).alias("actual")),
+    )
+    return done.select(*keep, "class_id", items.alias("items"))
+
+
+def tree_attributions(model: SoftmaxBoostModel, df: DataFrame, keys: list[str], names: list[str], features: str = "features", predicted: str | None = "pred") -> DataFrame:
+    """Long table (keys, class_id, feature, phi, actual) of ``attribution_items``."""
+    nested = attribution_items(model, df, keys, names, features, predicted)
+    return nested.select(*keys, "class_id", F.inline("items"))
 
 
 def base_values(model: SoftmaxBoostModel, spark) -> list[float]:

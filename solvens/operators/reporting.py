@@ -6,6 +6,9 @@ at most one line per feature, so lists per row stay small.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -78,31 +81,59 @@ def _value_parts(feature: Column, value: Column) -> dict[str, Column]:
     }
 
 
-def explain(df: DataFrame, feature: str = "feature", value: str = "actual", side: str = "side", concise: bool = False, name: str = "explanation") -> DataFrame:
-    """Add the sentence for a feature, its value and the side it is listed on."""
+_COMPARE = {"<=": operator.le, ">=": operator.ge, "<": operator.lt, ">": operator.gt}
+
+
+def _meets(test: str | None, value: Column) -> Column:
+    """Column of a rule's test, e.g. ``v >= 10.0 or v < 0``; a missing value meets none."""
+    if test is None:
+        return F.lit(True)
+    parts = [_COMPARE[op](value, float(limit)) for _, op, limit in (t.split() for t in test.split(" or "))]
+    return F.coalesce(reduce(lambda a, b: a | b, parts), F.lit(False))
+
+
+def explanation(feature: Column, value: Column, side: Column, concise: bool = False, parts: dict[str, Column] | None = None) -> Column:
+    """The sentence for a feature, its value and the side it is listed on."""
     rules, other = (
         (wording.CONCISE, wording.CONCISE_OTHER) if concise else (wording.DETAILED, wording.DETAILED_OTHER)
     )
-    work = df.withColumns({"v": F.col(value), "_f": F.col(feature), "_s": F.col(side)})
-    # Texts become columns first, so that each is computed once and not per branch.
-    texts = _value_parts(F.col("_f"), F.col("v"))
-    work = work.withColumns({f"_p_{k}": c for k, c in texts.items()})
-    parts = {k: F.col(f"_p_{k}") for k in texts}
+    parts = parts or _value_parts(feature, value)
 
     def chain(branches) -> Column:
         out = None
         for test, on_side, sentence in branches:
-            cond = F.lit(True) if test is None else F.coalesce(F.expr(test), F.lit(False))
+            cond = _meets(test, value)
             if on_side:
-                cond = cond & (F.col("_s") == on_side)
+                cond = cond & (side == on_side)
             text = _fill(sentence, parts)
             out = F.when(cond, text) if out is None else out.when(cond, text)
         return out
 
     text = None
     for f, branches in rules.items():
-        text = F.when(F.col("_f") == f, chain(branches)) if text is None else text.when(F.col("_f") == f, chain(branches))
-    return work.withColumn(name, text.otherwise(chain(other))).drop("v", "_f", "_s", *[f"_p_{k}" for k in texts])
+        text = F.when(feature == f, chain(branches)) if text is None else text.when(feature == f, chain(branches))
+    return text.otherwise(chain(other))
+
+
+def explain(df: DataFrame, feature: str = "feature", value: str = "actual", side: str = "side", concise: bool = False, name: str = "explanation") -> DataFrame:
+    """Add the explanation to a long table."""
+    # Texts become columns first, so that each is computed once and not per branch.
+    texts = _value_parts(F.col(feature), F.col(value))
+    work = df.withColumns({f"_p_{k}": c for k, c in texts.items()})
+    parts = {k: F.col(f"_p_{k}") for k in texts}
+    text = explanation(F.col(feature), F.col(value), F.col(side), concise, parts)
+    return work.withColumn(name, text).drop(*[f"_p_{k}" for k in texts])
+
+
+def _impact(phi: Column, positive, healthy: Column) -> Column:
+    size = fixed_text(phi, 2)
+    plus = F.concat(F.lit("+"), size)
+    return (
+        F.when(positive & healthy, F.concat(plus, F.lit(" toward Healthy")))
+        .when(positive, plus)
+        .when(healthy, size)
+        .otherwise(F.concat(F.lit("+"), fixed_text(F.abs(phi), 2), F.lit(" buffer")))
+    )
 
 
 def risk_factors(df: DataFrame, keys: list[str], predicted: str = "pred", concise: bool = False) -> DataFrame:
@@ -124,13 +155,7 @@ def risk_factors(df: DataFrame, keys: list[str], predicted: str = "pred", concis
     ranked = picked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= POSITIVE_LIMIT)
     ranked = ranked.filter(F.col("rank") <= limit)
     side = F.when((F.col("_sign") == 1) == healthy, F.lit(wording.HEALTH)).otherwise(F.lit(wording.RISK))
-    size = fixed_text("phi", 2)
-    impact = (
-        F.when((F.col("_sign") == 1) & healthy, F.concat(F.lit("+"), size, F.lit(" toward Healthy")))
-        .when(F.col("_sign") == 1, F.concat(F.lit("+"), size))
-        .when(healthy, size)
-        .otherwise(F.concat(F.lit("+"), fixed_text(F.abs("phi"), 2), F.lit(" buffer")))
-    )
+    impact = _impact(F.col("phi"), F.col("_sign") == 1, healthy)
     out = ranked.withColumns(
         {
             "side": side,
@@ -144,11 +169,44 @@ def risk_factors(df: DataFrame, keys: list[str], predicted: str = "pred", concis
     return explain(out, concise=concise).drop("_sign")
 
 
-def factor_lists(factors: DataFrame, keys: list[str]) -> DataFrame:
-    """Both factor lists of a row as arrays of structs, strongest first."""
-    item = F.struct("rank", "feature", "name", "actual_text", "impact", "phi_shown", "explanation")
-    lists = {s: F.sort_array(F.collect_list(F.when(F.col("side") == s, item))) for s in (wording.RISK, wording.HEALTH)}
-    return factors.groupBy(*keys).agg(*[c.alias(f"{s}_factors") for s, c in lists.items()])
+def factor_arrays(items, predicted, concise: bool = False) -> tuple[Column, Column]:
+    """The same selection on a row that carries its attributions as an array.
+
+    ``items`` is an array of (feature, phi, actual).  Everything happens inside
+    the row: no attribution is exploded, shuffled or collected again.
+    """
+    items, healthy = col(items), col(predicted) == HEALTHY
+
+    def strongest(keep, limit) -> Column:
+        kept = F.filter(items, lambda f: f["feature"].isin(ESSENTIAL_FEATURES) & keep(f["phi"]))
+        by_size = F.transform(kept, lambda f: F.struct((-F.abs(f["phi"])).alias("order"), f["feature"].alias("feature"), f["phi"].alias("phi"), f["actual"].alias("actual")))
+        return F.slice(F.array_sort(by_size), F.lit(1), limit)
+
+    def shown(picked: Column, positive: bool) -> Column:
+        side = F.when(healthy == F.lit(positive), F.lit(wording.HEALTH)).otherwise(F.lit(wording.RISK))
+        return F.transform(
+            picked,
+            lambda f, i: F.struct(
+                (i + 1).alias("rank"),
+                f["feature"].alias("feature"),
+                friendly_name(f["feature"]).alias("name"),
+                format_value(f["feature"], f["actual"]).alias("actual_text"),
+                _impact(f["phi"], F.lit(positive), healthy).alias("impact"),
+                round_half_even(f["phi"], 4).alias("phi_shown"),
+                explanation(f["feature"], f["actual"], side, concise).alias("explanation"),
+            ),
+        )
+
+    few = F.when(healthy, F.lit(NEGATIVE_LIMIT_HEALTHY)).otherwise(F.lit(NEGATIVE_LIMIT_OTHER))
+    above = shown(strongest(lambda phi: phi >= POSITIVE_PHI, F.lit(POSITIVE_LIMIT)), True)
+    below = shown(strongest(lambda phi: phi <= NEGATIVE_PHI, few), False)
+    return F.when(healthy, below).otherwise(above), F.when(healthy, above).otherwise(below)
+
+
+def with_items(rows: DataFrame, attributions: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach a long attribution table as an array per row; a row has one line per feature."""
+    nested = attributions.groupBy(*keys).agg(F.collect_list(F.struct("feature", "phi", "actual")).alias("items"))
+    return rows.join(nested, keys, "left")
 
 
 def summary_text(predicted, conf, coverage, leverage, margin, risk_names, health_names) -> Column:
@@ -240,32 +298,29 @@ def score_columns(df: DataFrame, probs: str = "probs") -> DataFrame:
     )
 
 
-def risk_report(scored: DataFrame, attributions: DataFrame, keys: list[str], title: Column, subtitle: Column, concise: bool = False) -> DataFrame:
+def risk_report(scored: DataFrame, keys: list[str], title: Column, subtitle: Column, items: str = "items", concise: bool = False) -> DataFrame:
     """One nested document per scored row.
 
-    ``scored`` holds the probability array and the ratio columns,
-    ``attributions`` one line per row and feature for the predicted class.
-    Both are joined once on the row key.
+    ``scored`` holds the probability array, the ratio columns and the row's
+    attributions for its predicted class (array of feature, phi, actual).  The
+    whole report is a projection: it needs no shuffle.
     """
     rows = score_columns(scored)
-    with_pred = attributions.join(rows.select(*keys, "pred"), keys)
-    lists = factor_lists(risk_factors(with_pred, keys, concise=concise), keys)
-    full = rows.join(lists, keys, "left")
-    names = lambda c: F.coalesce(F.transform(c, lambda f: f["name"]), F.array().cast("array<string>"))
+    listed = F.coalesce(F.col(items), F.expr("cast(array() as array<struct<feature:string,phi:double,actual:double>>)"))
+    risk, health = factor_arrays(listed, "pred", concise)
+    full = rows.withColumns({"risk_factors": risk, "health_factors": health})
+    names = lambda c: F.transform(c, lambda f: f["name"])
     summary = summary_text(
         "pred",
         "confidence",
         "interest_coverage",
         "debt_to_equity",
         "operating_margin",
-        names(F.col("risk_factors")),
-        names(F.col("health_factors")),
+        names("risk_factors"),
+        names("health_factors"),
     )
     chart = F.transform(
-        F.concat(
-            F.coalesce("health_factors", F.expr(EMPTY_LIST)),
-            F.coalesce("risk_factors", F.expr(EMPTY_LIST)),
-        ),
+        F.concat("health_factors", "risk_factors"),
         lambda f: F.struct(
             f["name"].alias("feature"),
             f["phi_shown"].alias("value"),
@@ -296,10 +351,6 @@ def risk_report(scored: DataFrame, attributions: DataFrame, keys: list[str], tit
     )
 
 
-EMPTY_LIST = (
-    "cast(array() as array<struct<rank:int,feature:string,name:string,actual_text:string,"
-    "impact:string,phi_shown:double,explanation:string>>)"
-)
 RATIO_LINES = {
     "Sales": "sales",
     "Net profit": "net_profit",

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from solvens.functions.numeric import round_half_even
 from solvens.functions.ordering import digest_bucket, row_numbers, stable_key
 from solvens.schemas import CLASS_NAMES
+from solvens.session import materialise
 
 CLASSES = list(range(len(CLASS_NAMES)))
 
@@ -42,6 +43,8 @@ def group_folds(df: DataFrame, group: str = "company", target: str = "target", k
         (-F.col("size")).alias("_big"),
         stable_key(group, seed=seed).alias("_key"),
     ).withColumn("_head", digest_bucket(F.col("_key"), 2))
+    # One row per group, read several times by the ranking; the rows of ``df`` are scanned once.
+    keyed = materialise(keyed, "groups")
     ranked = row_numbers(keyed, ["stratum"], ["_big", "_head"], ["_key", group], "position")
     return ranked.select(group, "stratum", "size", snake_fold(F.col("position"), k).alias("fold"))
 

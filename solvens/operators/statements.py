@@ -239,37 +239,31 @@ def growth_rates(df: DataFrame, metrics: list[Metric] = GROWTH_METRICS, period:
     """Change between the two newest values of the first candidate that has two and a
     non-zero older one.
 
-    The ranking keeps two rows per line item; Spark applies such a limit before
-    the shuffle as well (WindowGroupLimit), so long histories do not travel.
+    The ranking keeps two rows per line item, values before gaps; Spark applies
+    such a limit before the shuffle as well (WindowGroupLimit), so long
+    histories do not travel.  Every line item keeps a row, which tells whether
+    its statement is reported annually.
     """
     items = sorted({(m.statement, c) for m in metrics for c in m.candidates})
-    wanted = None
-    for s, c in items:
-        hit = (F.col("statement") == s) & (F.col("line_item") == c)
-        wanted = hit if wanted is None else wanted | hit
     value = nan_to_null("value")
-    newest_first = W.partitionBy("ticker", "statement", "freq", "line_item").orderBy(F.col(period).desc())
+    newest_first = W.partitionBy("ticker", "statement", "freq", "line_item").orderBy(
+        F.col("_v").isNull(), F.col(period).desc()
+    )
     two = (
-        df.filter(wanted & value.isNotNull())
+        df.select("ticker", "statement", "freq", "line_item", period, value.alias("_v"))
         .withColumn("_rn", F.row_number().over(newest_first))
         .filter("_rn <= 2")
     )
-    aggs = []
+    aggs = [
+        F.max(((F.col("statement") == s) & (F.col("freq") == "annual")).cast("int")).alias(f"_has_{s}")
+        for s in STATEMENTS
+    ]
     for freq in FREQUENCIES:
         for i, (s, c) in enumerate(items):
             here = (F.col("freq") == freq) & (F.col("statement") == s) & (F.col("line_item") == c)
             for n in (1, 2):
-                aggs.append(F.max(F.when(here & (F.col("_rn") == n), F.col("value"))).alias(f"_{freq}_{i}_{n}"))
-    pairs = two.groupBy("ticker").agg(*aggs)
-
-    # Whether a statement has annual rows at all is a property of all its lines.
-    flags = df.groupBy("ticker").agg(
-        *[
-            F.max(((F.col("statement") == s) & (F.col("freq") == "annual")).cast("int")).alias(f"_has_{s}")
-            for s in STATEMENTS
-        ]
-    )
-    both = flags.join(pairs, "ticker", "left")
+                aggs.append(F.max(F.when(here & (F.col("_rn") == n), F.col("_v"))).alias(f"_{freq}_{i}_{n}"))
+    both = two.groupBy("ticker").agg(*aggs)
     place = {key: i for i, key in enumerate(items)}
 
     def change(freq: str, statement: str, candidate: str) -> Column:

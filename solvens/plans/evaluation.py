@@ -25,7 +25,7 @@ def scored(spark, d) -> DataFrame:
 def predictions(spark, d) -> DataFrame:
     """Three models' predictions per filing, from one pass."""
     df = tables.labelled(spark, d)
-    near = [1 / (1 + F.abs(F.coalesce("interest_coverage", F.lit(0)) - F.lit(c))) for c in (-2, 1.75, 0.5, 4)]
+    near = tables.near_centres()
     whole = reduce(lambda a, b: a + b, near)
     margin = F.col("operating_margin")
     models = [

@@ -9,7 +9,6 @@ from solvens.functions import wording
 from solvens.functions.text import format_value, parse_value
 from solvens.operators import reporting as rp
 from solvens.plans.base import text_literal, with_tables
-from solvens.plans.evaluation import PROBS, scored
 from solvens.schemas import CLASS_NAMES, ESSENTIAL_FEATURES, FEATURE_DISPLAY_NAMES
 from solvens.sources import tables
 
@@ -89,14 +88,18 @@ def health_snapshot_shown(spark, d):
 
 
 def _report(spark, d, concise=False) -> DataFrame:
-    ratios = tables.labelled(spark, d).select(
-        *KEYS, "sales", "net_profit", "borrowings", "interest_coverage", "debt_to_equity", "operating_margin"
-    )
-    probs = scored(spark, d).select(*KEYS, "probs")
-    rows = ratios.join(probs, KEYS)
-    phi = tables.attributions(spark, d).select(*KEYS, "feature", "phi", "actual")
+    shown = ["sales", "net_profit", "borrowings", "interest_coverage", "debt_to_equity", "operating_margin"]
+    rows = tables.scored_filings(spark, d).select(*KEYS, *shown, "probs", "items")
     subtitle = F.concat(F.lit("Audited filing of fiscal year "), F.col("year").cast("string"))
-    return rp.risk_report(rows, phi, KEYS, F.col("company"), subtitle, concise)
+    return rp.risk_report(rows, KEYS, F.col("company"), subtitle, concise=concise)
+
+
+def joined_report(spark, d):
+    """The report when attributions arrive as their own long table."""
+    rows = tables.scored_filings(spark, d).drop("items")
+    rows = rp.with_items(rows, tables.attributions(spark, d).drop("target"), KEYS)
+    report = rp.risk_report(rows, KEYS, F.col("company"), F.lit(""))
+    return report.select(*KEYS, _joined("risk_factors", "impact").alias("risk_impacts"), _joined("health_factors", "explanation").alias("health_texts"))
 
 
 def summaries(spark, d):
@@ -151,6 +154,7 @@ QUERIES = {
     "summaries": summaries,
     "risk_report": risk_report,
     "report_json": report_json,
+    "joined_report": joined_report,
 }
 
 # --- SQL ---------------------------------------------------------------------
@@ -266,12 +270,14 @@ lists as (select company, year,
    list({_name_sql('feature')} order by rank) filter (where side='risk') as risk_names,
    list({_name_sql('feature')} order by rank) filter (where side='health') as health_names,
    list(feature order by rank) filter (where side='risk') as risk_ids,
+   list(impact order by rank) filter (where side='risk') as risk_impacts,
+   list({DETAILED_SQL} order by rank) filter (where side='health') as health_texts,
    list(feature order by rank) filter (where side='health') as health_ids,
    list(case when round(phi,4)>0 and pred=3 or round(phi,4)<0 and pred<>3 then 'good' else 'bad' end order by side, rank) as tones
    from factors group by company, year),
 report as (select s.company, s.year, s.pred, case s.pred when 0 then 'Bankrupt' when 1 then 'Financial Distress' when 2 then 'Probably Bankrupt' else 'Healthy' end as prediction,
    cast(format('{{:.2f}}',greatest(p0,p1,p2,p3)*100) as double) as confidence, cast(format('{{:.2f}}',p3*100) as double) as pct_healthy,
-   risk_names, health_names, risk_ids, health_ids, tones, f.sales, f.net_profit, f.borrowings, f.interest_coverage, f.debt_to_equity, f.operating_margin
+   risk_names, health_names, risk_ids, health_ids, tones, risk_impacts, health_texts, f.sales, f.net_profit, f.borrowings, f.interest_coverage, f.debt_to_equity, f.operating_margin
    from scored s join labelled f using (company, year) left join lists using (company, year))"""
 
 _ratio_texts = "||'|'||".join(
@@ -334,4 +340,9 @@ ORACLES = {
         "probs",
         "attributions",
     ),
+    "joined_report": with_tables(
+        f"+ {REPORT} select company, year, coalesce(array_to_string(risk_impacts,'|'),'') as risk_impacts, coalesce(array_to_string(health_texts,'|'),'') as health_texts from report",
+        "probs",
+        "attributions",
+    ),
 }

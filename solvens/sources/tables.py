@@ -149,25 +149,38 @@ def raw_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic class probabilities from the distance of coverage to four centres."""
     base = labelled(spark, sf_dir)
-    near = [1 / (1 + F.abs(F.coalesce("interest_coverage", F.lit(0)) - F.lit(c))) for c in (-2, 1.75, 0.5, 4)]
+    near = near_centres()
     raw = base.select("company", "year", "target", *[r.alias(f"r{i}") for i, r in enumerate(near)])
     whole = F.col("r0") + F.col("r1") + F.col("r2") + F.col("r3")
     return raw.select("company", "year", "target", *[(F.col(f"r{i}") / whole).alias(f"p{i}") for i in range(4)])
 
 
-def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic per-row feature attributions."""
+def _attribution_rows() -> list[tuple]:
     v = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rows = [
+    return [
         (F.lit("Interest_Coverage"), F.lit(0.10) * (v("interest_coverage") - 3), F.col("interest_coverage")),
         (F.lit("Debt_to_Equity"), F.lit(-0.20) * (v("debt_to_equity") - 0.5), F.col("debt_to_equity")),
         (F.lit("Operating_Margin"), F.lit(2.0) * (v("operating_margin") - 0.10), F.col("operating_margin")),
         (F.lit("Net profit"), F.lit(0.001) * (F.col("net_profit") - 50), F.col("net_profit")),
         (F.lit("Sales"), F.lit(0.0005) * (F.col("sales") - 300), F.col("sales")),
     ]
-    return _rows(
-        labelled(spark, sf_dir),
-        ["company", "year", "target"],
-        ["feature", "phi", "actual"],
-        rows,
+
+
+def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic per-row feature attributions, one line per feature."""
+    keep = ["company", "year", "target"]
+    return _rows(labelled(spark, sf_dir), keep, ["feature", "phi", "actual"], _attribution_rows())
+
+
+def scored_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings with their class probabilities and attributions as arrays, in one projection."""
+    items = F.array(
+        *[F.struct(f.alias("feature"), p.alias("phi"), a.alias("actual")) for f, p, a in _attribution_rows()]
     )
+    near = near_centres()
+    whole = near[0] + near[1] + near[2] + near[3]
+    return labelled(spark, sf_dir).select("*", F.array(*[n / whole for n in near]).alias("probs"), items.alias("items"))
+
+
+def near_centres() -> list:
+    return [1 / (1 + F.abs(F.coalesce("interest_coverage", F.lit(0)) - F.lit(c))) for c in (-2, 1.75, 0.5, 4)]
