@@ -65,21 +65,26 @@ def quantile_buckets(df: DataFrame, part: list[str], order: str, buckets: int =
     if buckets < 2:
         return df.withColumn(BUCKET, F.lit(0))
     qs = [i / buckets for i in range(1, buckets)]
-    split = F.percentile_approx(order, qs, 100 * buckets).alias("_splits")
-    if part:
-        splits = df.groupBy(*part).agg(F.array_distinct(split).alias("_splits"))
-        joined = df.join(F.broadcast(splits), part)
-    else:
-        splits = df.agg(F.array_distinct(split).alias("_splits")).withColumn("_one", F.lit(1))
-        joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(splits), "_one").drop("_one")
-    below = F.size(F.filter("_splits", lambda s: s < F.col(order)))
-    return joined.withColumn(BUCKET, below).drop("_splits")
-
-
-def running_totals(df: DataFrame, part: list[str], order: str, sums: list[str], buckets: int = 64) -> DataFrame:
-    """Add ``cum_<c>`` for each column of ``sums``; ``order`` is unique inside ``part``."""
-    cut = quantile_buckets(df, part, order, buckets)
-    per_bucket = cut.groupBy(*part, BUCKET).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    keys = part or ["_one"]
+    rows = df if part else df.withColumn("_one", F.lit(1))
+    splits = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, qs, 100 * buckets)).alias("_fine"))
+    # Two-step search: every eighth split first, then the seven up to the next one.
+    step = 8
+    splits = splits.withColumn("_coarse", F.filter("_fine", lambda s, i: (i + 1) % step == 0))
+    below = lambda array: F.size(F.filter(array, lambda s: s < F.col(order)))
+    placed = rows.join(F.broadcast(splits), keys).withColumn("_start", below("_coarse") * step)
+    return placed.withColumn(
+        BUCKET, F.col("_start") + below(F.slice("_fine", F.col("_start") + 1, F.lit(step)))
+    ).drop("_fine", "_coarse", "_start", "_one")
+
+
+def running_totals(df: DataFrame, part: list[str], order: str, sums: list[str], buckets: int = 64, base: DataFrame | None = None) -> DataFrame:
+    """Add ``cum_<c>`` for each column of ``sums``; ``order`` is unique inside ``part``.
+
+    ``base`` is the bucketed table ``df`` was made from, if its totals are cheaper to get there.
+    """
+    cut = df if BUCKET in df.columns else quantile_buckets(df, part, order, buckets)
+    per_bucket = (cut if base is None else base).groupBy(*part, BUCKET).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = _whole(part).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_bucket.select(
         *part, BUCKET, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums]

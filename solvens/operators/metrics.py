@@ -180,10 +180,13 @@ def score_counts(df: DataFrame, probs: list[str], truth: str = "target", by: lis
     )
 
 
-def _cumulated(counts: DataFrame, by: list[str], buckets: int) -> DataFrame:
+def _cumulated(counts: DataFrame, by: list[str], buckets: int, ahead: bool = False) -> DataFrame:
+    """Distinct scores from the highest down with ``cum_pos``, ``cum_neg``, the totals
+    and, if asked for, the step to the next score."""
     part = [*by, "class_id"]
-    counts = counts.withColumn("rank", -F.col("score"))
-    cum = running_totals(counts, part, "rank", ["pos", "neg"], buckets)
+    cut = quantile_buckets(counts.withColumn("rank", -F.col("score")), part, "rank", buckets)
+    rows = with_neighbour(cut, part, "rank", ["pos", "neg"], ahead=True, buckets=buckets) if ahead else cut
+    cum = running_totals(rows, part, "rank", ["pos", "neg"], buckets, base=cut)
     totals = counts.groupBy(*part).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return cum.join(F.broadcast(totals), part)
 
@@ -198,12 +201,11 @@ def roc_curve(df: DataFrame, probs: list[str], truth: str = "target", by: list[s
     part = [*by, "class_id"]
     # Read several times below; written once instead of scanning the rows again.
     counts = materialise(score_counts(df, probs, truth, by), "score-counts")
-    cum = _cumulated(counts, by, buckets)
+    cum = _cumulated(counts, by, buckets, ahead=drop_collinear)
     if drop_collinear:
-        ahead = with_neighbour(cum, part, "rank", ["pos", "neg"], ahead=True, buckets=buckets)
         first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
         bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
-        cum = ahead.filter(F.col("next_pos").isNull() | first | bend)
+        cum = cum.filter(F.col("next_pos").isNull() | first | bend)
     points = cum.select(
         *part,
         "score",

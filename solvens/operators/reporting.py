@@ -169,7 +169,7 @@ def risk_factors(df: DataFrame, keys: list[str], predicted: str = "pred", concis
     return explain(out, concise=concise).drop("_sign")
 
 
-def factor_arrays(items, predicted, concise: bool = False) -> tuple[Column, Column]:
+def factor_array(items, predicted, concise: bool = False) -> Column:
     """The same selection on a row that carries its attributions as an array.
 
     ``items`` is an array of (feature, phi, actual).  Everything happens inside
@@ -177,30 +177,45 @@ def factor_arrays(items, predicted, concise: bool = False) -> tuple[Column, Colu
     """
     items, healthy = col(items), col(predicted) == HEALTHY
 
-    def strongest(keep, limit) -> Column:
+    def strongest(keep, positive: bool, limit) -> Column:
         kept = F.filter(items, lambda f: f["feature"].isin(ESSENTIAL_FEATURES) & keep(f["phi"]))
-        by_size = F.transform(kept, lambda f: F.struct((-F.abs(f["phi"])).alias("order"), f["feature"].alias("feature"), f["phi"].alias("phi"), f["actual"].alias("actual")))
-        return F.slice(F.array_sort(by_size), F.lit(1), limit)
-
-    def shown(picked: Column, positive: bool) -> Column:
-        side = F.when(healthy == F.lit(positive), F.lit(wording.HEALTH)).otherwise(F.lit(wording.RISK))
-        return F.transform(
-            picked,
-            lambda f, i: F.struct(
-                (i + 1).alias("rank"),
+        by_size = F.transform(
+            kept,
+            lambda f: F.struct(
+                (-F.abs(f["phi"])).alias("order"),
                 f["feature"].alias("feature"),
-                friendly_name(f["feature"]).alias("name"),
-                format_value(f["feature"], f["actual"]).alias("actual_text"),
-                _impact(f["phi"], F.lit(positive), healthy).alias("impact"),
-                round_half_even(f["phi"], 4).alias("phi_shown"),
-                explanation(f["feature"], f["actual"], side, concise).alias("explanation"),
+                f["phi"].alias("phi"),
+                f["actual"].alias("actual"),
             ),
         )
+        first = F.slice(F.array_sort(by_size), F.lit(1), limit)
+        return F.transform(first, lambda f, i: F.struct((i + 1).alias("rank"), F.lit(positive).alias("positive"), f.alias("f")))
 
     few = F.when(healthy, F.lit(NEGATIVE_LIMIT_HEALTHY)).otherwise(F.lit(NEGATIVE_LIMIT_OTHER))
-    above = shown(strongest(lambda phi: phi >= POSITIVE_PHI, F.lit(POSITIVE_LIMIT)), True)
-    below = shown(strongest(lambda phi: phi <= NEGATIVE_PHI, few), False)
-    return F.when(healthy, below).otherwise(above), F.when(healthy, above).otherwise(below)
+    picked = F.concat(
+        strongest(lambda phi: phi >= POSITIVE_PHI, True, F.lit(POSITIVE_LIMIT)),
+        strongest(lambda phi: phi <= NEGATIVE_PHI, False, few),
+    )
+
+    def describe(p: Column) -> Column:
+        f, phi = p["f"], p["f"]["phi"]
+        side = F.when(p["positive"] == healthy, F.lit(wording.HEALTH)).otherwise(F.lit(wording.RISK))
+        return F.struct(
+            side.alias("side"),
+            p["rank"].alias("rank"),
+            f["feature"].alias("feature"),
+            friendly_name(f["feature"]).alias("name"),
+            format_value(f["feature"], f["actual"]).alias("actual_text"),
+            _impact(phi, p["positive"], healthy).alias("impact"),
+            round_half_even(phi, 4).alias("phi_shown"),
+            explanation(f["feature"], f["actual"], side, concise).alias("explanation"),
+        )
+
+    return F.transform(picked, describe)
+
+
+def _on_side(factors: str, side: str) -> Column:
+    return F.filter(factors, lambda f: f["side"] == side)
 
 
 def with_items(rows: DataFrame, attributions: DataFrame, keys: list[str]) -> DataFrame:
@@ -307,8 +322,10 @@ def risk_report(scored: DataFrame, keys: list[str], title: Column, subtitle: Col
     """
     rows = score_columns(scored)
     listed = F.coalesce(F.col(items), F.expr("cast(array() as array<struct<feature:string,phi:double,actual:double>>)"))
-    risk, health = factor_arrays(listed, "pred", concise)
-    full = rows.withColumns({"risk_factors": risk, "health_factors": health})
+    full = rows.withColumn("_factors", factor_array(listed, "pred", concise))
+    full = full.withColumns(
+        {"risk_factors": _on_side("_factors", wording.RISK), "health_factors": _on_side("_factors", wording.HEALTH)}
+    )
     names = lambda c: F.transform(c, lambda f: f["name"])
     summary = summary_text(
         "pred",
