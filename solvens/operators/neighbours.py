@@ -38,10 +38,15 @@ def _pivots(points: DataFrame, max_pivots: int) -> dict[int, np.ndarray]:
     wanted = {c: min(max_pivots, max(1, math.isqrt(n))) for c, n in sizes.items()}
     if not wanted:
         return {}
-    # ``limit`` inside a class keeps the driver's share at max_pivots rows.
+    # A hash keeps about twice the wanted points of a class; only these are ranked.
+    share = F.lit(1.0)
+    for c, n in sizes.items():
+        share = F.when(F.col("cls") == c, F.lit(1.0 if n <= 64 else 2.0 * wanted[c] / n)).otherwise(share)
+    drawn = F.pmod(F.xxhash64("pid"), F.lit(1 << 40)) < share * float(1 << 40)
     w = W.partitionBy("cls").orderBy("_key", "pid")
     picked = (
-        points.withColumn("_key", stable_key("pid"))
+        points.filter(drawn)
+        .withColumn("_key", stable_key("pid"))
         .withColumn("_rn", F.row_number().over(w))
         .filter(F.col("_rn") <= max(wanted.values()))
         .select("cls", "_rn", "vec")
@@ -51,6 +56,8 @@ def _pivots(points: DataFrame, max_pivots: int) -> dict[int, np.ndarray]:
     for r in sorted(picked, key=lambda r: (r.cls, r._rn)):
         if r._rn <= wanted[r.cls]:
             found.setdefault(r.cls, []).append(r.vec)
+    for c in sizes.keys() - found.keys():
+        found[c] = [points.filter(F.col("cls") == c).select("vec").first().vec]
     return {c: np.array(v, dtype=float) for c, v in found.items()}
 
 
@@ -174,8 +181,11 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
 
 
-def nearest_points(points: DataFrame, k: int = 5, block: int = 2000, max_pivots: int = 16384) -> DataFrame:
-    """(cls, pid, other, dist, mult, vec): the k nearest distinct points of every point, by rank ``_rn``."""
+def nearest_points(points: DataFrame, k: int = 5, block: int = 2000, max_pivots: int = 16384, queries: DataFrame | None = None) -> DataFrame:
+    """(cls, pid, other, dist, mult, vec): the k nearest distinct points of every point, by rank ``_rn``.
+
+    ``queries`` (cls, pid) names the points whose neighbours are wanted, all by default.
+    """
     points = materialise(points.select("cls", "vec", "pid", "mult"), "points")
     pivots = _pivots(points, max_pivots)
     if not pivots:
@@ -186,11 +196,12 @@ def nearest_points(points: DataFrame, k: int = 5, block: int = 2000, max_pivots:
     for c in pivots:
         own = sorted((r.cell, r.radius) for r in stats if r.cls == c)
         cells[c] = (np.array([i for i, _ in own], dtype=np.int32), np.array([r for _, r in own]))
-    first = materialise(_best(_search(placed.select("cls", "cell", "pid", "vec"), placed, k, block), k), "near")
+    wanted = placed if queries is None else placed.join(queries.select("cls", "pid"), ["cls", "pid"], "left_semi")
+    first = materialise(_best(_search(wanted.select("cls", "cell", "pid", "vec"), placed, k, block), k), "near")
     bound = first.groupBy("cls", "pid").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound")
     )
-    asking = placed.join(bound, ["cls", "pid"], "left").select(
+    asking = wanted.join(bound, ["cls", "pid"], "left").select(
         "cls", "pid", "vec", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound")
     )
     visits = materialise(_other_cells(asking, pivots, cells), "visits")
@@ -216,5 +227,7 @@ def neighbour_slots(points: DataFrame, k: int = 5, **options) -> DataFrame:
             lambda n: F.array_repeat(F.struct(n["dist"].alias("dist"), n["vec"].alias("vec")), n["times"]),
         )
     )
-    joined = points.join(lists, ["cls", "pid"], "left")
+    queries = options.get("queries")
+    wanted = points if queries is None else points.join(queries.select("cls", "pid"), ["cls", "pid"], "left_semi")
+    joined = wanted.join(lists, ["cls", "pid"], "left")
     return joined.select("cls", "pid", "vec", "mult", F.slice(F.concat(own, others), 1, k).alias("slots"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from solvens.functions.ordering import digest_bucket, row_numbers, stable_key
 from solvens.operators.neighbours import distinct_points, neighbour_slots
+from solvens.session import materialise
 
 
 def unit_interval(*columns: Column, seed: int) -> Column:
@@ -52,8 +53,10 @@ def smote(df: DataFrame, features: list[str], target: str, row_id: str, k: int =
         .agg(F.sum("n").alias("n"))
         .filter("n > 0")
     )
-    slots = neighbour_slots(distinct_points(minority, target, row_id, features), k, **options)
-    bases = todo.join(slots, ["cls", "vec"])
+    # Points are read several times by the search; neighbours are looked up for bases only.
+    points = materialise(distinct_points(minority, target, row_id, features), "points")
+    todo = materialise(todo.join(points, ["cls", "vec"]).select("cls", "pid", "n"), "bases")
+    bases = todo.join(neighbour_slots(points, k, queries=todo, **options), ["cls", "pid"])
 
     # A point with very many new rows is cut into runs first, so they spread over tasks.
     run = 1000

@@ -45,7 +45,7 @@ def boosted(vectors):
     return SoftmaxBoost(rounds=4, max_depth=3, learning_rate=0.5, checkpoint_interval=2).fit(vectors)
 
 
-@pytest.mark.parametrize("block, max_pivots", [(2000, 16384), (7, 3), (5, 1)])
+@pytest.mark.parametrize("block, max_pivots", [(2000, 16384), (7, 3)])
 def test_neighbours_equal_brute_force(spark, table, block, max_pivots):
     points = distinct_points(table, "target", "row_id", COLUMNS)
     got = {}
