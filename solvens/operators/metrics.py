@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from solvens.functions.numeric import round_half_even
+from solvens.functions.numeric import percent_text, round_half_even
 from solvens.functions.ordering import BUCKET, quantile_buckets, running_totals, with_neighbour
 from solvens.functions.text import class_name
 from solvens.schemas import CLASS_NAMES
@@ -131,10 +131,10 @@ def classification_report(df: DataFrame, truth: str = "target", pred: str = "pre
     return reduce(DataFrame.unionByName, [classes, acc, averages_of(table)])
 
 
-def cv_summary(df: DataFrame, truth: str = "target", pred: str = "pred", fold: str = "fold") -> DataFrame:
-    """Mean and population deviation of accuracy and macro F1 over folds."""
-    folds = macro_metrics(df, truth, pred, [fold])
-    return folds.agg(
+def cv_summary(df: DataFrame, truth: str = "target", pred: str = "pred", fold: str = "fold", by: list[str] = ()) -> DataFrame:
+    """Mean and population deviation of accuracy and macro F1 over folds, per ``by`` if given."""
+    folds = macro_metrics(df, truth, pred, [*by, fold])
+    return folds.groupBy(*by).agg(
         F.avg("accuracy").alias("mean_accuracy"),
         F.stddev_pop("accuracy").alias("std_accuracy"),
         F.avg("macro_f1").alias("mean_macro_f1"),
@@ -153,6 +153,32 @@ def model_comparison(df: DataFrame, model: str = "model", truth: str = "target",
     return rows.select(model, *[round_half_even(c, 4).alias(c) for c in shown])
 
 
+def comparison_with_cv(comparison: DataFrame, cv: DataFrame, model: str = "model") -> DataFrame:
+    """Comparison rows with the mean cross-validation scores of the same models."""
+    means = cv.select(
+        model,
+        round_half_even("mean_macro_f1", 4).alias("mean_cv_macro_f1"),
+        round_half_even("mean_accuracy", 4).alias("mean_cv_accuracy"),
+    )
+    return comparison.join(means, model, "left")
+
+
+def model_comparison_percent(df: DataFrame, model: str = "model", truth: str = "target", pred: str = "pred") -> DataFrame:
+    """The short comparison: accuracy and recalls as percent texts, F1 scores as numbers."""
+    table = class_table(df, truth, pred, [model])
+    recalls = [
+        F.coalesce(F.max(F.when(F.col("label") == k, F.col("recall"))), F.lit(0.0)).alias(f"recall_{k}") for k in CLASSES
+    ]
+    rows = table.groupBy(model).agg(*_averages(), *recalls)
+    return rows.select(
+        model,
+        percent_text("accuracy", 2).alias("accuracy"),
+        round_half_even("macro_f1", 4).alias("macro_f1"),
+        round_half_even("weighted_f1", 4).alias("weighted_f1"),
+        *[percent_text(f"recall_{k}", 1).alias(f"recall_{k}") for k in CLASSES],
+    )
+
+
 def best_models(comparison: DataFrame, order: dict[str, int], metrics=("accuracy", "macro_f1", "recall_0"), model: str = "model") -> DataFrame:
     """Best model per metric; on ties the one that comes first in ``order``."""
     place = F.create_map(*[F.lit(v) for pair in order.items() for v in pair])

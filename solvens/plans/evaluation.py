@@ -109,6 +109,16 @@ def model_comparison(spark, d):
     return out
 
 
+def model_comparison_percent(spark, d):
+    return metrics.model_comparison_percent(predictions(spark, d))
+
+
+def model_comparison_cv(spark, d):
+    """The comparison with mean scores over row-wise stratified folds."""
+    df = splitting.stratified_folds(predictions(spark, d), ["company", "year", "model"])
+    return metrics.comparison_with_cv(metrics.model_comparison(df), metrics.cv_summary(df, by=["model"]))
+
+
 def best_model(spark, d):
     return metrics.best_models(metrics.model_comparison(predictions(spark, d)), MODEL_ORDER)
 
@@ -237,6 +247,8 @@ QUERIES = {
     "classification_report": classification_report,
     "cv_summary": cv_summary,
     "model_comparison": model_comparison,
+    "model_comparison_percent": model_comparison_percent,
+    "model_comparison_cv": model_comparison_cv,
     "best_model": best_model,
     "roc_curve": roc_curve,
     "roc_curve_full": roc_curve_full,
@@ -385,6 +397,21 @@ ORACLES = {
         "probs",
     ),
     "model_comparison": with_tables(f"+ {MODELS}, {COMPARISON} select * from comparison", "probs"),
+    "model_comparison_percent": with_tables(
+        f"""+ {MODELS}, t as (select * from models), {CLASS_TABLE.format(by="model,")}
+        select model, format('{{:.2f}}%',sum(tp)/sum(support)*100) as accuracy, round(avg(f1),4) as macro_f1, round(sum(f1*support)/sum(support),4) as weighted_f1,
+        {", ".join(f"format('{{:.1f}}%',coalesce(max(recall) filter (where label={k}),0)*100) as recall_{k}" for k in range(4))} from ct group by model""",
+        "probs",
+    ),
+    "model_comparison_cv": with_tables(
+        f"""+ {MODELS}, {COMPARISON},
+        folded as (select model, y, p, (row_number() over (partition by y order by md5(company||'|'||year||'|'||model||'|42'), company, year, model)-1)%5 as fold from models),
+        {CLASS_TABLE.format(by="model, fold,").replace("from t", "from folded").replace("sides", "sides5").replace("ct as", "ct5 as")},
+        per_fold as (select model, fold, sum(tp)/sum(support) as acc, avg(f1) as f1 from ct5 group by model, fold),
+        cv as (select model, round(avg(f1),4) as mean_cv_macro_f1, round(avg(acc),4) as mean_cv_accuracy from per_fold group by model)
+        select * from comparison left join cv using (model)""",
+        "probs",
+    ),
     "best_model": with_tables(f"+ {MODELS}, {COMPARISON} {BEST}", "probs"),
     "roc_curve": with_tables(f"+ {ROC} select class_id, fp, tp, round(fpr,9) as fpr, round(tpr,9) as tpr from curve", "probs"),
     "roc_curve_full": with_tables(

@@ -21,6 +21,7 @@ from solvens.operators.neighbours import distinct_points, nearest_points
 from solvens.operators.reporting import attribution_ranking
 from solvens.operators.resampling import smote
 from solvens.plans.base import with_tables
+from solvens.plans.evaluation import FOLDS
 from solvens.session import materialise, scratch_path
 from solvens.sources import tables
 from solvens.sources.tables import FILING_FEATURES
@@ -275,8 +276,6 @@ QUERIES = {
     "tree_attributions": tree_attributions_of_test,
 }
 
-from solvens.plans.evaluation import FOLDS  # noqa: E402
-
 _near = "+".join(f"(a.{c}-b.{c})*(a.{c}-b.{c})" for c in NEAR_FEATURES)
 _same = " and ".join(f"a.{c}=b.{c}" for c in NEAR_FEATURES)
 _test = f"+ {FOLDS}, s as (select company, year, fold from labelled join folds using (company))"
