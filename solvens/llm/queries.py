@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvens.llm import exact_dedup, sentencepiece_bpe, url_rules
+from solvens.llm import exact_dedup, quality, sentencepiece_bpe, toxicity, url_rules
 from solvens.llm.common import table
 from solvens.session import ship_package
 
@@ -24,6 +24,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.token_digests(docs, tokenizer_path()).drop("text")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -46,8 +56,10 @@ QUERIES = {
     q.__name__: _shipped(q)
     for q in [
         op4_sentencepiece,
+        op5_quality,
         op6_exact_dedup,
         op9_url_filter,
+        op10_toxicity,
     ]
 }
 
