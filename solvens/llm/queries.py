@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from solvens.llm import exact_dedup, quality, sentencepiece_bpe, toxicity, url_rules
+from solvens.llm import exact_dedup, html_extract, packing, quality, sentencepiece_bpe, topk, toxicity, url_rules
 from solvens.llm.common import table
 from solvens.session import ship_package
 
@@ -19,6 +20,14 @@ def tokenizer_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_bpe.token_digests(docs, tokenizer_path()).drop("text")
@@ -33,6 +42,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 5, is_query=F.col("vec_id") % 50 == 0)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -55,9 +68,12 @@ def _shipped(query):
 QUERIES = {
     q.__name__: _shipped(q)
     for q in [
+        op1_html,
+        op2_packing,
         op4_sentencepiece,
         op5_quality,
         op6_exact_dedup,
+        op7_topk,
         op9_url_filter,
         op10_toxicity,
     ]
@@ -69,6 +85,16 @@ with t as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
 g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from t group by text_sha256)
 select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, text_sha256 from t join g using (text_sha256)""",
+    "op7_topk": r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, v.vec_id,
+         cast(coalesce(list_sum(list_transform(list_zip(q.c, v.c), lambda p: coalesce(p[1] * p[2], 0))), 0) as bigint) as score
+  from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
     "op9_url_filter": r"""
 with r as (
   select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
