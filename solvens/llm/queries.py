@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvens.llm import exact_dedup, html_extract, packing, quality, sentencepiece_bpe, topk, toxicity, url_rules
+from solvens.llm import exact_dedup, html_extract, lsh_forest, packing, quality, sentencepiece_bpe, topk, toxicity, url_rules
 from solvens.llm.common import table
 from solvens.session import ship_package
 
@@ -28,6 +28,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_bpe.token_digests(docs, tokenizer_path()).drop("text")
@@ -70,6 +74,7 @@ QUERIES = {
     for q in [
         op1_html,
         op2_packing,
+        op3_near_dedup,
         op4_sentencepiece,
         op5_quality,
         op6_exact_dedup,
