@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvens.llm import exact_dedup, html_extract, lsh_forest, packing, quality, sentencepiece_bpe, topk, toxicity, url_rules
+from solvens.llm import exact_dedup, html_extract, lsh_forest, packing, quality, sentencepiece_bpe, suffix_dedup, topk, toxicity, url_rules
 from solvens.llm.common import table
 from solvens.session import ship_package
 
@@ -50,6 +50,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), 5, is_query=F.col("vec_id") % 50 == 0)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents")).drop("uid")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -79,6 +83,7 @@ QUERIES = {
         op5_quality,
         op6_exact_dedup,
         op7_topk,
+        op8_suffix_dedup,
         op9_url_filter,
         op10_toxicity,
     ]
