@@ -7,7 +7,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Rows of one Arrow batch: texts may be very long, and a batch has to fit into a worker several times.
@@ -24,13 +25,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def add_columns(df: DataFrame, columns: list[str], fields: list[StructField], fn: Callable) -> DataFrame:
     """``df`` with the columns ``fields``, which ``fn(*arrow arrays of columns)`` returns batch by batch.
 
     Rows stay where they are.  Columns of ``df`` that bear a new name are replaced.
     """
-    new = {f.name for f in fields}
-    kept = [f for f in df.schema.fields if f.name not in new]
+    new = {f.name.lower() for f in fields}
+    kept = [f for f in df.schema.fields if f.name.lower() not in new]
     schema = StructType(kept + fields)
 
     def run(batches):

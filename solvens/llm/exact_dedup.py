@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from solvens.llm.common import columns_of, fresh_name
 from solvens.session import materialise
 
 #: Digests one task should hold at the end.
@@ -136,9 +137,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: one of each group of equal texts, with the smallest id."""
     marks = materialise(fingerprints(df, id_col, text_col), "digests")
-    keepers = merge_all(marks).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"), F.col("size").alias("_size"))
+    own, keep, size = (fresh_name(df, x) for x in ("_digest", "_keep_id", "_size"))
+    keepers = merge_all(marks).select(F.col("digest").alias(own), F.col("keep_id").alias(keep), F.col("size").alias(size))
     digest = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    staying = df.join(keepers, (digest == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_keep_id")))
+    staying = df.join(keepers, (digest == F.col(own)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep)))
     # Only groups of several rows can repeat an id, and only they are looked at again.
-    alone, several = staying.where("_size = 1"), staying.where("_size > 1").dropDuplicates(["_digest"])
-    return alone.unionByName(several).select(*df.columns)
+    alone, several = staying.where(F.col(size) == 1), staying.where(F.col(size) > 1).dropDuplicates([own])
+    return alone.unionByName(several).select(*columns_of(df))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvens.llm.common import BASE, BYTE_CODES, INVERSE, mix, powers, text_bytes
+from solvens.llm.common import BASE, BYTE_CODES, INVERSE, columns_of, fresh_name, mix, powers, text_bytes
 from solvens.session import materialise
 
 LENGTH, GRAM = 400, 64
@@ -403,22 +403,38 @@ def _cut(with_text: bool):
     return run
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """uid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``with_text`` also changed (the text without
-    its repeated bytes, characters kept whole; null where nothing was removed)."""
-    rows = with_uid(docs, id_col, text_col)
+def _changes(rows: DataFrame, with_text: bool) -> DataFrame:
+    """What is cut from each document that repeats something, by ``_u``."""
     spans, texts = repeated_spans(rows)
-    cut = spans.withColumnRenamed("uid", "_s").join(texts, F.col("_s") == F.col("uid")).select("uid", "n_bytes", "packed", "spans").mapInArrow(_cut(with_text), CUT)
+    both = spans.withColumnRenamed("uid", "_s").join(texts, F.col("_s") == F.col("uid"))
+    return both.select("uid", "n_bytes", "packed", "spans").mapInArrow(_cut(with_text), CUT)
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    rows = with_uid(docs, id_col, text_col)
     raw = F.coalesce("text", F.lit("")).cast("binary")
     own = rows.select("uid", "doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole_sha256"))
     none = F.lit(0).cast("long")
-    out = own.join(cut, F.col("uid") == F.col("_u"), "left").select(
-        "uid",
+    return own.join(_changes(rows, False), F.col("uid") == F.col("_u"), "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", none).alias("n_removed"),
         F.coalesce("n_spans", none).alias("n_spans"),
         F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
-        F.col("kept").cast("string").alias("changed"),
     )
-    return out if with_text else out.drop("changed")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the texts.
+
+    A character goes only if all its bytes are cut.  ``chars_col``, if there is one, becomes the length of texts that changed.
+    """
+    own, kept = fresh_name(docs, "_u"), fresh_name(docs, "_kept")
+    changes = _changes(with_uid(docs, id_col, text_col), True).select(F.col("_u").alias(own), F.col("kept").cast("string").alias(kept))
+    out = docs.join(changes, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col(own), "left")
+    fresh = {text_col: F.coalesce(kept, text_col)}
+    if chars_col in docs.columns:
+        kind = docs.schema[chars_col].dataType
+        fresh[chars_col] = F.when(F.col(kept).isNotNull(), F.char_length(kept).cast(kind)).otherwise(F.col(chars_col))
+    return out.withColumns(fresh).select(*columns_of(docs))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from solvens.llm.common import LOOSE_TABLE, add_columns, mix, text_bytes, word_bounds, word_hashes
+from solvens.llm.common import LOOSE_TABLE, add_columns, fresh_name, mix, text_bytes, word_bounds, word_hashes
 from solvens.llm.labelled import held_out, labelled_sample
 
 BUCKETS = 1 << 20
@@ -129,3 +129,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = add_columns(docs, ["text"], [StructField("score", DoubleType()), StructField("predicted", IntegerType())], run)
     return scored.withColumn("held_out", held_out("doc_id", MODULUS, LEFT_OUT))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted to be toxic, with the columns of ``docs``."""
+    bucket, weight, bias = fit(docs, labels)
+    mark = fresh_name(docs, "_toxic")
+
+    def run(texts):
+        return (pa.array((score_texts(texts, bucket, weight, bias) >= THRESHOLD).astype(np.int32), pa.int32()),)
+
+    return add_columns(docs, ["text"], [StructField(mark, IntegerType())], run).where(F.col(mark) == 0).drop(mark)

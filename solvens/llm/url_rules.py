@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField
 
-from solvens.llm.common import add_columns
+from solvens.llm.common import add_columns, fresh_name
 
 DEFAULT = "allow"
 BATCH_CACHE = 1 << 16
@@ -61,9 +61,10 @@ def token_counts(urls: DataFrame, wanted: list[str]) -> dict[str, int]:
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule (null if none fits) and verdict."""
-    split = pages.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
+    at_host, at_path = fresh_name(pages, "_host"), fresh_name(pages, "_path")
+    split = pages.withColumns({at_host: host_of(F.col(url)), at_path: path_of(F.col(url))})
     wanted = sorted({t for rule, _ in rules for t in rule_tokens(rule)})
-    counts = token_counts(split.select("_host", "_path"), wanted) if wanted else {}
+    counts = token_counts(split.select(F.col(at_host).alias("_host"), F.col(at_path).alias("_path")), wanted) if wanted else {}
     index: dict[str, list[tuple[str, str]]] = {}
     for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         tokens = rule_tokens(rule)
@@ -87,5 +88,5 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
         return pa.array([r for r, _ in out], pa.string()), pa.array([v for _, v in out], pa.string())
 
     fields = [StructField("rule", StringType()), StructField("verdict", StringType())]
-    judged = add_columns(split, ["_host", "_path"], fields, judge)
-    return judged.drop("host", "path").withColumnsRenamed({"_host": "host", "_path": "path"})
+    judged = add_columns(split, [at_host, at_path], fields, judge)
+    return judged.drop("host", "path").withColumnsRenamed({at_host: "host", at_path: "path"})
