@@ -29,7 +29,9 @@ HALF = 64
 #: Half chunks worked on at once.
 PIECE = 512
 MAX_ROWS = 6_000
-EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.02, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.03, 1e-4
+#: Few rows are gone over more often, until so many steps are made.
+LEAST_STEPS = 600
 MODULUS, LEFT_OUT, THRESHOLD = 4, 2, 0.7
 
 
@@ -109,7 +111,9 @@ def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Netwo
     first = [np.zeros_like(p) for p in net.parameters()]
     second = [np.zeros_like(p) for p in net.parameters()]
     step = 0
-    total = epochs * -(-len(texts) // BATCH)
+    each = -(-len(texts) // BATCH)
+    epochs = max(epochs, -(-LEAST_STEPS // each))
+    total = epochs * each
     for _ in range(epochs):
         order = random.permutation(len(texts))
         for a in range(0, len(order), BATCH):

@@ -28,6 +28,8 @@ MAX_ROWS = 20_000
 EPOCHS = 8
 #: Rate and its offset, L1 and L2 of the per-coordinate updates.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 20.0, 0.0
+#: L1 is this times the root of the number of rows where that is less: chance sums of gradients grow with the root.
+L1_ROOT = 1 / 3
 MODULUS, LEFT_OUT, THRESHOLD = 5, 0, 0.5
 #: Bytes of texts whose features are held at once.
 SLICE_BYTES = 1 << 22
@@ -62,9 +64,10 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> tuple[n
     """Weights and bias after ``epochs`` passes over ``rows`` (distinct buckets of each text) in their order."""
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     bias = bias_n = 0.0
+    l1 = min(L1, L1_ROOT * np.sqrt(len(rows)))
 
     def weights(z_, n_):
-        return -np.sign(z_) * np.maximum(np.abs(z_) - L1, 0) / ((BETA + np.sqrt(n_)) / ALPHA + L2)
+        return -np.sign(z_) * np.maximum(np.abs(z_) - l1, 0) / ((BETA + np.sqrt(n_)) / ALPHA + L2)
 
     for _ in range(epochs):
         for own, label in zip(rows, y, strict=True):
