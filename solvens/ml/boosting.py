@@ -22,9 +22,6 @@ from solvens.functions.arrays import argmax
 from solvens.functions.numeric import total
 from solvens.session import materialise
 
-RESPONSE_LIMIT = 4.0
-MIN_CURVATURE = 1e-6
-
 
 def softmax(margins: list[Column]) -> list[Column]:
     top = F.greatest(*margins) if len(margins) > 1 else margins[0]
@@ -40,6 +37,9 @@ class SoftmaxBoost:
     Margins are carried from round to round in a persisted table.  Every
     ``checkpoint_interval`` rounds they are written to the shared folder, which
     bounds what the loss of an executor can make Spark compute again.
+
+    ``response_limit`` clips the working response, which keeps single rows whose probability is almost 0 or 1 from
+    deciding a split; None leaves every leaf the plain Newton step.  ``min_curvature`` is the least row weight.
     """
 
     rounds: int = 20
@@ -56,6 +56,8 @@ class SoftmaxBoost:
     features: str = "features"
     label: str = "target"
     weight: str | None = None
+    response_limit: float | None = 4.0
+    min_curvature: float = 1e-6
 
     def with_params(self, **params) -> "SoftmaxBoost":
         return SoftmaxBoost(**{**asdict(self), **params})
@@ -106,10 +108,11 @@ class SoftmaxBoost:
     def _fit_tree(self, state: DataFrame, margins: list[str], k: int, r: int):
         p = softmax([F.col(m) for m in margins])[k]
         rows = state.select("x", "y", "w", p.alias("p"))
-        curve = F.greatest(F.col("p") * (1 - F.col("p")), F.lit(MIN_CURVATURE))
+        curve = F.greatest(F.col("p") * (1 - F.col("p")), F.lit(self.min_curvature))
         response = ((F.col("y") == k).cast("double") - F.col("p")) / curve
-        bounded = F.greatest(F.lit(-RESPONSE_LIMIT), F.least(F.lit(RESPONSE_LIMIT), response))
-        rows = rows.select("x", bounded.alias("z"), (curve * F.col("w")).alias("h"))
+        if self.response_limit is not None:
+            response = F.greatest(F.lit(-self.response_limit), F.least(F.lit(self.response_limit), response))
+        rows = rows.select("x", response.alias("z"), (curve * F.col("w")).alias("h"))
         forest = RandomForestRegressor(
             featuresCol="x",
             labelCol="z",

@@ -35,14 +35,16 @@ class Registry:
         return scored.withColumn("prediction", class_name("pred"))
 
     def blend(self, weights: dict[str, float], df: DataFrame, key: str) -> DataFrame:
-        """Weighted mean of several models' probabilities, joined on the row key."""
-        joined, columns = None, []
+        """Weighted mean of several models' probabilities, all computed on the same row: no join, and repeated keys stay apart."""
+        columns = []
+        rows = df.select(key, F.struct(*[c for c in df.columns if c != key]).alias("_in"))
         for i, name in enumerate(weights):
-            part = self.score(name, df, [key]).select(key, F.col("probs").alias(f"probs_{i}"))
-            joined = part if joined is None else joined.join(part, key)
+            model = self.models[name]
+            given = align_features(rows.select("*", "_in.*"), model.prepared.columns, [key, "_in", *columns])
+            rows = model.score(given).select(key, "_in", *columns, F.col("probs").alias(f"probs_{i}"))
             columns.append(f"probs_{i}")
-        mixed = joined.withColumn("probs", weighted_blend(columns, list(weights.values())))
-        return mixed.withColumn("pred", argmax("probs")).drop(*columns)
+        mixed = rows.withColumn("probs", weighted_blend(columns, list(weights.values())))
+        return mixed.withColumn("pred", argmax("probs")).drop("_in", *columns)
 
 
 def score_statements(statements: DataFrame, model: Trained | Cascade, features: list[str] = AUDITED_FEATURES, scale: float = st.SCALE) -> DataFrame:

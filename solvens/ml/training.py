@@ -7,8 +7,10 @@ of a validation or test part reaches them.
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -19,6 +21,7 @@ from solvens.functions.arrays import argmax, cascade_class, cascade_probabilitie
 from solvens.ml import models
 from solvens.ml.boosting import SoftmaxBoost, SoftmaxBoostModel
 from solvens.ml.evaluation import MacroF1Evaluator
+from solvens.ml.stages import PreprocessModel
 from solvens.operators.labels import binary_target, distressed_only
 from solvens.operators.metrics import macro_metrics
 from solvens.operators.preprocessing import MedianImputer, StandardScaler, features_vector
@@ -49,6 +52,18 @@ class Prepared:
     def transform(self, df: DataFrame) -> DataFrame:
         return features_vector(self.table(df), self.columns)
 
+    def stage(self) -> PreprocessModel:
+        """The same as a Spark ML stage."""
+        return PreprocessModel(imputer=self.imputer.to_json(), scaler=self.scaler.to_json() if self.scaler else "")
+
+    def save(self, path: str) -> None:
+        self.stage().write().overwrite().save(path)
+
+    @staticmethod
+    def load(path: str) -> "Prepared":
+        imputer, scaler = PreprocessModel.load(path).parts()
+        return Prepared(imputer.columns, imputer, scaler)
+
 
 @dataclass
 class Trained:
@@ -61,6 +76,23 @@ class Trained:
     def score(self, df: DataFrame) -> DataFrame:
         return score_with(self.model, self.prepared.transform(df))
 
+    def save(self, spark, path: str) -> None:
+        """Model, preprocessing and name below ``path``; all that scoring needs."""
+        self.prepared.save(f"{path}/prepared")
+        boosted = isinstance(self.model, SoftmaxBoostModel)
+        if boosted:
+            self.model.save(spark, f"{path}/model")
+        else:
+            PipelineModel([self.model]).write().overwrite().save(f"{path}/model")
+        meta = spark.createDataFrame([(self.name, boosted)], "name string, boosted boolean")
+        meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+    @staticmethod
+    def load(spark, path: str) -> "Trained":
+        meta = spark.read.schema("name string, boosted boolean").json(f"{path}/meta").first()
+        model = SoftmaxBoostModel.load(spark, f"{path}/model") if meta.boosted else PipelineModel.load(f"{path}/model").stages[0]
+        return Trained(meta.name, Prepared.load(f"{path}/prepared"), model)
+
 
 def score_with(model, df: DataFrame) -> DataFrame:
     """Adds ``probs`` (array) and ``pred`` whatever the kind of model."""
@@ -70,6 +102,11 @@ def score_with(model, df: DataFrame) -> DataFrame:
     if "probability" in out.columns:
         out = out.withColumn("probs", vector_to_array("probability"))
         return out.withColumn("pred", argmax("probs")).drop("probability", "rawPrediction")
+    # One-vs-rest: each class's margin as a probability, made to sum to one.
+    margins = vector_to_array("rawPrediction")
+    odds = F.transform(margins, lambda m: 1 / (1 + F.exp(-2 * m)))
+    whole = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
+    out = out.withColumn("probs", odds).withColumn("probs", F.transform("probs", lambda v: v / whole))
     return out.withColumn("pred", F.col("pred").cast("int")).drop("rawPrediction")
 
 
@@ -99,41 +136,80 @@ def fold_parts(df: DataFrame, fold: int, column: str = "fold") -> tuple[DataFram
     return df.filter(F.col(column) != fold), df.filter(F.col(column) == fold)
 
 
-def cross_validate(name: str, df: DataFrame, columns: list[str], folds: int = 5, target: str = "target", row_id: str = "row_id", balance: str | None = None, overrides: dict | None = None) -> DataFrame:
-    """Out-of-fold predictions (row_id, target, fold, pred); ``metrics.cv_summary`` condenses them."""
+@dataclass
+class FoldData:
+    """One fold with everything fitted on its training part: training vectors and validation vectors, written once."""
+
+    fold: int
+    train: DataFrame
+    valid: DataFrame
+    weight: str | None
+    rows: int
+    keep: list[str] = field(default_factory=list)
+
+
+def prepare_folds(name: str, df: DataFrame, columns: list[str], target: str = "target", row_id: str = "row_id", balance: str | None = None, fold: str = "fold") -> list[FoldData]:
+    """All folds that the table has, each with its own imputer, scaler and oversampling."""
+    scaled = models.PRESETS[name].scaled
+    out = []
+    for f in sorted(r[0] for r in df.select(fold).distinct().collect()):
+        train, valid = fold_parts(df, f, fold)
+        prepared = Prepared.fit(train, columns, scaled)
+        rows, weight = rebalance(train, prepared, target, row_id, balance)
+        rows = materialise(rows.select("features", target, *([weight] if weight else [])), "fold-train")
+        keep = [row_id, target, fold]
+        out.append(FoldData(f, rows, materialise(prepared.transform(valid).select(*keep, "features"), "fold-valid"), weight, rows.count(), keep))
+    return out
+
+
+def out_of_fold(name: str, folds: list[FoldData], target: str = "target", overrides: dict | None = None) -> DataFrame:
+    """Predictions of every row by the model fitted without its fold."""
     out = None
-    for f in range(folds):
-        train, valid = fold_parts(df, f)
-        scored = train_model(name, train, columns, target, row_id, balance, overrides).score(valid)
-        part = scored.select(row_id, target, "fold", "pred")
+    for f in folds:
+        estimator = models.build(name, f.rows, overrides, label=target, weight=f.weight)
+        part = score_with(estimator.fit(f.train), f.valid).select(*f.keep, "pred")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def cross_validate(name: str, df: DataFrame, columns: list[str], target: str = "target", row_id: str = "row_id", balance: str | None = None, overrides: dict | None = None) -> DataFrame:
+    """Out-of-fold predictions (row_id, target, fold, pred) over all folds of the table; ``metrics.cv_summary`` condenses them."""
+    return out_of_fold(name, prepare_folds(name, df, columns, target, row_id, balance), target, overrides)
+
+
 def grid_points(grid: dict) -> list[dict]:
     names = list(grid)
     return [dict(zip(names, values)) for values in itertools.product(*grid.values())]
 
 
-def grid_search(name: str, df: DataFrame, columns: list[str], grid: dict | None = None, folds: int = 5, target: str = "target", row_id: str = "row_id", balance: str | None = None) -> tuple[dict, DataFrame, Trained]:
-    """Best hyperparameters by mean macro F1 over folds, all scores, and a refit on all rows.
+def grid_search(name: str, df: DataFrame, columns: list[str], grid: dict | None = None, target: str = "target", row_id: str = "row_id", balance: str | None = None, parallelism: int = 4) -> tuple[dict, DataFrame, Trained]:
+    """Best hyperparameters by mean macro F1 over all folds of the table, all scores, and a refit on all rows.
 
-    Every point is judged on the same ``fold`` column with its own imputer,
-    scaler and oversampling per fold.
+    Imputer, scaler and oversampling are fitted once per fold; the points share them and run side by side.
     """
     points = grid_points(grid or models.GRIDS[name])
-    scores = []
-    for i, point in enumerate(points):
-        scored = cross_validate(name, df, columns, folds, target, row_id, balance, point)
-        per_fold = macro_metrics(scored, target, "pred", ["fold"]).agg(F.avg("macro_f1").alias("f1"), F.avg("accuracy").alias("acc")).first()
-        scores.append((i, str(point), float(per_fold.f1), float(per_fold.acc)))
+    folds = prepare_folds(name, df, columns, target, row_id, balance)
+
+    def judge(i: int) -> tuple:
+        scored = out_of_fold(name, folds, target, points[i])
+        per_fold = macro_metrics(scored, target, "pred", ["fold"]).agg(
+            F.avg("macro_f1").alias("f1"), F.avg("accuracy").alias("acc"), F.sum("support").alias("rows")
+        )
+        row = per_fold.first()
+        return i, str(points[i]), float(row.f1), float(row.acc), int(row.rows)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        scores = list(pool.map(judge, range(len(points))))
     best = points[max(scores, key=lambda s: (s[2], -s[0]))[0]]
-    table = df.sparkSession.createDataFrame(scores, "point int, params string, macro_f1 double, accuracy double")
+    table = df.sparkSession.createDataFrame(scores, "point int, params string, macro_f1 double, accuracy double, rows long")
     return best, table, train_model(name, df, columns, target, row_id, balance, best)
 
 
 def spark_grid_search(estimator, param_maps, df: DataFrame, fold: str = "fold", folds: int = 5, target: str = "target", parallelism: int = 4):
-    """Spark's own ``CrossValidator`` on the given folds, judged by macro F1."""
+    """Spark's own ``CrossValidator`` on the given folds, judged by macro F1.
+
+    ``estimator`` is a pipeline that begins with ``stages.Preprocess``: it is fitted anew on each training part.
+    """
     return CrossValidator(
         estimator=estimator,
         estimatorParamMaps=param_maps,
@@ -210,12 +286,12 @@ def train_cascade(train: DataFrame, columns: list[str], target: str = "target",
 # --- comparison ----------------------------------------------------------------
 
 
-def compare_balancing(names: list[str], df: DataFrame, columns: list[str], folds: int = 5, target: str = "target", row_id: str = "row_id", overrides: dict | None = None) -> DataFrame:
+def compare_balancing(names: list[str], df: DataFrame, columns: list[str], target: str = "target", row_id: str = "row_id", overrides: dict | None = None) -> DataFrame:
     """Out-of-fold predictions of each model under class weights and under oversampling."""
     out = None
     for name in names:
         for method in ("weights", "smote"):
-            part = cross_validate(name, df, columns, folds, target, row_id, method, (overrides or {}).get(name))
+            part = cross_validate(name, df, columns, target, row_id, method, (overrides or {}).get(name))
             part = part.select(F.lit(name).alias("model"), F.lit(method).alias("balance"), *part.columns)
             out = part if out is None else out.unionByName(part)
     return out

@@ -25,9 +25,15 @@ from solvens.session import materialise
 HIT_SCHEMA = "cls int, pid string, other string, dist double, mult bigint, vec array<double>"
 
 
-def distinct_points(df: DataFrame, cls: str, row_id: str, features: list[str]) -> DataFrame:
-    """Equal rows of a class become one point (id of the first row, number of copies)."""
-    vec = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+def distinct_points(df: DataFrame, cls: str, row_id: str, features: list[str] | str) -> DataFrame:
+    """Equal rows of a class become one point (id of the first row, number of copies).
+
+    ``features`` are columns, or one array column that is taken at its full length.
+    """
+    if isinstance(features, str):
+        vec = F.col(features).cast("array<double>")
+    else:
+        vec = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
     rows = df.select(F.col(cls).cast("int").alias("cls"), F.col(row_id).cast("string").alias("row_id"), vec.alias("vec"))
     return rows.groupBy("cls", "vec").agg(F.min("row_id").alias("pid"), F.count(F.lit(1)).alias("mult"))
 

@@ -10,74 +10,76 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from solvens.functions.numeric import col, nan_to_null, round_half_even
+from solvens.session import materialise
 
 
-def exact_medians(df: DataFrame, columns: list[str], accuracy: int = 10000) -> dict[str, float | None]:
-    """Interpolated medians of many columns, exact and without one task seeing a whole column.
+#: Bins a range is cut into per pass.
+MEDIAN_BINS = 4096
 
-    A quantile sketch brackets each median.  The second pass counts what lies
-    below the bracket and counts the distinct values inside it, about
-    4/accuracy of the rows; the middle ranks are read off these counts.  Should
-    a sketch have missed, the bracket is widened until the ranks fall inside,
-    so the result never depends on the sketch.  Only the brackets and the
-    medians (a few doubles per column) reach the driver.
+
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Interpolated medians of many columns, exact, by counting.
+
+    The first pass counts the values of each column and finds their range.  Every further pass cuts the range
+    that holds the middle ranks into ``MEDIAN_BINS`` bins and gets count, smallest and largest value of
+    each; a middle rank is read off when its bin holds one value only, or when it is the last of its bin
+    and the next the first of the following one.  Counts are combined before the shuffle, so a value that fills a
+    third of a column adds one row per task, and what reaches the driver is bounded by columns x bins.
     """
-    medians: dict[str, float | None] = {}
-    pending = list(columns)
-    width = 2.0 / accuracy
-    while pending:
-        low_q, high_q = max(0.0, 0.5 - width), min(1.0, 0.5 + width)
-        row = df.agg(
-            *[F.percentile_approx(nan_to_null(c), [low_q, high_q], accuracy).alias(f"q{i}") for i, c in enumerate(pending)]
-        ).first()
-        brackets = {c: row[f"q{i}"] for i, c in enumerate(pending)}
-        for c in [c for c in pending if not brackets[c]]:
-            medians[c] = None
-        pending = [c for c in pending if brackets[c]]
-        if not pending:
-            break
-        found = _middle_values(df, pending, brackets, whole=(low_q, high_q) == (0.0, 1.0))
-        medians.update(found)
-        pending = [c for c in pending if c not in found]
-        width *= 16
-    return {c: medians[c] for c in columns}
-
-
-def _middle_values(df: DataFrame, columns: list[str], brackets: dict, whole: bool) -> dict[str, float]:
-    entries = []
+    if not columns:
+        return {}
+    rows = materialise(df.select(*[nan_to_null(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]), "columns")
+    extent = rows.agg(
+        *[f(f"c{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count), ("low", F.min), ("high", F.max))]
+    ).first()
+    medians: dict[str, float | None] = {c: None for c in columns}
+    pending = {}
     for i, c in enumerate(columns):
-        v = nan_to_null(c)
-        low, high = (-math.inf, math.inf) if whole else brackets[c]
-        zone = F.when(v < low, -1).when(v > high, 1).otherwise(0)
-        entries.append(F.struct(F.lit(i).alias("c"), zone.alias("zone"), F.when(zone == 0, v).alias("v"), v.isNotNull().alias("ok")))
-    counts = (
-        df.select(F.inline(F.array(*entries)))
-        .filter("ok")
-        .groupBy("c", "zone", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    order = W.partitionBy("c").orderBy("zone", "v")
-    ranked = counts.select(
-        "c",
-        "zone",
-        "v",
-        F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("upto"),
-        F.col("n"),
-        F.sum("n").over(W.partitionBy("c")).alias("total"),
-    )
-    low_rank = F.floor((F.col("total") + 1) / 2)
-    high_rank = F.floor((F.col("total") + 2) / 2)
-    before = F.col("upto") - F.col("n")
-    covers = lambda r: (before < r) & (F.col("upto") >= r) & (F.col("zone") == 0)
-    rows = (
-        ranked.groupBy("c")
-        .agg(F.max(F.when(covers(low_rank), F.col("v"))).alias("a"), F.max(F.when(covers(high_rank), F.col("v"))).alias("b"))
-        .collect()
-    )
-    return {columns[r.c]: (r.a + r.b) / 2 for r in rows if r.a is not None and r.b is not None}
+        n = extent[f"n{i}"]
+        if n:
+            pending[i] = {"low": extent[f"low{i}"], "high": extent[f"high{i}"], "skip": 0, "ranks": ((n + 1) // 2, (n + 2) // 2)}
+    while pending:
+        entries = []
+        for i, p in pending.items():
+            v, low, high = F.col(f"c{i}"), F.lit(p["low"]), F.lit(p["high"])
+            # Halves, so that the width of a range of doubles can't overflow.
+            share = (v / 2 - low / 2) / (high / 2 - low / 2) if p["high"] > p["low"] else F.lit(0.0)
+            place = F.least(F.floor(share * MEDIAN_BINS), F.lit(MEDIAN_BINS - 1)).cast("int")
+            inside = (v >= low) & (v <= high)
+            entries.append(F.struct(F.lit(i).alias("c"), F.when(inside, F.coalesce(place, F.lit(0))).alias("bin"), v.alias("v")))
+        counted = (
+            rows.select(F.inline(F.array(*entries)))
+            .where("bin is not null")
+            .groupBy("c", "bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            .collect()
+        )
+        for i in list(pending):
+            medians[columns[i]] = _narrow(pending[i], sorted((r.bin, r.n, r.low, r.high) for r in counted if r.c == i))
+            if medians[columns[i]] is not None:
+                del pending[i]
+    return medians
+
+
+def _narrow(state: dict, bins: list[tuple]) -> float | None:
+    """The median, if the counts of the bins tell it; else the range in ``state`` becomes that of the middle ranks."""
+    a, b = state["ranks"]
+    before, found, kept = state["skip"], {}, []
+    for _, n, low, high in bins:
+        for rank in {a, b}:
+            if before < rank <= before + n:
+                kept.append((low, high, before))
+                if low == high or rank == before + 1:
+                    found[rank] = low
+                elif rank == before + n:
+                    found[rank] = high
+        before += n
+    if a in found and b in found:
+        return found[a] / 2 + found[b] / 2
+    state["low"], state["high"], state["skip"] = min(k[0] for k in kept), max(k[1] for k in kept), min(k[2] for k in kept)
+    return None
 
 
 @dataclass

@@ -43,7 +43,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if active:
         return configured or active
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="solvens-checkpoint-")
     sc.setCheckpointDir(configured)

@@ -33,8 +33,8 @@ def read_filings(spark: SparkSession, path: str, schema: T.StructType | None = N
 
     def read():
         if fmt == "csv":
-            # Names are taken from the header after trimming; columns may be absent or reordered.
-            header = spark.read.option("header", True).option("inferSchema", False).csv(path)
+            # Names are taken from one header, after trimming; a file whose header differs fails loudly.
+            header = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
             return normalize_header(header)
         return normalize_header(spark.read.format(fmt).load(path))
 

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from solvens.ml import models, training
-from solvens.ml.attribution import base_values, ensemble_tables, saved_nodes, tree_attributions, _attribute
+from solvens.ml.attribution import attribute, base_values, ensemble_leaves, expected_value, saved_nodes, tree_attributions
 from solvens.ml.boosting import SoftmaxBoost, SoftmaxBoostModel
 from solvens.ml.evaluation import MacroF1Evaluator
 from solvens.ml.scoring import Registry, score_statements
@@ -125,9 +125,10 @@ def _tree_value(nodes, known, x, i=0):
 def test_attributions_equal_brute_force_shapley(spark, vectors, boosted):
     nodes = saved_nodes(boosted.ensembles[0], spark)
     trees = [{int(r["id"]): r for r in g.to_dict("records")} for _, g in nodes.groupby("treeID")]
-    base, tables = ensemble_tables(nodes, 0.5)
+    leaves = ensemble_leaves(nodes)
+    base = expected_value(leaves)[0]
     x = np.array([r[0] for r in vectors.select(vector_to_array("features")).limit(12).collect()])
-    got = _attribute(x, tables)
+    got = attribute(x, leaves)[:, :, 0]
     p = x.shape[1]
     value = lambda known, row: 0.5 * sum(_tree_value(t, known, row) for t in trees)
     assert base == pytest.approx(value(frozenset(), x[0]))

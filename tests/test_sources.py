@@ -47,3 +47,12 @@ def test_partitioned_sink(spark):
     path = scratch_path(spark, "parts")
     readers.write_table(spark.range(10).withColumn("k", F.col("id") % 2), path, partition_by=["k"])
     assert spark.read.parquet(path).filter("k = 1").count() == 5
+
+
+def test_differing_headers_fail(spark):
+    path = scratch_path(spark, "csv")
+    a = spark.createDataFrame([("A", "2020", "1")], "Folder_name string, Label string, x1 string")
+    a.coalesce(1).write.option("header", True).csv(path)
+    a.select("Label", "Folder_name", "x1").coalesce(1).write.mode("append").option("header", True).csv(path)
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_filings(spark, path).collect()
