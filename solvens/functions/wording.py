@@ -15,21 +15,21 @@ DETAILED = {
     "Interest_Coverage": [
         ("v < 0", None, "Operations lose money before interest, so nothing is earned towards interest payments."),
         ("v < 1.0", None, "Coverage of {x} is under 1.0x: a year of operating profit does not pay a year of interest."),
-        ("v < 2.0", RISK, "Coverage of {x} is thin; a dip in revenue or a rate rise could use it up."),
-        ("v < 2.0", HEALTH, "Coverage of {x} is moderate and pays the interest now due."),
+        ("v < 2.0", RISK, "Interest is earned {x}, less than twice, and the score counts it as a risk."),
+        ("v < 2.0", HEALTH, "Interest is earned {x}, less than twice, yet the score counts it in favour."),
         (None, None, "Coverage of {x} pays interest several times over."),
     ],
     "Debt_to_Equity": [
-        ("v >= 10.0 or v < 0", None, "Debt dwarfs the owners' funds or equity is negative, a sign of near insolvency."),
-        ("v > 3.0", None, "Debt is {x} equity, a very heavy load that must be refinanced time and again."),
-        ("v > 1.5", RISK, "Debt of {x} equity is above average and adds strain in a downturn."),
-        ("v > 1.5", HEALTH, "Debt of {x} equity is within the usual range of industrial companies."),
-        (None, None, "Debt of only {x} equity leaves owners a solid cushion."),
+        ("v >= 10.0 or v < 0", None, "Debt is ten times equity or more, or there is no equity left to compare it with."),
+        ("v > 3.0", None, "At {x}, debt is more than three times equity."),
+        ("v > 1.5", RISK, "At {x}, debt is over one and a half times equity, and the score counts it as a risk."),
+        ("v > 1.5", HEALTH, "At {x}, debt is over one and a half times equity, yet the score counts it in favour."),
+        (None, None, "At {x}, debt is one and a half times equity at most."),
     ],
     "Operating_Margin": [
         ("v < 0", None, "The operating margin is {p}: the core business runs at a loss."),
-        ("v < 0.05", None, "The operating margin of {p} is thin and absorbs few cost increases."),
-        (None, None, "The operating margin of {p} shows pricing power and cost control."),
+        ("v < 0.05", None, "The operating margin is {p}, under 5% of sales."),
+        (None, None, "The operating margin is {p}, 5% of sales or more."),
     ],
     "ROA": [
         ("v < 0", None, "Return on assets is {p}: the asset base loses money."),
@@ -155,42 +155,23 @@ CONCISE_OTHER = [(None, None, "{name} ({t}) plays a part in solvency.")]
 
 # Per class: opening after the confidence, and the phrase when no factor is listed.
 # ``{ic}``, ``{de}``, ``{om}`` are coverage, debt/equity and margin, ``{factors}`` the first two factors.
+_FACTS = "Class {name}, {{conf}}% sure. Interest is earned {{ic}}, debt to equity is {{de}}, the operating margin {{om}}. {end}"
 SUMMARIES = {
-    "Healthy": (
-        "Rated Healthy with {conf}% confidence: interest is earned {ic}, debt is {de} equity. "
-        "A margin of {om} together with {factors} keeps the company away from stress.",
-        HEALTH,
-        "sound solvency ratios",
-    ),
-    "Financial Distress": (
-        "Rated Financial Distress with {conf}% confidence: coverage is down to {ic} and debt stands at {de} equity. "
-        "A margin of {om} and weak spots in {factors} call for close watching.",
-        RISK,
-        "a growing debt load",
-    ),
-    "Probably Bankrupt": (
-        "Rated Probably Bankrupt with {conf}% confidence: coverage of {ic} is strained and debt is {de} equity. "
-        "A margin of {om} and acute pressure from {factors} make default likely.",
-        RISK,
-        "unpaid interest",
-    ),
-    "Bankrupt": (
-        "Rated Bankrupt with {conf}% confidence: equity is used up or negative (debt {de} equity) and interest is not met ({ic}). "
-        "A margin of {om} and the state of {factors} point to default and liquidation.",
-        RISK,
-        "lost capital",
-    ),
+    "Healthy": (_FACTS.format(name="Healthy", end="What speaks for it most: {factors}."), HEALTH, "no single figure"),
+    "Financial Distress": (_FACTS.format(name="Financial Distress", end="What to look at first: {factors}."), RISK, "the figures as a whole"),
+    "Probably Bankrupt": (_FACTS.format(name="Probably Bankrupt", end="What weighs most: {factors}."), RISK, "the figures as a whole"),
+    "Bankrupt": (_FACTS.format(name="Bankrupt", end="What decided it: {factors}."), RISK, "the figures as a whole"),
 }
 
 # Indicator, column, value format, benchmark, cut-offs, and the
 # limit from which the good implication is given.  Sentences are ours.
 INDICATORS = [
-    ("Interest Coverage Ratio", "interest_coverage", "x", "≥ 2.50x", (2.5, 1.5, 1.0), 2.5, "Interest is covered by operating profit", "Interest is not covered by operating profit"),
-    ("Debt-to-Equity Ratio", "debt_to_equity", "x", "≤ 1.50x", None, None, "Little debt and a good equity buffer", "Too much debt or negative equity"),
-    ("Operating Margin", "operating_margin", "p", "≥ 12.0%", (0.12, 0.05, 0.0), 0.05, "The core business earns its keep", "The core business loses money"),
-    ("Return on Assets (ROA)", "roa", "p", "≥ 5.0%", (0.05, 0.01, 0.0), 0.01, "Assets are productive", "Assets lose money"),
-    ("Return on Equity (ROE)", "roe", "p", "≥ 12.0%", (0.12, 0.05, 0.0), 0.05, "Owners' capital grows", "Owners' capital shrinks"),
-    ("Working Capital Ratio", "working_capital_ratio", "n", "≥ 0.15", (0.15, 0.05, 0.0), 0.05, "Short-term funds are available", "Short-term dues exceed liquid assets"),
+    ("Interest Coverage Ratio", "interest_coverage", "x", "≥ 2.50x", (2.5, 1.5, 1.0), 2.5, "Earns its interest 2.5 times or more", "Earns its interest fewer than 2.5 times"),
+    ("Debt-to-Equity Ratio", "debt_to_equity", "x", "≤ 1.50x", None, None, "Owes 1.5 per unit of equity at most", "Owes more than 1.5 per unit of equity, or has no equity"),
+    ("Operating Margin", "operating_margin", "p", "≥ 12.0%", (0.12, 0.05, 0.0), 0.05, "Keeps 5% of sales or more", "Keeps less than 5% of sales"),
+    ("Return on Assets (ROA)", "roa", "p", "≥ 5.0%", (0.05, 0.01, 0.0), 0.01, "Earns 1% on assets or more", "Earns less than 1% on assets"),
+    ("Return on Equity (ROE)", "roe", "p", "≥ 12.0%", (0.12, 0.05, 0.0), 0.05, "Earns 5% on equity or more", "Earns less than 5% on equity"),
+    ("Working Capital Ratio", "working_capital_ratio", "n", "≥ 0.15", (0.15, 0.05, 0.0), 0.05, "Working capital is 0.05 or more", "Working capital is under 0.05"),
 ]
 STATUSES = ["Strong", "Moderate", "Concerning", "Critical"]
 COLOURS = {"Strong": "green", "Moderate": "yellow", "Concerning": "orange", "Critical": "red", "Unknown": "grey"}
