@@ -59,6 +59,29 @@ def add_columns(df: DataFrame, columns: list[str], fields: list[StructField], fn
     return df.mapInArrow(run, schema)
 
 
+#: Bits of the map that ``split_by_keys`` sends to all tasks: 4 MiB, whatever the number of keys.
+MAP_BITS = 1 << 25
+MAP_ROW = 1 << 15
+
+
+def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose ``key`` may be in ``keys`` (one column), and rows whose key isn't there for sure.
+
+    Only the first part has to be shuffled for a join.  The keys' hashes mark bits of a map of fixed size; with very many
+    keys the map fills up and lets more rows into the first part, and a join gives the same result.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    own, row, bits = (fresh_name(df, x) for x in ("_place", "_row", "_bits"))
+    h = place(F.col("`" + keys.columns[0] + "`"))
+    marked = keys.select(F.shiftright(h, 15).alias(row), h.bitwiseAND(F.lit(MAP_ROW - 1)).alias("_at"))
+    marked = marked.groupBy(row).agg(F.bitmap_construct_agg("_at").alias(bits))
+    looked = df.withColumn(own, place(key))
+    looked = looked.withColumn(row, F.shiftright(F.col(own), 15)).join(F.broadcast(marked), row, "left")
+    byte = f"cast(conv(hex(substring(`{bits}`, cast(shiftright(`{own}` & {MAP_ROW - 1}, 3) + 1 as int), 1)), 16, 10) as int)"
+    hit = F.coalesce(F.expr(f"({byte} >> cast(`{own}` & 7 as int)) & 1 = 1"), F.lit(False))
+    return looked.where(hit).select(*columns_of(df)), looked.where(~hit).select(*columns_of(df))
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row and where each begins (n + 1 offsets); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvens.llm.common import columns_of, fresh_name
+from solvens.llm.common import columns_of, fresh_name, split_by_keys
 from solvens.session import materialise
 
 #: Digests one task should hold at the end.
@@ -137,10 +138,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: one of each group of equal texts, with the smallest id."""
     marks = materialise(fingerprints(df, id_col, text_col), "digests")
-    own, keep, size = (fresh_name(df, x) for x in ("_digest", "_keep_id", "_size"))
-    keepers = merge_all(marks).select(F.col("digest").alias(own), F.col("keep_id").alias(keep), F.col("size").alias(size))
-    digest = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    staying = df.join(keepers, (digest == F.col(own)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep)))
-    # Only groups of several rows can repeat an id, and only they are looked at again.
-    alone, several = staying.where(F.col(size) == 1), staying.where(F.col(size) > 1).dropDuplicates([own])
-    return alone.unionByName(several).select(*columns_of(df))
+    mark, own, keep = (fresh_name(df, x) for x in ("_mark", "_digest", "_keep_id"))
+    several = merge_all(marks).where("size > 1").select(F.col("digest").alias(own), F.col("keep_id").alias(keep))
+    several = materialise(several, "copies")
+    marked = df.withColumn(mark, F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
+    # Only texts that occur more than once have to meet; and only they can repeat an id.
+    maybe, alone = split_by_keys(marked, F.col(mark), several.select(own))
+    met = maybe.join(several, F.col(mark) == F.col(own), "left")
+    staying = met.where(F.col(own).isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col(keep))).dropDuplicates([own])
+    parts = [alone, met.where(F.col(own).isNull()), staying]
+    return reduce(DataFrame.unionByName, [p.select(*columns_of(df)) for p in parts])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvens.llm.common import BASE, BYTE_CODES, INVERSE, columns_of, fresh_name, mix, powers, text_bytes
+from solvens.llm.common import BASE, BYTE_CODES, INVERSE, columns_of, fresh_name, mix, powers, split_by_keys, text_bytes
 from solvens.session import materialise
 
 LENGTH, GRAM = 400, 64
@@ -340,7 +340,9 @@ def repeated_spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = grams.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select(F.col("gram").alias("_g"))
     # Grams of a document: as many as its length allows.
     shared = grams.join(twice, F.col("gram") == F.col("_g"), "left_semi").groupBy("uid").agg(F.collect_set("gram").alias("grams"))
-    texts = long_.mapInArrow(_packed, "uid long, n_bytes long, packed binary").withColumnRenamed("uid", "_u")
+    shared = materialise(shared, "shared")
+    near, _ = split_by_keys(long_, F.col("uid"), shared.select("uid"))
+    texts = near.mapInArrow(_packed, "uid long, n_bytes long, packed binary").withColumnRenamed("uid", "_u")
     close = materialise(texts.join(shared, F.col("_u") == F.col("uid")).select("uid", "n_bytes", "packed", "grams"), "close")
     places = materialise(close.mapInArrow(_occurrences, OCCURRENCES), "places")
 
@@ -432,9 +434,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own, kept = fresh_name(docs, "_u"), fresh_name(docs, "_kept")
     changes = _changes(with_uid(docs, id_col, text_col), True).select(F.col("_u").alias(own), F.col("kept").cast("string").alias(kept))
-    out = docs.join(changes, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col(own), "left")
+    changes = materialise(changes, "changes")
+    uid = F.xxhash64(F.col(id_col), F.col(text_col))
+    near, rest = split_by_keys(docs, uid, changes.select(own))
+    out = near.join(changes, uid == F.col(own), "left")
     fresh = {text_col: F.coalesce(kept, text_col)}
     if chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType
         fresh[chars_col] = F.when(F.col(kept).isNotNull(), F.char_length(kept).cast(kind)).otherwise(F.col(chars_col))
-    return out.withColumns(fresh).select(*columns_of(docs))
+    return out.withColumns(fresh).select(*columns_of(docs)).unionByName(rest)
