@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 BUCKET = "_bucket"
+#: Rows of one bucket on average, beyond the least number of buckets.
+BUCKET_ROWS = 250_000
+LEAST_BUCKETS = 64
+
+
+def bucket_number(rows: int) -> int:
+    """How many buckets an order of ``rows`` rows is cut into, so that one bucket fits one task at any size."""
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
 def stable_key(*columns, seed: int = 42) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from solvens.functions.numeric import percent_text, round_half_even
-from solvens.functions.ordering import BUCKET, quantile_buckets, running_totals, with_neighbour
+from solvens.functions.ordering import BUCKET, bucket_number, quantile_buckets, running_totals, with_neighbour
 from solvens.functions.text import class_name
 from solvens.schemas import CLASS_NAMES
 from solvens.session import materialise
@@ -217,7 +217,7 @@ def _cumulated(counts: DataFrame, by: list[str], buckets: int, ahead: bool = Fal
     return cum.join(F.broadcast(totals), part)
 
 
-def roc_curve(df: DataFrame, probs: list[str], truth: str = "target", by: list[str] = (), drop_collinear: bool = True, buckets: int = 64) -> DataFrame:
+def roc_curve(df: DataFrame, probs: list[str], truth: str = "target", by: list[str] = (), drop_collinear: bool = True, buckets: int | None = None) -> DataFrame:
     """ROC points per class, from (0, 0) on; points on a straight line may be left out.
 
     A point is kept when the step to the next score differs from the step that
@@ -227,7 +227,7 @@ def roc_curve(df: DataFrame, probs: list[str], truth: str = "target", by: list[s
     part = [*by, "class_id"]
     # Read several times below; written once instead of scanning the rows again.
     counts = materialise(score_counts(df, probs, truth, by), "score-counts")
-    cum = _cumulated(counts, by, buckets, ahead=drop_collinear)
+    cum = _cumulated(counts, by, buckets or bucket_number(counts.count()), ahead=drop_collinear)
     if drop_collinear:
         first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
         bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
@@ -251,21 +251,22 @@ def roc_curve(df: DataFrame, probs: list[str], truth: str = "target", by: list[s
     return points.unionByName(starts)
 
 
-def roc_auc(df: DataFrame, probs: list[str], truth: str = "target", by: list[str] = (), buckets: int = 64) -> DataFrame:
+def roc_auc(df: DataFrame, probs: list[str], truth: str = "target", by: list[str] = (), buckets: int | None = None) -> DataFrame:
     """Area per class by the trapezoid rule, summed in whole numbers.
 
     One step from score to score adds ``neg`` to the width and has the mean
     height ``cum_pos - pos / 2``; twice that is an integer.
     """
     by = list(by)
-    cum = _cumulated(materialise(score_counts(df, probs, truth, by), "score-counts"), by, buckets)
+    counts = materialise(score_counts(df, probs, truth, by), "score-counts")
+    cum = _cumulated(counts, by, buckets or bucket_number(counts.count()))
     twice = F.col("neg").cast("decimal(19,0)") * (2 * F.col("cum_pos") - F.col("pos")).cast("decimal(19,0)")
     area = cum.groupBy(*by, "class_id").agg(F.sum(twice).alias("a"), F.max("P").alias("P"), F.max("N").alias("N"))
     full = 2 * F.col("P").cast("double") * F.col("N").cast("double")
     return area.select(*by, "class_id", F.when(full > 0, F.col("a").cast("double") / full).alias("auc"))
 
 
-def roc_macro(df: DataFrame, probs: list[str], truth: str = "target", drop_collinear: bool = True, buckets: int = 64) -> DataFrame:
+def roc_macro(df: DataFrame, probs: list[str], truth: str = "target", drop_collinear: bool = True, buckets: int | None = None) -> DataFrame:
     """Mean of the class curves on the union of their false positive rates.
 
     Each class curve is read at every rate by linear interpolation between its
@@ -274,6 +275,7 @@ def roc_macro(df: DataFrame, probs: list[str], truth: str = "target", drop_colli
     """
     points = roc_curve(df, probs, truth, drop_collinear=drop_collinear, buckets=buckets)
     points = materialise(points.select("class_id", "fpr", "tpr"), "roc-points")
+    buckets = buckets or bucket_number(points.count())
     knots = points.groupBy("class_id", "fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
     n = len(probs)
     spread = F.array(
@@ -321,9 +323,9 @@ def roc_macro(df: DataFrame, probs: list[str], truth: str = "target", drop_colli
     return near.groupBy("fpr").agg((F.sum(value) / n).alias("mean_tpr"))
 
 
-def curve_area(curve: DataFrame, x: str = "fpr", y: str = "mean_tpr", buckets: int = 64) -> DataFrame:
+def curve_area(curve: DataFrame, x: str = "fpr", y: str = "mean_tpr", buckets: int | None = None) -> DataFrame:
     """Trapezoid area under one curve with distinct ``x``."""
     curve = materialise(curve.select(x, y), "curve")
-    steps = with_neighbour(curve, [], x, [x, y], ahead=False, buckets=buckets)
+    steps = with_neighbour(curve, [], x, [x, y], ahead=False, buckets=buckets or bucket_number(curve.count()))
     width = F.col(x) - F.col(f"prev_{x}")
     return steps.agg(F.sum(width * (F.col(y) + F.col(f"prev_{y}")) / 2).alias("auc"))
