@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Rows of one Arrow batch: texts may be very long, and a batch has to fit into a worker several times.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 #: Bytes hashed at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -55,6 +56,7 @@ def add_columns(df: DataFrame, columns: list[str], fields: list[StructField], fn
             made = fn(*(by_name[c] for c in columns))
             arrays = [by_name[f.name] for f in kept] + list(made)
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -102,6 +104,12 @@ def byte_table(members: bytes) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Returns memory that a worker no longer uses to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 SPACE_TABLE = byte_table(SPACES)
 #: Everything in ASCII but letters and digits parts words of the looser kind.
 LOOSE_TABLE = np.array([b < 128 and not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123) for b in range(256)])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvens.llm.common import BASE, BYTE_CODES, INVERSE, columns_of, fresh_name, mix, powers, split_by_keys, text_bytes
+from solvens.llm.common import BASE, BYTE_CODES, INVERSE, columns_of, fresh_name, give_back, mix, powers, split_by_keys, text_bytes
 from solvens.session import materialise
 
 LENGTH, GRAM = 400, 64
@@ -39,9 +39,9 @@ GRAMS = LENGTH - GRAM + 1  # grams in a window, and the most windows an anchor o
 #: Windows whose anchors are looked for at once.
 PIECE = 1 << 20
 #: Different contexts of one gram that one task compares, and contexts of a task on average.
-GROUP, BUCKET = 16_384, 4_000
+GROUP, BUCKET = 16_384, 2_000
 #: Members of prefix ranges handled at once.
-RANGE_ROWS = 500_000
+RANGE_ROWS = 200_000
 CODEC, LEVEL = "zstd", 3
 
 WIDTH = GRAMS - 1 + LENGTH  # a context as a row: the anchor stands at column GRAMS - 1
@@ -98,6 +98,7 @@ def _grams(batches):
             keys.append(own), owners.append(np.full(len(own), uid)), counts.append(n)
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, owners, counts)], names=["gram", "uid", "n"])
+    give_back()
 
 
 def _packed(batches):
@@ -304,6 +305,8 @@ def _compare(key, table):
     _, gram = np.unique(table.column("gram").to_numpy(), return_inverse=True)
     to_left, to_right = repeats(cells, ahead, behind, gram)
     keep = pa.array(to_right > 0)
+    del cells
+    give_back()
     return table.select(["gram", "digest"]).append_column("to_left", pa.array(to_left.astype(np.int32))).append_column("to_right", pa.array(to_right.astype(np.int32))).filter(keep)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from solvens.llm.common import LOOSE_TABLE, add_columns, fresh_name, mix, text_bytes, word_bounds, word_hashes
+from solvens.llm.common import LOOSE_TABLE, add_columns, fresh_name, give_back, mix, text_bytes, word_bounds, word_hashes
 from solvens.llm.labelled import held_out, labelled_sample
 
 BUCKETS = 1 << 20
@@ -32,7 +32,7 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 20.0, 0.0
 L1_ROOT = 1 / 3
 MODULUS, LEFT_OUT, THRESHOLD = 5, 0, 0.5
 #: Bytes of texts whose features are held at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 PAIR, SKIP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E27F8862B)
 
@@ -90,8 +90,10 @@ def _learn(key, table):
     for a, b in slices(offsets):
         text, bucket = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         pairs = np.unique(text * BUCKETS + bucket)
-        rows += np.split(pairs % BUCKETS, np.searchsorted(pairs, np.arange(1, b - a) * BUCKETS))
+        rows += np.split((pairs % BUCKETS).astype(np.int32), np.searchsorted(pairs, np.arange(1, b - a) * BUCKETS))
     w, bias = ftrl(rows, y)
+    del rows, data
+    give_back()
     some = np.flatnonzero(w)
     index = np.r_[some, BUCKETS]
     return pa.table({"bucket": pa.array(index, pa.int64()), "weight": pa.array(np.r_[w[some], bias], pa.float64())})
