@@ -96,29 +96,40 @@ def local_runs(batches):
         yield _rows_to_batch(number, sorted(rows.values(), key=lambda r: r[0]))
 
 
+def _route(batch: pa.RecordBatch, place: int, rounds: int, fan: int) -> pa.RecordBatch:
+    """Rows on their way to round ``place``: ``origin`` is the run they come from, ``run`` the one that takes them over."""
+    unit = fan**place
+    origin = batch.column("run").to_pylist()
+    digits = (int.from_bytes(d[:8], "big") // unit % fan for d in batch.column("digest").to_pylist())
+    to = [n % fan**rounds - n // unit % fan * unit + d * unit for n, d in zip(origin, digits, strict=True)]
+    return batch.set_column(0, "run", pa.array(to, pa.int64())).append_column("origin", pa.array(origin, pa.int64()))
+
+
 def merge_all(marks: DataFrame, fan: int = FAN, run_rows: int = RUN_ROWS) -> DataFrame:
     """digest, keep_id, size over all rows of ``marks`` (as ``fingerprints`` gives them)."""
     rounds = max(1, math.ceil(math.log(max(2, marks.count() / run_rows), fan)))
-    runs = marks.mapInArrow(local_runs, RUN_SCHEMA)
-    for place in range(rounds):
-        unit = fan**place
+    routed = RUN_SCHEMA + ", origin long"
 
-        def send(batches, place=place, unit=unit):
-            for batch in batches:
-                origin = batch.column("run").to_pylist()
-                digits = (int.from_bytes(d[:8], "big") // unit % fan for d in batch.column("digest").to_pylist())
-                to = [n % fan**rounds - n // unit % fan * unit + d * unit for n, d in zip(origin, digits, strict=True)]
-                yield batch.set_column(0, "run", pa.array(to, pa.int64())).append_column("origin", pa.array(origin, pa.int64()))
+    def start(batches):
+        for batch in local_runs(batches):
+            yield _route(batch, 0, rounds, fan)
 
+    def meeting(place: int):
         def meet(key, table):
             by_origin: dict[int, list] = {}
             columns = [table.column(c).to_pylist() for c in ("origin", "digest", "keep_id", "size", "n_bytes", "check")]
             for origin, *row in zip(*columns, strict=True):
                 by_origin.setdefault(origin, []).append(tuple(row))
             merged = list(merge_runs([sorted(r, key=lambda x: x[0]) for r in by_origin.values()]))
-            return pa.Table.from_batches([_rows_to_batch(key[0].as_py(), merged)])
+            batch = _rows_to_batch(key[0].as_py(), merged)
+            # Sent on by the same task: one Python worker per task is enough.
+            return pa.Table.from_batches([_route(batch, place, rounds, fan) if place < rounds else batch])
+
+        return meet
 
-        runs = runs.mapInArrow(send, RUN_SCHEMA + ", origin long").groupBy("run").applyInArrow(meet, RUN_SCHEMA)
+    runs = marks.mapInArrow(start, routed)
+    for place in range(1, rounds + 1):
+        runs = runs.groupBy("run").applyInArrow(meeting(place), routed if place < rounds else RUN_SCHEMA)
     return runs.select("digest", "keep_id", "size")
 
 
