@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from solvens.session import materialise
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Cost of a bin beyond its length, in tokens.
 OVERHEAD = 16
@@ -84,7 +86,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None,
     lengths = tuple(sorted(lengths))
     most = lengths[-1]
     tokens = token_count(F.col("text")) if tokens is None else tokens
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.alias("n"))
+    sized = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.alias("n")), "lengths")
     total = sized.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     full = F.when(F.col("n") > 0, F.floor((F.col("n") - 1) / most)).otherwise(0)
