@@ -212,13 +212,16 @@ def top_k(df: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(low, pa.binary()), pa.array(need, pa.binary())], names=["block", "low", "need"])
 
     state = packed.select("block", "rows").mapInArrow(start, STATE)
-    width = 2 * bound + 1
-    while width > 1:
-        span, width = width, -(-width // BINS)
+    # Widths are powers of BINS: a bin of one round is the whole span of the next, and no score is counted twice.
+    span, width = 2 * bound + 1, 1
+    while width * BINS < span:
+        width *= BINS
+    while width:
         pairs = packed.join(state, "block").crossJoin(candidates)
         counted = pairs.mapInArrow(_count(span, width, k), "block long, query int, bin int, n long")
         summed = counted.groupBy("block", "query", "bin").agg(F.sum("n").alias("n"))
         state = materialise(state.groupBy("block").cogroup(summed.groupBy("block")).applyInArrow(_locate(width), STATE), "ranges")
+        span, width = width, width // BINS
     found = packed.join(state, "block").crossJoin(candidates).mapInArrow(_select(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -231,6 +231,15 @@ def test_top_k(spark, k, monkeypatch):
     assert topk.top_k(df.limit(0), k).count() == 0
 
 
+def test_top_k_of_neighbouring_bins(spark):
+    """66,048 values each way: 2 * 66,048 + 1 is no power of the number of bins, and the two best scores are one apart."""
+    longest = next((a, b, c, d) for a in range(256, 0, -1) for b in range(30) for c in range(30) for d in range(30) if a * a + b * b + c * c + d * d == 66_047)
+    cells = {0: (8, 1, 0, 0), 1: (145, 2, 0, 0), 2: (145, 1, 0, 0), 3: tuple(-x for x in longest), 4: (1, 1, 0, 0)}
+    df = spark.createDataFrame([(i, [x / 256 for x in c]) for i, c in cells.items()], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, 2, is_query=F.col("vec_id") == 0).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 1, 1162), (0, 2, 2, 1161)]
+
+
 def brute_spans(texts, length):
     seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []
