@@ -32,9 +32,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of passages that occur elsewhere; ``n_chars`` follows the text."""
+    """All documents, without passages of 400 bytes or of more than 50 words that occur elsewhere; ``n_chars`` follows the text."""
     ship_package(spark)
-    return suffix_dedup.without_repeats(docs)
+    return suffix_dedup.without_repeats(docs, units=(suffix_dedup.BYTES, suffix_dedup.PASSAGES))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

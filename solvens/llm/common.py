@@ -158,14 +158,15 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of ``data``, A-Z counted as a-z."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word of ``data``; ``fold`` counts A-Z as a-z."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         to = max(int(np.searchsorted(ends, starts[at] + CHUNK_BYTES)), at + 1)
         low = int(starts[at])
-        piece = LOWER[data[low : ends[to - 1]]]
+        piece = data[low : ends[to - 1]]
+        piece = LOWER[piece] if fold else piece
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(BYTE_CODES[piece] * powers(BASE, len(piece)), out=sums[1:])
         a, b = starts[at:to] - low, ends[at:to] - low

@@ -1,7 +1,8 @@
 """Repeated passages by a hash-compared suffix sort.
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere else is found; texts are UTF-8 bytes and
-matches never cross documents.  Sorting all suffixes of a large corpus is out of reach, so a few are chosen in such a way
+matches never cross documents.  A ``Unit`` says what is compared, and how much of it: bytes, or words told by 64-bit hashes, so that
+``PASSAGES`` finds every run of more than 50 words that occurs again, whatever its length in bytes and the spaces between.  Sorting all suffixes of a large corpus is out of reach, so a few are chosen in such a way
 that none that matters is left out:
 
 1. Each window of ``LENGTH`` bytes has an anchor, the gram of ``GRAM`` bytes with the least hash in it (the last of equals).
@@ -25,17 +26,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvens.llm.common import BASE, BYTE_CODES, INVERSE, columns_of, fresh_name, give_back, mix, powers, split_by_keys, text_bytes
+from solvens.llm.common import BASE, BYTE_CODES, INVERSE, SPACE_TABLE, columns_of, fresh_name, give_back, mix, powers, split_by_keys, text_bytes, word_bounds, word_hashes
 from solvens.session import materialise
 
 LENGTH, GRAM = 400, 64
-GRAMS = LENGTH - GRAM + 1  # grams in a window, and the most windows an anchor owns
 #: Windows whose anchors are looked for at once.
 PIECE = 1 << 20
 #: Different contexts of one gram that one task compares, and contexts of a task on average.
@@ -44,25 +46,79 @@ GROUP, BUCKET = 16_384, 2_000
 RANGE_ROWS = 200_000
 CODEC, LEVEL = "zstd", 3
 
-WIDTH = GRAMS - 1 + LENGTH  # a context as a row: the anchor stands at column GRAMS - 1
-ANCHOR = GRAMS - 1
 LOW_BITS = np.uint64(2**21 - 1)
 
 
-def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Position and gram hash of each anchor, and the first and last window it owns."""
+@dataclass(frozen=True)
+class Unit:
+    """Repeats of ``length`` cells, found by grams of ``gram``; a cell is a byte of the text or one of its words."""
+
+    length: int = LENGTH
+    gram: int = GRAM
+    words: bool = False
+
+    @property
+    def grams(self) -> int:
+        """Grams in a window, and the most windows an anchor owns."""
+        return self.length - self.gram + 1
+
+    @property
+    def anchor(self) -> int:
+        """The column of the anchor in a context as a row."""
+        return self.grams - 1
+
+    @property
+    def width(self) -> int:
+        return self.grams - 1 + self.length
+
+    @property
+    def kind(self):
+        return np.uint64 if self.words else np.uint8
+
+    @property
+    def least_bytes(self) -> int:
+        """No shorter text has a window: a word has a byte at least, and a space before the next."""
+        return 2 * self.length - 1 if self.words else self.length
+
+    def cells(self, text: np.ndarray) -> np.ndarray:
+        return word_hashes(text, *_words(text), fold=False) if self.words else text
+
+    def in_bytes(self, text: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """Spans (n, 2) of cells as spans of bytes."""
+        if not self.words or not len(spans):
+            return spans
+        starts, ends = _words(text)
+        return np.column_stack([starts[spans[:, 0]], ends[spans[:, 1] - 1]])
+
+
+def _words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return word_bounds(text, np.array([0, len(text)]), SPACE_TABLE)[:2]
+
+
+BYTES = Unit()
+GRAMS, WIDTH, ANCHOR = BYTES.grams, BYTES.width, BYTES.anchor
+#: More than 50 words.
+PASSAGES = Unit(length=51, gram=8, words=True)
+
+
+def _codes(cells: np.ndarray) -> np.ndarray:
+    return BYTE_CODES[cells] if cells.dtype == np.uint8 else cells
+
+
+def anchors(text: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position and gram hash of each anchor of a text as cells, and the first and last window it owns."""
     out = []
-    for a in range(0, len(text) - LENGTH + 1, PIECE):
-        piece = text[a : a + PIECE + LENGTH - 1]
+    for a in range(0, len(text) - unit.length + 1, PIECE):
+        piece = text[a : a + PIECE + unit.length - 1]
         n = len(piece)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_CODES[piece] * powers(BASE, n), out=sums[1:])
-        grams = mix((sums[GRAM:] - sums[:-GRAM]) * powers(INVERSE, n)[: n - GRAM + 1])
+        np.cumsum(_codes(piece) * powers(BASE, n), out=sums[1:])
+        grams = mix((sums[unit.gram :] - sums[: -unit.gram]) * powers(INVERSE, n)[: n - unit.gram + 1])
         # The hash above, the position below: of equal hashes the last position is least.
         low = (grams & ~LOW_BITS) | (LOW_BITS - np.arange(len(grams), dtype=np.uint64))
         span = 1
-        while span < GRAMS:
-            step = min(span, GRAMS - span)
+        while span < unit.grams:
+            step = min(span, unit.grams - span)
             low = np.minimum(low[:-step], low[step:])
             span += step
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
@@ -89,16 +145,20 @@ def unpack_text(packed: bytes, n_bytes: int) -> np.ndarray:
     return np.frombuffer(pa.Codec(CODEC).decompress(packed, n_bytes, asbytes=True), np.uint8)
 
 
-def _grams(batches):
+def _grams(unit: Unit):
     """gram, uid, n: each gram that is an anchor of a document, once a document."""
-    for batch in batches:
-        keys, owners, counts = [], [], []
-        for uid, text in zip(batch.column("uid").to_pylist(), _texts(batch.column("text")), strict=True):
-            own, n = np.unique(anchors(text)[1], return_counts=True)
-            keys.append(own), owners.append(np.full(len(own), uid)), counts.append(n)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, owners, counts)], names=["gram", "uid", "n"])
-    give_back()
+
+    def run(batches):
+        for batch in batches:
+            keys, owners, counts = [], [], []
+            for uid, text in zip(batch.column("uid").to_pylist(), _texts(batch.column("text")), strict=True):
+                own, n = np.unique(anchors(unit.cells(text), unit)[1], return_counts=True)
+                keys.append(own), owners.append(np.full(len(own), uid)), counts.append(n)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, owners, counts)], names=["gram", "uid", "n"])
+        give_back()
+
+    return run
 
 
 def _packed(batches):
@@ -109,51 +169,59 @@ def _packed(batches):
         )
 
 
-def _contexts(text: np.ndarray, wanted: np.ndarray):
-    """Position, gram, bytes before the anchor, digest and bytes of each context of ``text`` whose gram is wanted."""
-    at, gram, first, last = anchors(text)
+def _contexts(text: np.ndarray, wanted: np.ndarray, unit: Unit = BYTES):
+    """Position, gram, cells before the anchor, digest and cells (as bytes) of each context of ``text`` whose gram is wanted."""
+    at, gram, first, last = anchors(text, unit)
     keep = np.isin(gram, wanted)
     for p, g, s, e in zip(at[keep].tolist(), gram[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
-        context = text[s : e + LENGTH].tobytes()
+        context = text[s : e + unit.length].tobytes()
         yield p, g, p - s, hashlib.blake2b(context, digest_size=16, salt=(p - s).to_bytes(8, "little")).digest(), context
 
 
 OCCURRENCES = "uid long, gram long, digest binary, ahead int, size int, places array<int>"
 
 
-def _occurrences(batches):
+def _occurrences(unit: Unit):
     """Contexts of each document by digest, with the positions of their anchors."""
-    for batch in batches:
-        rows = []
-        for uid, n, packed, grams in zip(*(batch.column(c).to_pylist() for c in ("uid", "n_bytes", "packed", "grams")), strict=True):
-            found: dict[tuple, tuple] = {}
-            for p, gram, ahead, digest, context in _contexts(unpack_text(packed, n), np.array(grams)):
-                found.setdefault((gram, digest), (ahead, len(context), []))[2].append(p)
-            rows += [(uid, g, d, a, s, p) for (g, d), (a, s, p) in found.items()]
-        if rows:
-            uid, gram, digest, ahead, size, places = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uid, pa.int64()), pa.array(gram, pa.int64()), pa.array(digest, pa.binary()), pa.array(ahead, pa.int32()), pa.array(size, pa.int32()), pa.array(places, pa.list_(pa.int32()))],
-                names=["uid", "gram", "digest", "ahead", "size", "places"],
-            )
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for uid, n, packed, grams in zip(*(batch.column(c).to_pylist() for c in ("uid", "n_bytes", "packed", "grams")), strict=True):
+                found: dict[tuple, tuple] = {}
+                for p, gram, ahead, digest, context in _contexts(unit.cells(unpack_text(packed, n)), np.array(grams), unit):
+                    found.setdefault((gram, digest), (ahead, len(context) // unit.kind().itemsize, []))[2].append(p)
+                rows += [(uid, g, d, a, s, p) for (g, d), (a, s, p) in found.items()]
+            if rows:
+                uid, gram, digest, ahead, size, places = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uid, pa.int64()), pa.array(gram, pa.int64()), pa.array(digest, pa.binary()), pa.array(ahead, pa.int32()), pa.array(size, pa.int32()), pa.array(places, pa.list_(pa.int32()))],
+                    names=["uid", "gram", "digest", "ahead", "size", "places"],
+                )
+
+    return run
 
 
 CONTEXTS = "gram long, digest binary, n long, ahead int, context binary, alone boolean"
 
 
-def _give(batches):
+def _give(unit: Unit):
     """The bytes of the contexts asked for, from the documents that give them."""
-    for batch in batches:
-        rows = []
-        for n_bytes, packed, asked in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "packed", "asked")), strict=True):
-            left = {(x["gram"], x["digest"]): (x["n"], x["m"]) for x in asked}
-            for _, gram, ahead, digest, context in _contexts(unpack_text(packed, n_bytes), np.array([g for g, _ in left])):
-                n, m = left.pop((gram, digest), (0, 0))
-                if n:
-                    rows.append((gram, digest, n, ahead, context, m > GROUP))
-        if rows:
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "digest", "n", "ahead", "context", "alone"])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for n_bytes, packed, asked in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "packed", "asked")), strict=True):
+                left = {(x["gram"], x["digest"]): (x["n"], x["m"]) for x in asked}
+                for _, gram, ahead, digest, context in _contexts(unit.cells(unpack_text(packed, n_bytes)), np.array([g for g, _ in left]), unit):
+                    n, m = left.pop((gram, digest), (0, 0))
+                    if n:
+                        rows.append((gram, digest, n, ahead, context, m > GROUP))
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "digest", "n", "ahead", "context", "alone"])
+
+    return run
 
 
 class Rows:
@@ -163,7 +231,7 @@ class Rows:
         self.cells, self.sizes = cells, sizes.astype(np.int64)
         width = cells.shape[1]
         self.sums = np.zeros((len(cells), width + 1), np.uint64)
-        np.cumsum(BYTE_CODES[cells] * powers(BASE, width)[None, :], axis=1, out=self.sums[:, 1:])
+        np.cumsum(_codes(cells) * powers(BASE, width)[None, :], axis=1, out=self.sums[:, 1:])
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common prefix of rows x and y, by binary search over the hashes."""
@@ -252,10 +320,10 @@ def prefix_ranges(common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.array(value, np.int64), np.array(first, np.int64), np.array(last, np.int64)
 
 
-def repeats(cells: np.ndarray, ahead: np.ndarray, behind: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts as rows (anchor at column ``ANCHOR``): how many bytes before the anchor, and from it on, repeat (0, 0: none)."""
-    after = Rows(cells[:, ANCHOR:], behind)
-    before = Rows(cells[:, :ANCHOR][:, ::-1], ahead)
+def repeats(cells: np.ndarray, ahead: np.ndarray, behind: np.ndarray, gram: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts as rows (anchor at column ``unit.anchor``): how many cells before the anchor, and from it on, repeat (0, 0: none)."""
+    after = Rows(cells[:, unit.anchor :], behind)
+    before = Rows(cells[:, : unit.anchor][:, ::-1], ahead)
     suffixes, _ = after.sorted_rows(gram)
     rank = np.empty(len(suffixes), np.int64)
     rank[suffixes] = np.arange(len(suffixes))
@@ -274,16 +342,16 @@ def repeats(cells: np.ndarray, ahead: np.ndarray, behind: np.ndarray, gram: np.n
         pair = np.flatnonzero(own[1:] == own[:-1])
         x, y, v = members[pair], members[pair + 1], value[own[pair]]
         shared = after.common(x, y)
-        hit = np.flatnonzero(v + shared >= LENGTH)
+        hit = np.flatnonzero(v + shared >= unit.length)
         for k in range(0, len(hit), 8192):
             h = hit[k : k + 8192]
-            column = np.arange(WIDTH)[None, :]
-            within = (column >= ANCHOR - v[h][:, None]) & (column < ANCHOR + shared[h][:, None])
+            column = np.arange(unit.width)[None, :]
+            within = (column >= unit.anchor - v[h][:, None]) & (column < unit.anchor + shared[h][:, None])
             wrong = ((cells[x[h]] != cells[y[h]]) & within).any(axis=1)
-            for i in h[wrong]:  # a hash collided: count the common bytes
+            for i in h[wrong]:  # a hash collided: count the common cells
                 differ = np.flatnonzero(after.cells[x[i]] != after.cells[y[i]])
                 shared[i] = min(after.sizes[x[i]], after.sizes[y[i]], *differ[:1])
-        hit = hit[v[hit] + shared[hit] >= LENGTH]
+        hit = hit[v[hit] + shared[hit] >= unit.length]
         for side in (x, y):
             np.maximum.at(to_left, side[hit], v[hit])
             np.maximum.at(to_right, side[hit], shared[hit])
@@ -294,40 +362,51 @@ def repeats(cells: np.ndarray, ahead: np.ndarray, behind: np.ndarray, gram: np.n
 REPEATS = "gram long, digest binary, to_left int, to_right int"
 
 
-def _compare(key, table):
+def _compare(unit: Unit):
     """The contexts of the grams of one bucket."""
-    contexts = table.column("context").to_pylist()
-    ahead = table.column("ahead").to_numpy().astype(np.int64)
-    cells = np.zeros((len(contexts), WIDTH), np.uint8)
-    for i, (a, c) in enumerate(zip(ahead.tolist(), contexts, strict=True)):
-        cells[i, ANCHOR - a : ANCHOR - a + len(c)] = np.frombuffer(c, np.uint8)
-    behind = np.array([len(c) for c in contexts]) - ahead
-    _, gram = np.unique(table.column("gram").to_numpy(), return_inverse=True)
-    to_left, to_right = repeats(cells, ahead, behind, gram)
-    keep = pa.array(to_right > 0)
-    del cells
-    give_back()
-    return table.select(["gram", "digest"]).append_column("to_left", pa.array(to_left.astype(np.int32))).append_column("to_right", pa.array(to_right.astype(np.int32))).filter(keep)
-
-
-def _windows(batches):
+
+    def run(key, table):
+        contexts = table.column("context").to_pylist()
+        ahead = table.column("ahead").to_numpy().astype(np.int64)
+        cells = np.zeros((len(contexts), unit.width), unit.kind)
+        behind = np.empty(len(contexts), np.int64)
+        for i, (a, c) in enumerate(zip(ahead.tolist(), contexts, strict=True)):
+            own = np.frombuffer(c, unit.kind)
+            cells[i, unit.anchor - a : unit.anchor - a + len(own)] = own
+            behind[i] = len(own) - a
+        _, gram = np.unique(table.column("gram").to_numpy(), return_inverse=True)
+        to_left, to_right = repeats(cells, ahead, behind, gram, unit)
+        keep = pa.array(to_right > 0)
+        del cells
+        give_back()
+        return table.select(["gram", "digest"]).append_column("to_left", pa.array(to_left.astype(np.int32))).append_column("to_right", pa.array(to_right.astype(np.int32))).filter(keep)
+
+    return run
+
+
+def _windows(unit: Unit):
     """gram, digest, back, window, n: every window of a context, ``back`` bytes before the anchor."""
-    for batch in batches:
-        for gram, digest, n, ahead, context in zip(*(batch.column(c).to_pylist() for c in ("gram", "digest", "n", "ahead", "context")), strict=True):
-            each = len(context) - LENGTH + 1
-            windows = [hashlib.blake2b(context[i : i + LENGTH], digest_size=16).digest() for i in range(each)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([gram] * each, pa.int64()), pa.array([digest] * each, pa.binary()), pa.array(range(ahead, ahead - each, -1), pa.int32()), pa.array(windows, pa.binary()), pa.array([n] * each, pa.int64())],
-                names=["gram", "digest", "back", "window", "n"],
-            )
+
+    def run(batches):
+        for batch in batches:
+            for gram, digest, n, ahead, context in zip(*(batch.column(c).to_pylist() for c in ("gram", "digest", "n", "ahead", "context")), strict=True):
+                size = unit.kind().itemsize
+                each = len(context) // size - unit.length + 1
+                windows = [hashlib.blake2b(context[i * size : (i + unit.length) * size], digest_size=16).digest() for i in range(each)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([gram] * each, pa.int64()), pa.array([digest] * each, pa.binary()), pa.array(range(ahead, ahead - each, -1), pa.int32()), pa.array(windows, pa.binary()), pa.array([n] * each, pa.int64())],
+                    names=["gram", "digest", "back", "window", "n"],
+                )
+
+    return run
 
 
-def _count_windows(contexts: DataFrame) -> DataFrame:
+def _count_windows(contexts: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """What ``_compare`` finds, for grams of any number of contexts."""
-    rows = contexts.mapInArrow(_windows, "gram long, digest binary, back int, window binary, n long")
+    rows = contexts.mapInArrow(_windows(unit), "gram long, digest binary, back int, window binary, n long")
     twice = rows.groupBy("gram", "window").agg(F.sum("n").alias("all")).where("all > 1").select(F.col("gram").alias("_g"), F.col("window").alias("_w"))
     hit = rows.join(twice, (F.col("gram") == F.col("_g")) & (F.col("window") == F.col("_w")))
-    return hit.groupBy("gram", "digest").agg(F.max("back").alias("to_left"), (F.lit(LENGTH) - F.min("back")).cast("int").alias("to_right"))
+    return hit.groupBy("gram", "digest").agg(F.max("back").alias("to_left"), (F.lit(unit.length) - F.min("back")).cast("int").alias("to_right"))
 
 
 def with_uid(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -335,11 +414,11 @@ def with_uid(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def repeated_spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(uid, spans) of the documents of ``rows`` (see ``with_uid``) that hold repeated bytes, spans as begin and end in bytes, any order and
+def repeated_spans(rows: DataFrame, unit: Unit = BYTES) -> tuple[DataFrame, DataFrame]:
+    """(uid, spans) of the documents of ``rows`` (see ``with_uid``) that hold repeated cells, spans as begin and end in cells, any order and
     overlapping; and (uid, n_bytes, packed) of all documents that were looked at closely."""
-    long_ = rows.where(F.octet_length("text") >= LENGTH).select("uid", "text")
-    grams = long_.mapInArrow(_grams, "gram long, uid long, n long")
+    long_ = rows.where(F.octet_length("text") >= unit.least_bytes).select("uid", "text")
+    grams = long_.mapInArrow(_grams(unit), "gram long, uid long, n long")
     twice = grams.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select(F.col("gram").alias("_g"))
     # Grams of a document: as many as its length allows.
     shared = grams.join(twice, F.col("gram") == F.col("_g"), "left_semi").groupBy("uid").agg(F.collect_set("gram").alias("grams"))
@@ -347,7 +426,7 @@ def repeated_spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     near, _ = split_by_keys(long_, F.col("uid"), shared.select("uid"))
     texts = near.mapInArrow(_packed, "uid long, n_bytes long, packed binary").withColumnRenamed("uid", "_u")
     close = materialise(texts.join(shared, F.col("_u") == F.col("uid")).select("uid", "n_bytes", "packed", "grams"), "close")
-    places = materialise(close.mapInArrow(_occurrences, OCCURRENCES), "places")
+    places = materialise(close.mapInArrow(_occurrences(unit), OCCURRENCES), "places")
 
     contexts = places.groupBy("gram", "digest").agg(
         F.sum(F.size("places").cast("long")).alias("n"), F.min("uid").alias("giver"), F.max("ahead").alias("ahead"), F.max("size").alias("size")
@@ -357,12 +436,12 @@ def repeated_spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = contexts.join(groups.where("m > 1 and least = 1"), F.col("gram") == F.col("_g"))
     asked = open_.groupBy(F.col("giver").alias("_u")).agg(F.collect_list(F.struct("gram", "digest", "n", "m")).alias("asked"))
     one_each = close.dropDuplicates(["uid"]).drop("grams")
-    given = materialise(one_each.join(asked, F.col("uid") == F.col("_u")).select("n_bytes", "packed", "asked").mapInArrow(_give, CONTEXTS), "given")
+    given = materialise(one_each.join(asked, F.col("uid") == F.col("_u")).select("n_bytes", "packed", "asked").mapInArrow(_give(unit), CONTEXTS), "given")
     buckets = max(1, math.ceil(given.count() / BUCKET))
-    compared = given.where("not alone").groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket")).applyInArrow(_compare, REPEATS)
+    compared = given.where("not alone").groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket")).applyInArrow(_compare(unit), REPEATS)
     whole = contexts.where("n > 1").select("gram", "digest", F.col("ahead").alias("to_left"), (F.col("size") - F.col("ahead")).alias("to_right"))
     # A context that occurs twice repeats in full, whatever part of it others share.
-    found = whole.unionByName(compared).unionByName(_count_windows(given.where("alone")))
+    found = whole.unionByName(compared).unionByName(_count_windows(given.where("alone"), unit))
     found = found.groupBy(F.col("gram").alias("_g"), F.col("digest").alias("_d")).agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
     hit = places.join(found, (F.col("gram") == F.col("_g")) & (F.col("digest") == F.col("_d")))
     span = F.transform("places", lambda p: F.struct((p - F.col("to_left")).alias("a"), (p + F.col("to_right")).alias("b")))
@@ -388,13 +467,14 @@ def kept_mask(n_bytes: int, found: np.ndarray) -> np.ndarray:
 CUT = "_u long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, units: tuple[Unit, ...]):
     def run(batches):
         for batch in batches:
             rows = []
             for uid, n, packed, spans in zip(*(batch.column(c).to_pylist() for c in ("uid", "n_bytes", "packed", "spans")), strict=True):
                 text = unpack_text(packed, n)
-                found = runs(np.array([(s["a"], s["b"]) for s in spans], np.int64))
+                of_units = [np.array([(s["a"], s["b"]) for own in spans if own["unit"] == k for s in own["spans"]], np.int64).reshape(-1, 2) for k in range(len(units))]
+                found = runs(np.concatenate([unit.in_bytes(text, own) for unit, own in zip(units, of_units, strict=True)]))
                 keep = kept_mask(n, found)
                 digest = hashlib.sha256(text[keep].tobytes()).hexdigest()
                 if with_text:  # a character goes only if all its bytes do
@@ -408,20 +488,27 @@ def _cut(with_text: bool):
     return run
 
 
-def _changes(rows: DataFrame, with_text: bool) -> DataFrame:
-    """What is cut from each document that repeats something, by ``_u``."""
-    spans, texts = repeated_spans(rows)
-    both = spans.withColumnRenamed("uid", "_s").join(texts, F.col("_s") == F.col("uid"))
-    return both.select("uid", "n_bytes", "packed", "spans").mapInArrow(_cut(with_text), CUT)
+def _changes(rows: DataFrame, with_text: bool, units: tuple[Unit, ...]) -> DataFrame:
+    """What is cut from each document that repeats something by any of ``units``, by ``_u``."""
+    found = [repeated_spans(rows, unit) for unit in units]
+    spans = reduce(DataFrame.unionByName, [own.select("uid", F.struct(F.lit(k).alias("unit"), "spans").alias("s")) for k, (own, _) in enumerate(found)])
+    texts = reduce(DataFrame.unionByName, [own for _, own in found])
+    if len(units) > 1:
+        texts = texts.dropDuplicates(["uid"])
+        spans = spans.groupBy(F.col("uid").alias("_s")).agg(F.collect_list("s").alias("spans"))
+    else:
+        spans = spans.select(F.col("uid").alias("_s"), F.array("s").alias("spans"))
+    both = spans.join(texts, F.col("_s") == F.col("uid"))
+    return both.select("uid", "n_bytes", "packed", "spans").mapInArrow(_cut(with_text, units), CUT)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     rows = with_uid(docs, id_col, text_col)
     raw = F.coalesce("text", F.lit("")).cast("binary")
     own = rows.select("uid", "doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole_sha256"))
     none = F.lit(0).cast("long")
-    return own.join(_changes(rows, False), F.col("uid") == F.col("_u"), "left").select(
+    return own.join(_changes(rows, False, units), F.col("uid") == F.col("_u"), "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", none).alias("n_removed"),
@@ -430,13 +517,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` with the repeated bytes cut out of the texts.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
+    """``docs`` with what repeats by any of ``units`` cut out of the texts.
 
     A character goes only if all its bytes are cut.  ``chars_col``, if there is one, becomes the length of texts that changed.
     """
     own, kept = fresh_name(docs, "_u"), fresh_name(docs, "_kept")
-    changes = _changes(with_uid(docs, id_col, text_col), True).select(F.col("_u").alias(own), F.col("kept").cast("string").alias(kept))
+    changes = _changes(with_uid(docs, id_col, text_col), True, units).select(F.col("_u").alias(own), F.col("kept").cast("string").alias(kept))
     changes = materialise(changes, "changes")
     uid = F.xxhash64(F.col(id_col), F.col(text_col))
     near, rest = split_by_keys(docs, uid, changes.select(own))

@@ -266,6 +266,40 @@ def test_repeats(spark, rows, group, monkeypatch):
     assert suffix_dedup.cut_repeats(documents(spark, [])).count() == 0
 
 
+def brute_words(texts, length):
+    """What is left of each text without the runs of ``length`` words that occur again."""
+    split = [list(re.finditer(rb"[^\x20\x09-\x0D]+", t)) for t in texts]
+    run = lambda w, k: tuple(m.group() for m in w[k : k + length])
+    seen = Counter(run(w, k) for w in split for k in range(len(w) - length + 1))
+    out = []
+    for t, w in zip(texts, split, strict=True):
+        keep = np.ones(len(t), bool)
+        for k in range(len(w) - length + 1):
+            if seen[run(w, k)] > 1:
+                keep[w[k].start() : w[k + length - 1].end()] = False
+        out.append(bytes(np.frombuffer(t, np.uint8)[keep]))
+    return out
+
+
+def test_passages_of_more_than_50_words(spark, rows, monkeypatch):
+    rng = random.Random(9)
+    short = [" ".join("abcdefgh"[rng.randrange(8)] * rng.randint(1, 5) for _ in range(n)) for n in (50, 51, 60)]
+    assert max(map(len, short)) < suffix_dedup.LENGTH
+    docs = [r for r in rows if r[0] is not None and r[0] != 507]
+    docs += [(600 + 10 * k + i, f"{words(rng, 9)} {p} {words(rng, 9)}") for k, p in enumerate(short) for i in range(2)]
+    docs += [(700, short[1].replace(" ", "\n")), (701, " ".join(short[2].split()[4:56]) + " end"), (702, words(rng, 60) + " ä " + short[2])]
+    docs = list({i: (i, t) for i, t in docs}.values())
+    expected = brute_words([(t or "").encode() for _, t in docs], 51)
+    for group in (suffix_dedup.GROUP, 1):
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        got = suffix_dedup.without_repeats(documents(spark, docs), units=(suffix_dedup.PASSAGES,)).collect()
+        assert {r.doc_id: (r.text or "").encode() for r in got} == {i: e for (i, _), e in zip(docs, expected, strict=True)}
+    by_id = {i: e.decode() for (i, _), e in zip(docs, expected, strict=True)}
+    assert short[0] in by_id[600] and short[1] not in by_id[610] and by_id[700] == ""
+    staged = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_passages(spark, documents(spark, docs), "").collect()}
+    assert short[0] in staged[600] and staged[610].split() == by_id[610].split() and staged[700] == ""
+
+
 def test_windows_counted_one_by_one(spark, rows):
     """The way for grams of very many contexts finds what the sort finds."""
     texts = [(t or "").encode() for _, t in rows if t and len(t) > 400 and len(t) < 5000]
