@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvens.llm import exact_dedup, html_extract, lsh_forest, packing, quality, sentencepiece_bpe, suffix_dedup, topk, toxicity, url_rules
+from solvens.llm import exact_dedup, filter_audit, html_extract, lsh_forest, packing, quality, sentencepiece_bpe, suffix_dedup, topk, toxicity, url_rules
 from solvens.llm.common import table
 from solvens.session import ship_package
 
@@ -64,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -86,6 +90,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_url_filter,
         op10_toxicity,
+        op12_filter_audit,
     ]
 }
 
@@ -118,4 +123,37 @@ m as (
          row_number() over (partition by page_id, host, path order by length(rule_host || rule_path) desc) as place
   from s left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
 select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict from m where place = 1""",
+    "op12_filter_audit": r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, coalesce(source, '') as part,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+f as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         (case when len(words) < 50 then 1 else 0 end)
+         + (case when 100 * len(list_distinct(words)) < 65 * len(words) then 2 else 0 end)
+         + (case when 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) then 4 else 0 end)
+         + (case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end)
+         + (case when t.doc_id > min(t.doc_id) over (partition by text) then 16 else 0 end) as mask
+  from t left join l on t.doc_id = l.doc_id),
+m as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, mask),
+v(name, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o as (
+  select a.name || b.name || c.name || d.name || e.name as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from v a, v b, v c, v d, v e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s as (
+  select filter_order, cast(step as integer) as step, bits[step] as bit, cast(list_sum(bits[1:step - 1]) as integer) as earlier
+  from o, range(1, 6) r(step)),
+c as (
+  select part, filter_order, step, bit,
+         sum(case when mask & (coalesce(earlier, 0) | bit) = 0 then n else 0 end) as kept,
+         sum(case when mask & coalesce(earlier, 0) = 0 and mask & bit > 0 then n else 0 end) as removed,
+         sum(case when mask & coalesce(earlier, 0) > 0 and mask & bit > 0 then n else 0 end) as redundant,
+         sum(case when mask = bit then n else 0 end) as unique_fails,
+         sum(case when mask & coalesce(earlier, 0) = 0 and mask & bit > 0 then good else 0 end) as good_lost,
+         sum(case when mask & coalesce(earlier, 0) = 0 and mask & bit > 0 then toxic else 0 end) as toxic_lost
+  from m, s group by part, filter_order, step, bit)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, bit) as bigint) as shapley from c""",
 }
