@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvens.llm import exact_dedup, filter_audit, html_extract, lsh_forest, packing, quality, sentencepiece_bpe, suffix_dedup, topk, toxicity, url_rules
+from solvens.llm import exact_dedup, filter_audit, html_extract, lsh_forest, packing, quality, sentencepiece_bpe, suffix_dedup, topk, toxicity, url_rules, vector_codes
 from solvens.llm.common import table
 from solvens.session import ship_package
 
@@ -64,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -90,10 +94,25 @@ QUERIES = {
         op8_suffix_dedup,
         op9_url_filter,
         op10_toxicity,
+        op11_vector_codes,
         op12_filter_audit,
     ]
 }
 
+#: One round on codebooks ``b`` and parts ``p``: the nearest entry of each part, then the floored means.
+CODE_ROUND = """
+n{i} as (
+  select vec_row, part, min_by(entry, (d, entry)) as entry from (
+    select p.vec_row, p.part, b.entry,
+           list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d
+    from p join b{i} b on b.part = p.part) group by vec_row, part),
+m{i} as (
+  select part, entry, list(x order by place) as x from (
+    select part, entry, place, cast(floor(sum(c) / count(*)) as bigint) as x from (
+      select n.part, n.entry, unnest(p.x) as c, generate_subscripts(p.x, 1) as place
+      from n{i} n join p on p.vec_row = n.vec_row and p.part = n.part) group by part, entry, place) group by part, entry),
+b{j} as (select b.part, b.entry, coalesce(m.x, b.x) as x from b{i} b left join m{i} m on m.part = b.part and m.entry = b.entry),"""
+
 ORACLES = {
     "op6_exact_dedup": r"""
 with t as (
@@ -123,6 +142,25 @@ m as (
          row_number() over (partition by page_id, host, path order by length(rule_host || rule_path) desc) as place
   from s left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
 select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict from m where place = 1""",
+    "op11_vector_codes": r"""
+with v as (
+  select row_number() over (order by vec_id, embedding) as vec_row, vec_id, label,
+         list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as c from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select vec_row, part, c[part * (len(c) // 4) + 1:(part + 1) * (len(c) // 4)] as x from v, range(4) r(part)),
+b0 as (select part, vec_row - 1 as entry, x from p where vec_row <= 256),"""
+    + "".join(CODE_ROUND.format(i=i, j=i + 1) for i in range(4))
+    + r"""
+f as (
+  select vec_row, part, min_by(entry, (d, entry)) as entry, min(d) as d from (
+    select p.vec_row, p.part, b.entry,
+           list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d
+    from p join b4 b on b.part = p.part) group by vec_row, part),
+e as (
+  select vec_row, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' order by part) as code, cast(sum(d) as bigint) as error from f group by vec_row),
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from b4)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from v join e using (vec_row), h""",
     "op12_filter_audit": r"""
 with t as (
   select doc_id, coalesce(text, '') as text, coalesce(source, '') as part,
