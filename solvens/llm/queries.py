@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvens.llm import exact_dedup, filter_audit, html_extract, lsh_forest, packing, quality, sentencepiece_bpe, suffix_dedup, topk, toxicity, url_rules, vector_codes
+from solvens.llm import exact_dedup, filter_audit, html_extract, lsh_forest, ngram_join, packing, quality, sentencepiece_bpe, suffix_dedup, topk, toxicity, url_rules, vector_codes
 from solvens.llm.common import table
 from solvens.session import ship_package
 
@@ -72,6 +72,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -96,6 +100,7 @@ QUERIES = {
         op10_toxicity,
         op11_vector_codes,
         op12_filter_audit,
+        op13_ngram_join,
     ]
 }
 
