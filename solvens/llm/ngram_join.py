@@ -9,9 +9,10 @@ lie in them.  Overlaps are counted fragment by fragment, each on its own, and th
 2. The first fragment differs in length from set to set.  Let o be the least overlap of a pair that links.  Then the first |x| - o + r n-grams
    of x and the first |y| - o + r of y have r or more in common.  The smaller set of a pair is cut by the o of sets of equal size, the larger one by the o of
    its smallest partner.  Pairs are counted in this fragment by grouped sums; those with fewer than r common n-grams are done with.  Frequent n-grams
-   are counted only where a set has too few others: a template that all share, or a line on every page, makes no pairs.
-3. Before that, every class that shares a quarter of its first fragment with the smallest class of an n-gram is compared with that one; what links is
-   one component from then on.  Pairs are formed only between components: a thousand near copies make a thousand comparisons, not
+   are counted only where a set has too few others: a template that all share, or a line on every page, makes no pairs.  Where they are counted,
+   only sets join in that can reach the limit by them alone; the others need infrequent n-grams in common besides.
+3. Before that, every class that shares a quarter of its first fragment with the head of an n-gram is compared with that one; what links is
+   one component from then on.  The head is the class with the least share of n-grams that are not frequent: in a group of near copies, the text they all come from.  Pairs are formed only between components: a thousand near copies make a thousand comparisons, not
    their square.  An n-gram with more than ``POSTING`` classes is cut into blocks; blocks meet in pairs, so no task holds them all.
 4. For the pairs left, all fragments of the whole sets are counted, summed and held against the limit.
 
@@ -169,7 +170,7 @@ def _first_fragment(limit: Limit, hot: np.ndarray):
     return run
 
 
-POSTINGS = "gram long, node long, n int, need int, asks boolean, size int"
+POSTINGS = "gram long, node long, n int, need int, cold int, size int, asks boolean, dense boolean, frequent boolean"
 
 
 def _postings(batches):
@@ -186,27 +187,33 @@ def _postings(batches):
             need = np.where(dense, spare, spare - frequent)
             place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             asks = place < np.repeat(np.where(dense, small, np.minimum(small, cold)), sizes)
-            columns = [np.concatenate(grams) if grams else np.zeros(0, np.int64), *(np.repeat(x, sizes) for x in (own.column("node").to_numpy(), n, need))]
+            numbers = [pa.array(np.repeat(x, sizes).astype(np.int32)) for x in (n, need, np.minimum(cold, sizes), sizes)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0]), pa.array(columns[1]), *(pa.array(c.astype(np.int32)) for c in columns[2:]), pa.array(asks), pa.array(np.repeat(sizes, sizes).astype(np.int32))],
+                [pa.array(np.concatenate(grams)), pa.array(np.repeat(own.column("node").to_numpy(), sizes)), *numbers]
+                + [pa.array(x) for x in (asks, np.repeat(dense, sizes), place >= np.repeat(cold, sizes))],
                 names=[x.split()[0] for x in POSTINGS.split(", ")],
             )
 
 
-def _close(limit: Limit, n, m):
-    """Whether sets of these sizes can reach the limit."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * limit.percent
+def _holds_without_rare(limit: Limit, n, m, cold):
+    """Whether a set of m, ``cold`` of them infrequent, may link with one of n though they have no infrequent n-gram in common."""
+    return (100 + limit.percent) * (m - cold) >= limit.percent * (n + m)
 
 
-def _pairs_of(x: str, y: str, limit: Limit):
-    """Condition on two structs of a posting: x is the smaller set and asks, y lies in another component."""
-    first = (F.col(f"{x}.n") < F.col(f"{y}.n")) | ((F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.node") < F.col(f"{y}.node")))
-    return F.col(f"{x}.asks") & first & (F.col(f"{x}.root") != F.col(f"{y}.root")) & _close(limit, F.col(f"{x}.n"), F.col(f"{y}.n"))
+def _partners(limit: Limit):
+    """Condition on x and y of a posting: x is the smaller set, y lies in another component, and this n-gram may bring them together."""
+
+    def pair(x, y):
+        smaller = (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["node"] < y["node"]))
+        close = x["n"] * 100 >= y["n"] * limit.percent
+        return smaller & close & (x["root"] != y["root"]) & (~x["frequent"] | _holds_without_rare(limit, x["n"], y["n"], y["cold"]))
+
+    return pair
 
 
 def _between_components(open_: DataFrame, limit: Limit) -> DataFrame:
     """a, b of the pairs with enough common n-grams in the first fragment.  ``open_``: postings with root and the posting's number of classes c."""
-    member = F.struct("node", "n", "need", "asks", "root")
+    member = F.struct("node", "n", "need", "cold", "asks", "dense", "frequent", "root")
     small = open_.where(F.col("c") <= POSTING).groupBy("gram").agg(F.collect_list(member).alias("xs")).withColumn("ys", F.col("xs"))
     blocks = F.ceil(F.col("c") / POSTING).cast("int")
     large = open_.where(F.col("c") > POSTING).withColumns({"k": blocks, "i": F.pmod(F.xxhash64("node"), blocks).cast("int")})
@@ -216,9 +223,15 @@ def _between_components(open_: DataFrame, limit: Limit) -> DataFrame:
     met = [d.groupBy("gram", "i", "j").agg(F.collect_list("m").alias(name)) for d, name in ((xs, "xs"), (ys, "ys"))]
     lists = small.select("xs", "ys").unionByName(met[0].join(met[1], ["gram", "i", "j"]).select("xs", "ys"))
     asking = lists.select(F.explode(F.filter("xs", lambda x: x["asks"])).alias("x"), "ys")
-    pairs = asking.select("x", F.explode("ys").alias("y")).where(_pairs_of("x", "y", limit))
-    counted = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max("x.need").alias("need"))
-    return counted.where("common >= need").select("a", "b")
+    pairs = asking.select("x", F.explode(F.filter("ys", lambda y: _partners(limit)(F.col("x"), y))).alias("y"))
+    rare = F.sum(F.when(F.col("x.frequent"), 0).otherwise(1)).alias("rare")
+    of_pair = [F.max(f"{s}.{c}").alias(f"{s}_{c}") for s, c in (("x", "need"), ("x", "dense"), ("x", "n"), ("y", "n"), ("y", "cold"))]
+    counted = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("common"), rare, *of_pair)
+    # All infrequent n-grams of a dense x have been counted, so those of y that were not found are not in x.
+    within = F.col("y_n") - F.col("y_cold") + F.col("rare")
+    reached = 100 * within >= limit.percent * (F.col("x_n") + F.col("y_n") - within)
+    by_rare = F.col("x_dense") & ~_holds_without_rare(limit, F.col("x_n"), F.col("y_n"), F.col("y_cold"))
+    return counted.where(by_rare | (F.col("common") >= F.col("x_need"))).where(~F.col("x_dense") | reached).select("a", "b")
 
 
 def _segments(limit: Limit):
@@ -273,7 +286,7 @@ def class_components(docs: DataFrame, marks: DataFrame, limit: Limit) -> tuple[D
     first = first.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "spare", "small", "cold", "grams")))
     first = first.join(classes.select(F.col("digest").alias("_d"), "node"), F.col("digest") == F.col("_d")).drop("digest", "_d")
     rows = materialise(first, "first").mapInArrow(_postings, POSTINGS)
-    sizes = rows.groupBy(F.col("gram").alias("_g")).agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("head")).where("c > 1")
+    sizes = rows.groupBy(F.col("gram").alias("_g")).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col("cold") / F.col("size"), "node"))["node"].alias("head")).where("c > 1")
     shared = materialise(rows.join(sizes, F.col("gram") == F.col("_g")).drop("_g"), "shared")
 
     met = shared.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("m"), F.max("size").alias("size")).where("4 * m >= size")
@@ -283,7 +296,7 @@ def class_components(docs: DataFrame, marks: DataFrame, limit: Limit) -> tuple[D
     found = components(links)
 
     rooted = shared.join(found.select(F.col("u").alias("_u"), F.col("v").alias("_v")), F.col("node") == F.col("_u"), "left")
-    rooted = materialise(rooted.select("gram", "node", "n", "need", "asks", "c", F.coalesce("_v", "node").alias("root")), "rooted")
+    rooted = materialise(rooted.select("gram", "node", "n", "need", "cold", "asks", "dense", "frequent", "c", F.coalesce("_v", "node").alias("root")), "rooted")
     mixed = rooted.groupBy(F.col("gram").alias("_g")).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("asks").alias("any")).where("least < most and any")
     open_ = rooted.join(mixed.select("_g"), F.col("gram") == F.col("_g"), "left_semi")
     rest = materialise(_between_components(open_, limit).join(star, ["a", "b"], "left_anti"), "pairs")
