@@ -11,7 +11,7 @@ lie in them.  Overlaps are counted fragment by fragment, each on its own, and th
    its smallest partner.  Pairs are counted in this fragment by grouped sums; those with fewer than r common n-grams are done with.  Frequent n-grams
    are counted only where a set has too few others: a template that all share, or a line on every page, makes no pairs.  Where they are counted,
    only sets join in that can reach the limit by them alone; the others need infrequent n-grams in common besides.
-3. Before that, every class that shares a quarter of its first fragment with the head of an n-gram is compared with that one; what links is
+3. Before that, every class that shares half of its first fragment with the head of an n-gram is compared with that one; what links is
    one component from then on.  The head is the class with the least share of n-grams that are not frequent: in a group of near copies, the text they all come from.  Pairs are formed only between components: a thousand near copies make a thousand comparisons, not
    their square.  An n-gram with more than ``POSTING`` classes is cut into blocks; blocks meet in pairs, so no task holds them all.
 4. For the pairs left, all fragments of the whole sets are counted, summed and held against the limit.
@@ -39,9 +39,9 @@ from solvens.session import materialise
 #: Occurrences in blocks from which an n-gram is frequent, how many are at most, and n-grams of a block.
 HOT, HOT_GRAMS, BLOCK = 32, 1 << 16, 1 << 20
 #: Fragments that whole sets are cut into; classes of an n-gram that meet at once.
-FRAGMENTS, POSTING = 4, 128
-#: r - 1 in step 2, in percent of the set.
-SPARE = 4
+FRAGMENTS, POSTING = 4, 1024
+#: r - 1 in step 2, in percent of the set and at least.
+SPARE, LEAST_SPARE = 4, 3
 #: Bytes of texts whose n-grams are held at once.
 SLICE_BYTES = 1 << 20
 
@@ -62,8 +62,9 @@ class Limit:
 
     def fragment(self, n: int) -> tuple[int, int, int]:
         """r, and the length of the first fragment as the smaller and as the larger set of a pair."""
-        spare = 1 + n * SPARE // 100
-        return spare, min(n, n - self.least_overlap(2 * n) + spare), min(n, n + self.percent * -n // 100 + spare)
+        least = self.least_overlap(2 * n)
+        spare = min(least, 1 + max(LEAST_SPARE, n * SPARE // 100))
+        return spare, min(n, n - least + spare), min(n, n + self.percent * -n // 100 + spare)
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, words: int):
@@ -170,28 +171,24 @@ def _first_fragment(limit: Limit, hot: np.ndarray):
     return run
 
 
-POSTINGS = "gram long, node long, n int, need int, cold int, size int, asks boolean, dense boolean, frequent boolean"
+POSTINGS = "gram long, node long, tag int"
+#: Bits of a posting's tag: a frequent n-gram; the set looks for partners here; above, the share of infrequent n-grams in it (per thousand).
+FREQUENT, ASKS, SHARE = 1, 2, 2
 
 
 def _postings(batches):
-    """A row per n-gram of a first fragment.  ``asks``: as the smaller set this one looks for partners here, ``need`` common n-grams."""
+    """A row per n-gram of a first fragment."""
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             own = batch.slice(a, 256)
             grams = [np.frombuffer(x, np.int64) for x in own.column("grams").to_pylist()]
             sizes = np.array([len(x) for x in grams], np.int64)
-            n, spare, small, cold = (own.column(c).to_numpy().astype(np.int64) for c in ("n", "spare", "small", "cold"))
-            frequent = np.maximum(0, small - cold)
-            # Common n-grams that may be frequent ones are not waited for; with too few others, they count as well.
-            dense = frequent >= spare
-            need = np.where(dense, spare, spare - frequent)
+            n, small, cold, dense = (own.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "small", "cold", "dense"))
             place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             asks = place < np.repeat(np.where(dense, small, np.minimum(small, cold)), sizes)
-            numbers = [pa.array(np.repeat(x, sizes).astype(np.int32)) for x in (n, need, np.minimum(cold, sizes), sizes)]
+            tag = np.repeat(1000 * cold // n << SHARE, sizes) + asks * ASKS + (place >= np.repeat(cold, sizes)) * FREQUENT
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(grams)), pa.array(np.repeat(own.column("node").to_numpy(), sizes)), *numbers]
-                + [pa.array(x) for x in (asks, np.repeat(dense, sizes), place >= np.repeat(cold, sizes))],
-                names=[x.split()[0] for x in POSTINGS.split(", ")],
+                [pa.array(np.concatenate(grams)), pa.array(np.repeat(own.column("node").to_numpy(), sizes)), pa.array(tag.astype(np.int32))], names=["gram", "node", "tag"]
             )
 
 
@@ -211,19 +208,31 @@ def _partners(limit: Limit):
     return pair
 
 
-def _between_components(open_: DataFrame, limit: Limit) -> DataFrame:
-    """a, b of the pairs with enough common n-grams in the first fragment.  ``open_``: postings with root and the posting's number of classes c."""
+def _between_components(rooted: DataFrame, limit: Limit) -> DataFrame:
+    """a, b of the pairs of components with enough common n-grams in the first fragment.  ``rooted``: postings with what is known of their sets."""
+    gram = F.col("gram") == F.col("_g")
+
+    def open_(rows):
+        """Postings of those n-grams that two components share and one asks for."""
+        of = rows.groupBy(F.col("gram").alias("_g")).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("asks").alias("any"), F.count(F.lit(1)).alias("c"))
+        return rows.join(of.where("least < most and any").select("_g", "c"), gram).drop("_g")
+
+    # A set that asks for fewer open n-grams than it needs in common has no partner as the smaller one.
+    rows = open_(rooted)
+    asking = rows.where("asks").groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.max("need").alias("need")).where("m >= need").select(F.col("node").alias("_n"))
+    rows = rows.join(asking, F.col("node") == F.col("_n"), "left").withColumn("asks", F.col("asks") & F.col("_n").isNotNull()).drop("_n", "c")
+    rows = materialise(open_(rows), "open")
+
     member = F.struct("node", "n", "need", "cold", "asks", "dense", "frequent", "root")
-    small = open_.where(F.col("c") <= POSTING).groupBy("gram").agg(F.collect_list(member).alias("xs")).withColumn("ys", F.col("xs"))
+    small = rows.where(F.col("c") <= POSTING).groupBy("gram").agg(F.collect_list(member).alias("ys"))
+    small = small.select(F.filter("ys", lambda x: x["asks"]).alias("xs"), F.explode("ys").alias("y"))
+    # Of a long posting, blocks of those that ask meet each of the others.
     blocks = F.ceil(F.col("c") / POSTING).cast("int")
-    large = open_.where(F.col("c") > POSTING).withColumns({"k": blocks, "i": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-    # Blocks that ask meet all blocks of their n-gram: of each block one list per other block.
-    xs = large.where("asks").select("gram", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), member.alias("m"))
-    ys = large.select("gram", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.col("i").alias("j"), member.alias("m"))
-    met = [d.groupBy("gram", "i", "j").agg(F.collect_list("m").alias(name)) for d, name in ((xs, "xs"), (ys, "ys"))]
-    lists = small.select("xs", "ys").unionByName(met[0].join(met[1], ["gram", "i", "j"]).select("xs", "ys"))
-    asking = lists.select(F.explode(F.filter("xs", lambda x: x["asks"])).alias("x"), "ys")
-    pairs = asking.select("x", F.explode(F.filter("ys", lambda y: _partners(limit)(F.col("x"), y))).alias("y"))
+    large = rows.where(F.col("c") > POSTING).withColumn("k", blocks)
+    xs = large.where("asks").groupBy(F.col("gram").alias("_g"), F.pmod(F.xxhash64("node"), "k").cast("int").alias("_i")).agg(F.collect_list(member).alias("xs"))
+    ys = large.select("gram", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), member.alias("y"))
+    met = small.unionByName(ys.join(xs, gram & (F.col("i") == F.col("_i"))).select("xs", "y"))
+    pairs = met.select(F.explode(F.filter("xs", lambda x: _partners(limit)(x, F.col("y")))).alias("x"), "y")
     rare = F.sum(F.when(F.col("x.frequent"), 0).otherwise(1)).alias("rare")
     of_pair = [F.max(f"{s}.{c}").alias(f"{s}_{c}") for s, c in (("x", "need"), ("x", "dense"), ("x", "n"), ("y", "n"), ("y", "cold"))]
     counted = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("common"), rare, *of_pair)
@@ -235,18 +244,19 @@ def _between_components(open_: DataFrame, limit: Limit) -> DataFrame:
 
 
 def _segments(limit: Limit):
-    edge = -(-(2**63) // FRAGMENTS)
+    """Whole sets, cut into fragments by hash."""
+    edges = np.array([min(2**63, k * -(-(2**63) // FRAGMENTS)) for k in range(FRAGMENTS + 1)], np.uint64)
 
     def run(batches):
         for batch in batches:
-            digests, fragments, grams = [], [], []
+            digests, segments = [], []
             for own in gram_sets(*text_bytes(batch.column("text")), limit.words):
-                edges = np.searchsorted(own, np.array([k * edge for k in range(FRAGMENTS)] + [2**63], np.uint64))
-                digest = _digest(own)
-                for k in range(FRAGMENTS if digest else 0):
-                    digests.append(digest), fragments.append(k), grams.append(own[edges[k] : edges[k + 1]].tobytes())
+                if len(own):
+                    at = np.searchsorted(own, edges).tolist()
+                    digests.append(_digest(own))
+                    segments.append([own[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
             if digests:
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(fragments, pa.int8()), pa.array(grams, pa.binary())], names=["digest", "fragment", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(segments, pa.list_(pa.binary()))], names=["digest", "segments"])
         give_back()
 
     return run
@@ -265,10 +275,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, limit: Limit)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct()
     of = materialise(classes.join(involved, F.col("node") == F.col("_n"), "left_semi"), "involved")
     near, _ = split_by_keys(docs, F.col("doc_id"), of.select("rep"))
-    cut = near.select("text").mapInArrow(_segments(limit), "digest binary, fragment byte, grams binary")
+    cut = near.select("text").mapInArrow(_segments(limit), "digest binary, segments array<binary>")
     own = of.select(F.col("digest").alias("_d"), "node", "n")
-    cut = cut.groupBy("digest", "fragment").agg(F.first("grams").alias("grams"))
-    cut = materialise(cut.join(own, F.col("digest") == F.col("_d")).select("node", "fragment", "grams"), "segments")
+    cut = cut.groupBy("digest").agg(F.first("segments").alias("segments")).join(own, F.col("digest") == F.col("_d"))
+    cut = materialise(cut.select("node", F.posexplode("segments").alias("fragment", "grams")), "segments")
     both = pairs.join(cut.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("x")), "a")
     both = both.join(cut.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("y")), ["b", "fragment"])
     summed = both.select("a", "b", "x", "y").mapInArrow(_overlap, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
@@ -284,22 +294,29 @@ def class_components(docs: DataFrame, marks: DataFrame, limit: Limit) -> tuple[D
     classes = materialise(of.withColumn("node", F.monotonically_increasing_id()), "classes")
     first = docs.where("doc_id is not null").select("text").mapInArrow(_first_fragment(limit, frequent_grams(marks)), FIRST)
     first = first.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "spare", "small", "cold", "grams")))
-    first = first.join(classes.select(F.col("digest").alias("_d"), "node"), F.col("digest") == F.col("_d")).drop("digest", "_d")
-    rows = materialise(first, "first").mapInArrow(_postings, POSTINGS)
-    sizes = rows.groupBy(F.col("gram").alias("_g")).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col("cold") / F.col("size"), "node"))["node"].alias("head")).where("c > 1")
-    shared = materialise(rows.join(sizes, F.col("gram") == F.col("_g")).drop("_g"), "shared")
-
-    met = shared.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("m"), F.max("size").alias("size")).where("4 * m >= size")
-    star = met.groupBy("node").agg(F.max_by("head", F.struct("m", -F.col("head"))).alias("head"))
-    star = materialise(star.select(F.col("head").alias("a"), F.col("node").alias("b")), "pairs")
+    frequent = F.greatest(F.lit(0), F.col("small") - F.col("cold"))
+    # Common n-grams that may be frequent ones are not waited for; a dense set has too few others, there they count as well.
+    dense = frequent >= F.col("spare")
+    need = F.when(dense, F.col("spare")).otherwise(F.col("spare") - frequent)
+    first = first.join(classes.select(F.col("digest").alias("_d"), "node"), F.col("digest") == F.col("_d"))
+    first = first.withColumns({"size": (F.octet_length("grams") / 8).cast("int"), "need": need.cast("int"), "dense": dense})
+    first = materialise(first.select("node", "n", "small", "need", "dense", "size", F.least("cold", "size").alias("cold"), "grams"), "first")
+    rows = first.select("node", "n", "small", "cold", "dense", "grams").mapInArrow(_postings, POSTINGS)
+    head = F.min(F.struct(F.shiftright("tag", SHARE).alias("share"), "node"))["node"]
+    sizes = rows.groupBy(F.col("gram").alias("_g")).agg(F.count(F.lit(1)).alias("c"), head.alias("head")).where("c > 1")
+    shared = materialise(rows.join(sizes, F.col("gram") == F.col("_g")).select("gram", "node", "tag", "head"), "shared")
+
+    met = shared.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("m"))
+    star = met.groupBy(F.col("node").alias("b")).agg(F.max_by("head", F.struct("m", -F.col("head"))).alias("a"), F.max("m").alias("m"))
+    star = star.join(first.select(F.col("node").alias("b"), "size"), "b").where("2 * m >= size").select("a", "b")
+    star = materialise(star, "pairs")
     links = materialise(_linked(star, docs, classes, limit), "links")
     found = components(links)
 
-    rooted = shared.join(found.select(F.col("u").alias("_u"), F.col("v").alias("_v")), F.col("node") == F.col("_u"), "left")
-    rooted = materialise(rooted.select("gram", "node", "n", "need", "cold", "asks", "dense", "frequent", "c", F.coalesce("_v", "node").alias("root")), "rooted")
-    mixed = rooted.groupBy(F.col("gram").alias("_g")).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("asks").alias("any")).where("least < most and any")
-    open_ = rooted.join(mixed.select("_g"), F.col("gram") == F.col("_g"), "left_semi")
-    rest = materialise(_between_components(open_, limit).join(star, ["a", "b"], "left_anti"), "pairs")
+    of = first.select(F.col("node").alias("_n"), "n", "need", "dense", "cold").join(found, F.col("_n") == F.col("u"), "left").withColumn("root", F.coalesce("v", "_n")).drop("u", "v")
+    flags = {"asks": F.col("tag").bitwiseAND(ASKS) > 0, "frequent": F.col("tag").bitwiseAND(FREQUENT) > 0}
+    rooted = shared.join(of, F.col("node") == F.col("_n")).withColumns(flags).drop("_n", "tag", "head")
+    rest = materialise(_between_components(rooted, limit).join(star, ["a", "b"], "left_anti"), "pairs")
     more = materialise(_linked(rest, docs, classes, limit), "links")
     if more.limit(1).count():
         found = components(found.unionByName(more))

@@ -72,7 +72,7 @@ def some_rows(rng):
     return out + [out[5], out[5], (7, "another text of an id that occurs twice already"), (None, base[7]), (None, None)]
 
 
-@pytest.mark.parametrize("settings, limit", [({}, Limit(5, 75)), ({"HOT": 3, "POSTING": 4, "BLOCK": 2000}, Limit(4, 85)), ({"HOT_GRAMS": 0, "SPARE": 0}, Limit(5, 75))])
+@pytest.mark.parametrize("settings, limit", [({}, Limit(5, 75)), ({"HOT": 3, "POSTING": 4, "BLOCK": 2000, "LEAST_SPARE": 1}, Limit(4, 85)), ({"HOT_GRAMS": 0, "SPARE": 0, "LEAST_SPARE": 0}, Limit(5, 75))])
 def test_groups(spark, monkeypatch, settings, limit):
     for name, value in settings.items():
         monkeypatch.setattr(ngram_join, name, value)
