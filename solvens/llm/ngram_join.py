@@ -12,7 +12,8 @@ lie in them.  Overlaps are counted fragment by fragment, each on its own, and th
    are counted only where a set has too few others: a template that all share, or a line on every page, makes no pairs.  Where they are counted,
    only sets join in that can reach the limit by them alone; the others need infrequent n-grams in common besides.
 3. Before that, every class that shares half of its first fragment with the head of an n-gram is compared with that one; what links is
-   one component from then on.  The head is the class with the least share of n-grams that are not frequent: in a group of near copies, the text they all come from.  Pairs are formed only between components: a thousand near copies make a thousand comparisons, not
+   one component from then on.  The head is the class with the least share of n-grams that are not frequent: in a group of near copies, the text they all come from.  ``STARS``
+   rounds with other heads follow.  Pairs are formed only between components: a thousand near copies make a thousand comparisons, not
    their square.  An n-gram with more than ``POSTING`` classes is cut into blocks; blocks meet in pairs, so no task holds them all.
 4. For the pairs left, all fragments of the whole sets are counted, summed and held against the limit.
 
@@ -40,6 +41,8 @@ from solvens.session import materialise
 HOT, HOT_GRAMS, BLOCK = 32, 1 << 16, 1 << 20
 #: Fragments that whole sets are cut into; classes of an n-gram that meet at once.
 FRAGMENTS, POSTING = 4, 1024
+#: Further rounds of comparisons with heads.
+STARS = 1
 #: r - 1 in step 2, in percent of the set and at least.
 SPARE, LEAST_SPARE = 4, 3
 #: Bytes of texts whose n-grams are held at once.
@@ -313,10 +316,23 @@ def class_components(docs: DataFrame, marks: DataFrame, limit: Limit) -> tuple[D
     links = materialise(_linked(star, docs, classes, limit), "links")
     found = components(links)
 
-    of = first.select(F.col("node").alias("_n"), "n", "need", "dense", "cold").join(found, F.col("_n") == F.col("u"), "left").withColumn("root", F.coalesce("v", "_n")).drop("u", "v")
+    def rooted() -> DataFrame:
+        of = first.select(F.col("node").alias("_n"), "n", "need", "dense", "cold", "size").join(found, F.col("_n") == F.col("u"), "left").withColumn("root", F.coalesce("v", "_n"))
+        return shared.join(of.drop("u", "v"), F.col("node") == F.col("_n")).drop("_n", "head")
+
+    for turn in range(STARS):
+        # Other heads, the same for most n-grams of a group: those that the first head left apart often link by one of them.
+        rows = materialise(rooted().select("gram", "node", "size", "root"), "rooted")
+        least = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root"))
+        heads = rows.groupBy(F.col("gram").alias("_g")).agg(least.alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        met = rows.join(heads.select("_g", "head"), F.col("gram") == F.col("_g")).where(F.col("root") != F.col("head.root"))
+        met = met.groupBy("node", F.col("head.node").alias("head")).agg(F.count(F.lit(1)).alias("m"), F.max("size").alias("size")).where("2 * m >= size")
+        more = met.groupBy(F.col("node").alias("b")).agg(F.max_by("head", F.struct("m", -F.col("head"))).alias("a"))
+        more = materialise(more.select("a", "b"), "pairs")
+        found = components(found.unionByName(materialise(_linked(more, docs, classes, limit), "links")))
     flags = {"asks": F.col("tag").bitwiseAND(ASKS) > 0, "frequent": F.col("tag").bitwiseAND(FREQUENT) > 0}
-    rooted = shared.join(of, F.col("node") == F.col("_n")).withColumns(flags).drop("_n", "tag", "head")
-    rest = materialise(_between_components(rooted, limit).join(star, ["a", "b"], "left_anti"), "pairs")
+    rows = rooted().withColumns(flags).drop("tag", "size")
+    rest = materialise(_between_components(rows, limit).join(star, ["a", "b"], "left_anti"), "pairs")
     more = materialise(_linked(rest, docs, classes, limit), "links")
     if more.limit(1).count():
         found = components(found.unionByName(more))
