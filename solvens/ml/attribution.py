@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvens.ml.boosting import SoftmaxBoostModel
+from solvens.ml.histogram import HistogramBoostModel, Tree
 from solvens.session import scratch_path
 
 
@@ -75,6 +76,11 @@ def _leaf_paths(nodes: dict, value_of) -> list[Leaf]:
     return out
 
 
+def _tree_leaves(tree: Tree) -> list[Leaf]:
+    nodes = {n: {c: getattr(tree, c)[n] for c in ("left", "right", "feature", "threshold", "value", "cover")} for n in range(len(tree.left))}
+    return _leaf_paths(nodes, lambda node: np.array([node["value"]]))
+
+
 def _class_shares(node) -> np.ndarray:
     stats = np.array(node["stats"], float)
     return stats / stats.sum() if stats.sum() else np.full(len(stats), 1 / len(stats))
@@ -125,6 +131,8 @@ def model_leaves(model, spark) -> tuple[list[list[Leaf]], list[tuple[int, int]]]
     Boosted multi-class models have one list per class, forests one list with a value per class, binary boosting
     one list with one value (its margin).
     """
+    if isinstance(model, HistogramBoostModel):
+        return [[leaf for tree in own for leaf in _tree_leaves(tree)] for own in model.trees], [(k, 0) for k in range(model.classes)]
     if isinstance(model, SoftmaxBoostModel):
         return [ensemble_leaves(saved_nodes(m, spark)) for m in model.ensembles], [(k, 0) for k in range(model.classes)]
     votes = "RandomForestClassification" in type(model).__name__
@@ -190,6 +198,6 @@ def tree_attributions(model, df: DataFrame, keys: list[str], names: list[str], f
 def base_values(model, spark) -> list[float]:
     """Expected margin (forests: probability) per class under the trees' training covers."""
     lists, places = model_leaves(model, spark)
-    start = model.start if isinstance(model, SoftmaxBoostModel) else [0.0] * len(places)
+    start = model.start if isinstance(model, (SoftmaxBoostModel, HistogramBoostModel)) else [0.0] * len(places)
     expected = [expected_value(leaves) for leaves in lists]
     return [float(start[k] + expected[own][place]) for k, (own, place) in enumerate(places)]

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 
-from solvens.ml.boosting import SoftmaxBoost
+from solvens.ml.histogram import HistogramBoost
 
 # Spark limits tree depth to 30; "unlimited" is mapped to it.
 UNLIMITED_DEPTH = 30
@@ -26,8 +26,8 @@ PRESETS = {
     "logistic_regression": Preset("lr", {"C": 10.0, "max_iter": 2000}, scaled=True),
     "random_forest": Preset("rf", {"trees": 200, "depth": None, "min_leaf": 1}),
     "boost_a": Preset("boost", {"rounds": 200, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8, "colsample": 0.8}),
-    "boost_b": Preset("boost", {"rounds": 250, "max_depth": 6, "learning_rate": 0.1}),
-    "boost_c": Preset("boost", {"rounds": 200, "max_depth": 10, "learning_rate": 0.1}),
+    "boost_b": Preset("boost", {"rounds": 250, "max_depth": 6, "learning_rate": 0.1, "l2": 3.0}),
+    "boost_c": Preset("boost", {"rounds": 200, "max_depth": 10, "learning_rate": 0.1, "max_leaves": 31}),
     "extra_trees": Preset("et", {"trees": 300, "depth": 20}),
     "boost_enhanced": Preset("boost", {"rounds": 350, "max_depth": 6, "learning_rate": 0.07, "subsample": 0.85, "colsample": 0.85}),
     "audited_logistic_regression": Preset("lr", {"C": 1.0, "max_iter": 2000}, scaled=True),
@@ -113,4 +113,4 @@ def build(name: str, n_rows: int, overrides: dict | None = None, features="featu
         return random_forest(**params, **common)
     if preset.kind == "et":
         return extra_trees(**params, **common)
-    return SoftmaxBoost(**params, **common)
+    return HistogramBoost(**params, **common)

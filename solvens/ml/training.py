@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from solvens.functions.arrays import argmax, cascade_class, cascade_probabilities
 from solvens.ml import models
 from solvens.ml.boosting import SoftmaxBoost, SoftmaxBoostModel
+from solvens.ml.histogram import HistogramBoostModel
 from solvens.ml.evaluation import MacroF1Evaluator
 from solvens.ml.stages import PreprocessModel
 from solvens.operators.labels import binary_target, distressed_only
@@ -79,7 +80,7 @@ class Trained:
     def save(self, spark, path: str) -> None:
         """Model, preprocessing and name below ``path``; all that scoring needs."""
         self.prepared.save(f"{path}/prepared")
-        boosted = isinstance(self.model, SoftmaxBoostModel)
+        boosted = isinstance(self.model, HistogramBoostModel)
         if boosted:
             self.model.save(spark, f"{path}/model")
         else:
@@ -90,13 +91,13 @@ class Trained:
     @staticmethod
     def load(spark, path: str) -> "Trained":
         meta = spark.read.schema("name string, boosted boolean").json(f"{path}/meta").first()
-        model = SoftmaxBoostModel.load(spark, f"{path}/model") if meta.boosted else PipelineModel.load(f"{path}/model").stages[0]
+        model = HistogramBoostModel.load(spark, f"{path}/model") if meta.boosted else PipelineModel.load(f"{path}/model").stages[0]
         return Trained(meta.name, Prepared.load(f"{path}/prepared"), model)
 
 
 def score_with(model, df: DataFrame) -> DataFrame:
     """Adds ``probs`` (array) and ``pred`` whatever the kind of model."""
-    if isinstance(model, SoftmaxBoostModel):
+    if isinstance(model, (SoftmaxBoostModel, HistogramBoostModel)):
         return model.transform(df)
     out = model.transform(df)
     if "probability" in out.columns:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from solvens.ml import models, training
 from solvens.ml.attribution import attribute, base_values, ensemble_leaves, expected_value, saved_nodes, tree_attributions
 from solvens.ml.boosting import SoftmaxBoost, SoftmaxBoostModel
+from solvens.ml.histogram import HistogramBoost
 from solvens.ml.evaluation import MacroF1Evaluator
 from solvens.ml.scoring import Registry, score_statements
 from solvens.operators.neighbours import distinct_points, nearest_points, neighbour_slots
@@ -195,4 +196,4 @@ def test_presets_cover_both_runs():
     assert len(training.grid_points(models.GRIDS["random_forest"])) == 16
     for name in models.PRESETS:
         if models.PRESETS[name].kind == "boost":
-            assert isinstance(models.build(name, 10), SoftmaxBoost)
+            assert isinstance(models.build(name, 10), HistogramBoost)
