@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, GBTClassificationModel
@@ -287,15 +288,34 @@ def train_cascade(train: DataFrame, columns: list[str], target: str = "target",
 # --- comparison ----------------------------------------------------------------
 
 
-def compare_balancing(names: list[str], df: DataFrame, columns: list[str], target: str = "target", row_id: str = "row_id", overrides: dict | None = None) -> DataFrame:
-    """Out-of-fold predictions of each model under class weights and under oversampling."""
-    out = None
-    for name in names:
-        for method in ("weights", "smote"):
-            part = cross_validate(name, df, columns, target, row_id, method, (overrides or {}).get(name))
-            part = part.select(F.lit(name).alias("model"), F.lit(method).alias("balance"), *part.columns)
-            out = part if out is None else out.unionByName(part)
-    return out
+def compare_balancing(names: list[str], df: DataFrame, columns: list[str], target: str = "target", row_id: str = "row_id", overrides: dict | None = None, fold: str = "fold", parallelism: int = 5) -> DataFrame:
+    """Out-of-fold predictions of each model under class weights and under oversampling, over all folds of the table.
+
+    Folds run side by side.  Medians and deviations are fitted once per fold and serve all models and both ways; models that see the same
+    space share its oversampled rows.  Predictions are written as soon as a fold has them.
+    """
+    df = df.select(row_id, target, fold, *columns)
+
+    def run(f: int) -> DataFrame:
+        train, valid = fold_parts(df, f, fold)
+        fitted = Prepared.fit(train, columns, True)
+        spaces = {scaled: fitted if scaled else Prepared(columns, fitted.imputer, None) for scaled in {models.PRESETS[n].scaled for n in names}}
+        parts = []
+        for scaled, prepared in spaces.items():
+            judged = materialise(prepared.transform(valid).select(row_id, target, fold, "features"), "fold-valid")
+            for method in ("weights", "smote"):
+                rows, weight = rebalance(train, prepared, target, row_id, method)
+                rows = materialise(rows.select("features", target, *([weight] if weight else [])), "fold-train")
+                n = rows.count()
+                for name in (m for m in names if models.PRESETS[m].scaled == scaled):
+                    estimator = models.build(name, n, (overrides or {}).get(name), label=target, weight=weight)
+                    scored = score_with(estimator.fit(rows), judged)
+                    parts.append(scored.select(F.lit(name).alias("model"), F.lit(method).alias("balance"), row_id, target, fold, "pred"))
+        return materialise(reduce(DataFrame.unionByName, parts), "predictions")
+
+    numbers = sorted(r[0] for r in df.select(fold).distinct().collect())
+    with ThreadPoolExecutor(parallelism) as pool:
+        return reduce(DataFrame.unionByName, pool.map(run, numbers))
 
 
 def held_out_predictions(trained: list[Trained], test: DataFrame, target: str = "target", keys: list[str] = ("row_id",)) -> DataFrame:
