@@ -503,18 +503,29 @@ def _changes(rows: DataFrame, with_text: bool, units: tuple[Unit, ...]) -> DataF
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of every row.
+
+    ``text`` is what is left, in whole characters: of a character that is cut in part, all bytes stay.  ``kept_sha256`` is of the bytes left.
+    Only rows that may have changed move.
+    """
     rows = with_uid(docs, id_col, text_col)
+    changes = materialise(_changes(rows, True, units), "changes")
+    near, rest = split_by_keys(rows, F.col("uid"), changes.select("_u"))
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    own = rows.select("uid", "doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole_sha256"))
     none = F.lit(0).cast("long")
-    return own.join(_changes(rows, False, units), F.col("uid") == F.col("_u"), "left").select(
-        "doc_id",
-        "n_bytes",
-        F.coalesce("n_removed", none).alias("n_removed"),
-        F.coalesce("n_spans", none).alias("n_spans"),
-        F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
-    )
+
+    def result(part: DataFrame) -> DataFrame:
+        return part.select(
+            "doc_id",
+            F.octet_length(raw).cast("long").alias("n_bytes"),
+            F.coalesce("n_removed", none).alias("n_removed"),
+            F.coalesce("n_spans", none).alias("n_spans"),
+            F.coalesce("kept_sha256", F.sha2(raw, 256)).alias("kept_sha256"),
+            F.coalesce(F.col("kept").cast("string"), F.col("text"), F.lit("")).alias("text"),
+        )
+
+    unchanged = {f.name: F.lit(None).cast(f.dataType) for f in changes.schema.fields if f.name != "_u"}
+    return result(near.join(changes, F.col("uid") == F.col("_u"), "left")).unionByName(result(rest.withColumns(unchanged)))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:

@@ -263,6 +263,8 @@ def test_repeats(spark, rows, group, monkeypatch):
     got = suffix_dedup.cut_repeats(documents(spark, few)).collect()
     expected = brute_spans([(t or "").encode() for _, t in few], suffix_dedup.LENGTH)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((str(i), *e) for (i, _), e in zip(few, expected, strict=True))
+    whole = [r for r in got if r.text.isascii()]
+    assert len(whole) > 50 and all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in whole)
     assert suffix_dedup.cut_repeats(documents(spark, [])).count() == 0
 
 
