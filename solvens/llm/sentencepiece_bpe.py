@@ -18,6 +18,7 @@ rounds, not recursion.  The table of words met is dropped when it reaches ``CACH
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from functools import lru_cache
 
@@ -29,9 +30,12 @@ from pyspark.sql.types import LongType, StringType, StructField
 from solvens.llm.common import add_columns
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+#: Characters of the words whose ids a worker remembers.
+CACHE_CHARS = 4_000_000
 #: Characters of one vectorised call.
 ROUND_CHARS = 1 << 20
+#: Symbols from which a run that no border cuts is merged by a queue: a round's cost is the run's length.
+LONG_RUN = 2_048
 NONE = np.int32(2**31 - 1)
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -58,7 +62,7 @@ class Encoder:
                 a, b = ids.get(piece[:k]), ids.get(piece[k:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), made.append(i)
-        self.n = n
+        self.n, self.pair = n, None
         key = np.array(left, np.int64) * n + np.array(right, np.int64)
         order = np.argsort(key)
         self.key, self.made = key[order], np.array(made, np.int32)[order]
@@ -73,6 +77,9 @@ class Encoder:
         for p, i in ids.items():
             if len(p) == 1:
                 self.single[ord(p)] = i
+        # Characters that no piece holds side by side: no merge ever crosses the border between them.
+        pairs = {(ord(x) << 21) + ord(y) for p in ids for x, y in zip(p[:-1], p[1:], strict=True)}
+        self.adjacent = np.array(sorted(pairs) or [-1], np.int64)
         self.byte_id = {}
         self.raw = []
         for i, p in enumerate(self.pieces):
@@ -88,14 +95,61 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where((self.key[at] == key) & (a >= 0) & (b >= 0), at, -1)
 
+    def queued(self, symbols: list[int]) -> list[int]:
+        """The merges of one long run, least rank first, leftmost of equals, each in logarithmic time."""
+        if self.pair is None:
+            self.pair = dict(zip(self.key.tolist(), zip(self.rank_of_pair.tolist(), self.made.tolist(), strict=True), strict=True))
+        n, pair = len(symbols), self.pair
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = []
+
+        def offer(i: int, j: int):
+            a, b = symbols[i], symbols[j]
+            found = pair.get(a * self.n + b) if a >= 0 and b >= 0 else None
+            if found:
+                waiting.append((found[0], i, a, b, found[1]))
+                return True
+            return False
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        heapq.heapify(waiting)
+        push = lambda i, j: offer(i, j) and heapq.heappush(waiting, waiting.pop())
+        gone = -(2**40)
+        while waiting:
+            _, i, a, b, made = heapq.heappop(waiting)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = made, gone
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                push(i, after[i])
+            if before[i] >= 0:
+                push(before[i], i)
+        return [s for s in symbols if s != gone]
+
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; symbols that are no piece as bytes."""
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        """Ids of each word; symbols that are no piece as bytes.  Words are cut into runs at the borders that no merge crosses."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = self.single[chars]
-        symbols = np.where(symbols < 0, -1 - chars.astype(np.int64), symbols).astype(np.int64)
-        word = np.repeat(np.arange(len(words)), lengths)
+        symbols = np.where(symbols < 0, -1 - chars, symbols).astype(np.int64)
+        side = (chars[:-1] << 21) + chars[1:]
+        border = self.adjacent[np.minimum(np.searchsorted(self.adjacent, side), len(self.adjacent) - 1)] != side
+        border[np.cumsum(lengths)[:-1] - 1] = True
+        edges = np.r_[0, np.flatnonzero(border) + 1, len(chars)]
+        of_word = np.searchsorted(np.cumsum(lengths), edges[:-1], side="right")
+        sizes = np.diff(edges)
+        word = np.repeat(np.arange(len(sizes)), sizes)
         done_symbols, done_words = [], []
+        if len(sizes) and sizes.max() >= LONG_RUN:
+            for run in np.flatnonzero(sizes >= LONG_RUN).tolist():
+                done_symbols.append(np.array(self.queued(symbols[edges[run] : edges[run + 1]].tolist()), np.int64))
+                done_words.append(np.full(len(done_symbols[-1]), run))
+            short = np.repeat(sizes < LONG_RUN, sizes)
+            symbols, word = symbols[short], word[short]
         while len(symbols):
             at = self.lookup(np.maximum(symbols[:-1], -1), np.maximum(symbols[1:], -1))
             at[word[:-1] != word[1:]] = -1
@@ -129,7 +183,7 @@ class Encoder:
         symbols, word = np.concatenate(done_symbols or [symbols]), np.concatenate(done_words or [word])
         order = np.argsort(word, kind="stable")
         symbols, word = symbols[order], word[order]
-        cut = np.searchsorted(word, np.arange(len(words) + 1))
+        cut = np.searchsorted(of_word[word], np.arange(len(words) + 1))
         unknown = symbols < 0
         out = []
         for k in range(len(words)):
@@ -168,6 +222,7 @@ def encoder(path: str) -> Encoder:
 
 
 _known: dict[str, dict] = {}
+_held_chars: dict[str, int] = {}
 
 
 def encode_each(path: str, texts):
@@ -177,9 +232,12 @@ def encode_each(path: str, texts):
     chars = 0
 
     def flush():
-        if len(known) > CACHE_WORDS:
+        if _held_chars.get(path, 0) > CACHE_CHARS:
             known.clear()
-        own.new_words(list({w for ws in held for w in ws if w not in known}), known)
+            _held_chars[path] = 0
+        fresh = list({w for ws in held for w in ws if w not in known})
+        _held_chars[path] = _held_chars.get(path, 0) + sum(map(len, fresh))
+        own.new_words(fresh, known)
         for ws in held:
             yield [i for w in ws for i in known[w]]
         held.clear()

@@ -438,3 +438,24 @@ def test_pipeline(spark, rows, tmp_path):
             assert hashlib.sha256((got[i] or "").encode()).hexdigest() == sha
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == ids[3]
+
+
+def test_sentencepiece_long_words():
+    """Words without spaces: ids as the library's, in about linear time."""
+    import time
+
+    import sentencepiece
+
+    path = queries.tokenizer_path()
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(41)
+    letters = "".join(rng.choice("etaoinshrdluaeiou") for _ in range(80_000))
+    prose = "".join(rng.choice(["the", "ing", "ation", "er", "in", "on", "re"]) for _ in range(20_000))
+    coded = "".join(rng.choice("ABCdefGHIjkl0123456789+/") for _ in range(60_000))
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(20_000))
+    own = sentencepiece_bpe.encoder(path)
+    own.encode_words(["warm"])
+    for text in (letters, prose, coded, han, "a" * 50_000, "ab " * 3_000 + letters[:3_000] + "\U0001f600" * 3_000, " " * 5_000 + "x"):
+        began = time.time()
+        assert next(iter(sentencepiece_bpe.encode_each(path, [text]))) == library.encode(text)
+        assert time.time() - began < 8
