@@ -36,10 +36,16 @@ CACHE_CHARS = 4_000_000
 ROUND_CHARS = 1 << 20
 #: Symbols from which a run that no border cuts is merged by a queue: a round's cost is the run's length.
 LONG_RUN = 2_048
+#: Characters of a word from which borders are looked for, and bits of the map of neighbours.
+CUT_FROM, BORDER_BITS = 64, 20
 NONE = np.int32(2**31 - 1)
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def _side(a, b):
+    return (a * 40_503 + b) & ((1 << BORDER_BITS) - 1)
+
+
 class Encoder:
     """Vocabulary of a model as arrays: ids of single characters, and the sorted table of pairs that merge."""
 
@@ -77,9 +83,9 @@ class Encoder:
         for p, i in ids.items():
             if len(p) == 1:
                 self.single[ord(p)] = i
-        # Characters that no piece holds side by side: no merge ever crosses the border between them.
-        pairs = {(ord(x) << 21) + ord(y) for p in ids for x, y in zip(p[:-1], p[1:], strict=True)}
-        self.adjacent = np.array(sorted(pairs) or [-1], np.int64)
+        # Marks all characters that a piece holds side by side (and a few others, by their hash): no merge crosses the border of two that aren't marked.
+        self.adjacent = np.zeros(1 << BORDER_BITS, bool)
+        self.adjacent[[_side(ord(x), ord(y)) for p in ids for x, y in zip(p[:-1], p[1:], strict=True)]] = True
         self.byte_id = {}
         self.raw = []
         for i, p in enumerate(self.pieces):
@@ -136,11 +142,11 @@ class Encoder:
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = self.single[chars]
         symbols = np.where(symbols < 0, -1 - chars, symbols).astype(np.int64)
-        side = (chars[:-1] << 21) + chars[1:]
-        border = self.adjacent[np.minimum(np.searchsorted(self.adjacent, side), len(self.adjacent) - 1)] != side
-        border[np.cumsum(lengths)[:-1] - 1] = True
+        ends = np.cumsum(lengths)
+        border = ~self.adjacent[_side(chars[:-1], chars[1:])] if len(lengths) and lengths.max() >= CUT_FROM else np.zeros(max(0, len(chars) - 1), bool)
+        border[ends[:-1] - 1] = True
         edges = np.r_[0, np.flatnonzero(border) + 1, len(chars)]
-        of_word = np.searchsorted(np.cumsum(lengths), edges[:-1], side="right")
+        of_word = np.searchsorted(ends, edges[:-1], side="right")
         sizes = np.diff(edges)
         word = np.repeat(np.arange(len(sizes)), sizes)
         done_symbols, done_words = [], []
