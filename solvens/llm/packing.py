@@ -28,6 +28,8 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 16
 #: Tokens of a shard on average.
 SHARD_TOKENS = 4_000_000
+#: Rows of a shard on average: empty texts have no tokens, but take room too.
+SHARD_ROWS = 50_000
 
 
 def token_count(text: Column) -> Column:
@@ -78,7 +80,7 @@ def pack_pieces(pieces: list[tuple], lengths: tuple, overhead: int = OVERHEAD) -
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None, lengths: tuple = LENGTHS, overhead: int = OVERHEAD, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None, lengths: tuple = LENGTHS, overhead: int = OVERHEAD, shard_tokens: int = SHARD_TOKENS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """shard, bin, bin_size, bin_used, place, doc_id, piece, start, n_tokens: where every piece of every row lies.
 
     ``start`` is the piece's first token in its document, ``place`` its place in the bin.
@@ -86,13 +88,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None,
     lengths = tuple(sorted(lengths))
     most = lengths[-1]
     tokens = token_count(F.col("text")) if tokens is None else tokens
-    sized = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.alias("n")), "lengths")
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
+    # Numbered as written: rows without an id, and rows that share one, spread over the shards like all others.
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.alias("n"), F.monotonically_increasing_id().alias("row"))
+    sized = materialise(sized, "lengths")
+    total, count = sized.agg(F.sum("n"), F.count(F.lit(1))).first()
+    shards = max(1, -(-(total or 0) // shard_tokens), -(-count // shard_rows))
     full = F.when(F.col("n") > 0, F.floor((F.col("n") - 1) / most)).otherwise(0)
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), full.cast("long"))))
     cut = cut.select(
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"),
         "doc_id",
         "piece",
         (F.col("piece") * most).alias("start"),

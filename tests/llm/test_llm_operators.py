@@ -459,3 +459,10 @@ def test_sentencepiece_long_words():
         began = time.time()
         assert next(iter(sentencepiece_bpe.encode_each(path, [text]))) == library.encode(text)
         assert time.time() - began < 8
+
+
+def test_packing_spreads_rows_without_ids_or_text(spark):
+    """Rows without an id, with one id and without tokens fall into all shards, not into one."""
+    for rows in ([(None, "a b c")] * 600, [(7, "a b c")] * 600, [(i, "") for i in range(600)]):
+        sizes = packing.pack(documents(spark, rows), shard_rows=100).groupBy("shard").count().collect()
+        assert sum(r["count"] for r in sizes) == 600 and len(sizes) == 6 and max(r["count"] for r in sizes) < 200
