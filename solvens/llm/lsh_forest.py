@@ -10,6 +10,10 @@ its pairs as candidates; a larger one is cut up by the next depth, on its own, u
 of large regions are paired with the region's smallest document besides, at every depth, so that large groups of near copies
 hang together.  Depth adapts to each region; no member is dropped.
 
+Where many documents are alike but for some (one template, a long quotation), two that link may part in every tree before their region
+is small.  Documents that stand in large regions of more than ``CROWDED`` trees are therefore joined exactly, by their shared
+shingles (``ngram_join``), between the components that the trees have found; so region sizes lose no link.
+
 Candidates whose signatures agree in less than ``LEAST_ALIKE`` of all minima are let go (a pair at the limit of .75
 has a share below that with odds of about 1 in 30,000).  The others are confirmed on the full sets: first each
 document with its most alike partner, then, between the components found so far, every other candidate.  Pairs
@@ -33,12 +37,15 @@ from pyspark.sql import functions as F
 
 from solvens.llm.common import SPACE_TABLE, fresh_name, give_back, mix, split_by_keys, text_bytes, word_bounds, word_hashes
 from solvens.llm.components import components
+from solvens.llm.ngram_join import Limit, joined_components
 from solvens.session import materialise
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 HASHES, TREES, DEPTHS, REGION = 96, 40, (4, 8, 12, 16), 8
 LEAST_ALIKE = 0.55
+#: Trees in which a document may stand in a large region: in the others a pair at the limit is missed with odds of .68 ** (TREES - CROWDED).
+CROWDED = 4
 #: Bytes of texts whose shingles are held at once.
 SLICE_BYTES = 1 << 20
 
@@ -150,15 +157,15 @@ def _region_pairs(rows: DataFrame, key: str) -> DataFrame:
     return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """a < b: neighbours in the trees, by regions of adaptive depth.  ``reps`` has rep and minima."""
+def candidate_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a < b: neighbours in the trees, by regions of adaptive depth; rep of those in many large regions.  ``reps`` has rep and minima."""
     rows = reps.select("rep", "minima").mapInArrow(_first_keys, "key long, rep long, tree byte")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head")).where("n > 1")
     shared = materialise(rows.join(sizes, "key"), "regions")
     pairs = _region_pairs(shared.where(F.col("n") <= REGION), "key")
     large = shared.where(F.col("n") > REGION)
     stars = large.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    wide = large.groupBy("rep").agg(F.collect_set(F.col("tree").cast("int")).alias("trees"))
+    wide = materialise(large.groupBy("rep").agg(F.collect_set(F.col("tree").cast("int")).alias("trees")), "wide")
     deeper = wide.join(reps.select("rep", "minima"), "rep").mapInArrow(_deeper_keys, "rep long, " + ", ".join(f"key{d} long" for d in DEPTHS[1:]))
     rest = materialise(deeper, "deeper")
     for depth in DEPTHS[1:]:
@@ -169,7 +176,7 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
         large = sized.where(F.col("n") > REGION)
         stars = stars.unionByName(large.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
         rest = large.drop("n", "head")
-    return pairs.unionByName(stars).where("a < b").distinct()
+    return pairs.unionByName(stars).where("a < b").distinct(), wide.where(F.size("trees") > CROWDED).select("rep")
 
 
 def _alike(batches):
@@ -207,9 +214,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     reps = marks.where("digest is not null").join(classes.select("rep", F.col("digest").alias("_d")), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_d")))
     # An id with several texts may stand for several classes: it keeps them apart by joining them.
     reps = materialise(reps.dropDuplicates(["rep"]).select("rep", "minima", "brief"), "reps")
-    pairs = materialise(_with_both(candidate_pairs(reps), reps, "brief").mapInArrow(_alike, "a long, b long, alike float"), "pairs")
+    candidates, crowd = candidate_pairs(reps)
+    pairs = materialise(_with_both(candidates, reps, "brief").mapInArrow(_alike, "a long, b long, alike float"), "pairs")
 
-    involved = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    involved = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(crowd).distinct()
     involved = materialise(involved, "involved")
     near, _ = split_by_keys(docs, F.col("doc_id"), involved)
     texts = near.join(involved, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
@@ -229,6 +237,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     more = materialise(_with_both(apart, texts, "text").mapInArrow(_confirm, "u long, v long"), "links")
     if more.limit(1).count():
         found = components(found.unionByName(more))
+    if crowd.limit(1).count():
+        known = crowd.join(root("rep"), "rep", "left").select(F.col("rep").alias("doc_id"), F.coalesce("rep_root", "rep").alias("root"))
+        dense = materialise(texts.join(crowd, "rep", "left_semi").withColumnRenamed("rep", "doc_id"), "dense")
+        across = materialise(joined_components(dense, Limit(SHINGLE, NUMERATOR), materialise(known, "known")), "links")
+        found = components(found.unionByName(across))
     member = marks.select("doc_id", "n_shingles", "digest")
     out = member.join(classes.select(F.col("digest").alias("_d"), "rep"), F.col("digest") == F.col("_d"), "left")
     out = out.join(found.select(F.col("u").alias("_u"), F.col("v").alias("root")), F.col("rep") == F.col("_u"), "left")

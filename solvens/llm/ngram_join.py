@@ -288,8 +288,11 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, limit: Limit)
     return summed.where(reached).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def class_components(docs: DataFrame, marks: DataFrame, limit: Limit) -> tuple[DataFrame, DataFrame]:
-    """The classes (digest, node, rep, n) and (u, v): each node that isn't the smallest of its component, with that one."""
+def class_components(docs: DataFrame, marks: DataFrame, limit: Limit, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The classes (digest, node, rep, n) and (u, v): each node that isn't the smallest of its component, with that one.
+
+    ``known`` (doc_id, root) names components found elsewhere: pairs inside one are not looked at, and they become part of the result.
+    """
     of = marks.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     classes = materialise(of.withColumn("node", F.monotonically_increasing_id()), "classes")
     first = docs.where("doc_id is not null").select("text").mapInArrow(_first_fragment(limit, frequent_grams(marks)), FIRST)
@@ -309,8 +312,16 @@ def class_components(docs: DataFrame, marks: DataFrame, limit: Limit) -> tuple[D
     met = shared.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("m"))
     star = met.groupBy(F.col("node").alias("b")).agg(F.max_by("head", F.struct("m", -F.col("head"))).alias("a"), F.max("m").alias("m"))
     star = star.join(first.select(F.col("node").alias("b"), "size"), "b").where("2 * m >= size").select("a", "b")
+    if known is not None:
+        of = classes.join(known.select(F.col("doc_id").alias("rep"), F.col("root").alias("_r")), "rep").select("node", "_r")
+        least = of.groupBy("_r").agg(F.min("node").alias("v"))
+        given = materialise(of.join(least, "_r").where("node <> v").select(F.col("node").alias("u"), "v"), "given")
+        for side in "ab":
+            star = star.join(given.select(F.col("u").alias(side), F.col("v").alias(f"_{side}")), side, "left")
+        star = star.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
     star = materialise(star, "pairs")
-    links = materialise(_linked(star, docs, classes, limit), "links")
+    links = _linked(star, docs, classes, limit)
+    links = materialise(links if known is None else links.unionByName(given), "links")
     found = components(links)
 
     of = first.select(F.col("node").alias("_n"), "n", "need", "dense", "cold").join(found, F.col("_n") == F.col("u"), "left").withColumn("root", F.coalesce("v", "_n")).drop("u", "v")
@@ -323,6 +334,15 @@ def class_components(docs: DataFrame, marks: DataFrame, limit: Limit) -> tuple[D
     return classes, found
 
 
+def joined_components(docs: DataFrame, limit: Limit, known: DataFrame) -> DataFrame:
+    """u, v: links between the components ``known`` (doc_id, root) of ``docs`` (doc_id, text), as pairs of ids: each class with the smallest of its new component."""
+    marked = materialise(docs.mapInArrow(_mark(limit), MARKS), "marks")
+    classes, found = class_components(docs, marked, limit, known)
+    rep = classes.select("node", "rep")
+    pairs = found.join(rep.withColumnsRenamed({"node": "u", "rep": "_u"}), "u").join(rep.withColumnsRenamed({"node": "v", "rep": "_v"}), "v")
+    return pairs.select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+
+
 def similar_groups(docs: DataFrame, limit: Limit = Limit(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
