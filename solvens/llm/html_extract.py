@@ -7,7 +7,8 @@ fused, lowered by the share of linked text, and smoothed with the best ratio of
 enclose the path below the body, so that a heading or a short paragraph follows the article around it.
 Paths that reach ``SHARE`` of the best one are content.  Elements that say what they are (navigation,
 footers, forms, adverts, comments and so on) are left out before; where the best path lies
-in an article or main element, only paths in such elements count.
+in an article or main element, only paths in such elements count.  A page without such an element is followed from the root down
+into the element that outweighs all beside it, by the same ratios of whole elements.
 
 Text of a block: character references decoded, white space turned into one space, trimmed; blocks
 are joined by one newline in page order.  ``br`` is white space.  Null and empty pages, and pages without
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +57,7 @@ MARKS = set(
 #: These mark it only outside an article: inside, they hold its headline.
 OUTER_MARKS = {"header", "masthead", "topbar"}
 MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An opening tag closes these open ones first.
 BLOCKS_IN_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -64,10 +67,28 @@ SCOPES = {"ul", "ol", "table", "dl", "body", "html", "article", "div", "section"
 
 
 class Element:
-    __slots__ = ("tag", "path", "out", "main", "body")
+    """An open or closed element; ``path`` is a Path, ``up`` the element around it."""
 
-    def __init__(self, tag: str, path: tuple, out: bool, main: bool, body: bool):
-        self.tag, self.path, self.out, self.main, self.body = tag, path, out, main, body
+    __slots__ = ("tag", "path", "up", "out", "main")
+
+    def __init__(self, tag: str, path: Path, up: Element | None, out: bool, main: bool):
+        self.tag, self.path, self.up, self.out, self.main = tag, path, up, out, main
+
+
+class Path:
+    """A tag path of a page: its last tag and the path around it, one object for all elements that share it."""
+
+    __slots__ = ("label", "up", "below")
+
+    def __init__(self, label: str, up: Path | None):
+        self.label, self.up = label, up
+        self.below: dict[str, Path] = {}
+
+    def child(self, label: str) -> Path:
+        own = self.below.get(label)
+        if own is None:
+            own = self.below[label] = Path(label, self)
+        return own
 
 
 def _child(parent: Element, tag: str, attrs: str) -> Element:
@@ -84,12 +105,12 @@ def _child(parent: Element, tag: str, attrs: str) -> Element:
         out = True
     telling = ".".join(sorted(words)[:3])
     main = parent.main or tag in MAIN or ("main" in words and tag not in ("html", "body"))
-    return Element(tag, (*parent.path, f"{tag}.{telling}" if telling else tag), out, main, parent.body or tag == "body")
+    return Element(tag, parent.path.child(f"{tag}.{telling}" if telling else tag), parent, out, main)
 
 
-def blocks(page: str) -> list[tuple[str, tuple, bool, bool, int]]:
-    """Text, path, whether left out, whether inside an article, and linked characters of every block with text."""
-    root = Element("", (), False, False, False)
+def blocks(page: str) -> list[tuple[str, Element, int]]:
+    """Text, element and linked characters of every block with text."""
+    root = Element("", Path("", None), None, False, False)
     stack = [root]
     found, pieces = [], []
     linked = links = 0
@@ -100,8 +121,7 @@ def blocks(page: str) -> list[tuple[str, tuple, bool, bool, int]]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                top = stack[-1]
-                found.append((text, top.path, top.out, top.main, linked))
+                found.append((text, stack[-1], linked))
             pieces.clear()
         linked = 0
 
@@ -155,42 +175,99 @@ def blocks(page: str) -> list[tuple[str, tuple, bool, bool, int]]:
     return found
 
 
-def ratios(found: list) -> dict[tuple, float]:
+def _downwards(ends: Iterable) -> list:
+    """All elements (or paths) from the given ones up, each after the one around it."""
+    order, seen = [], set()
+    for own in ends:
+        chain = []
+        while own is not None and own not in seen:
+            seen.add(own)
+            chain.append(own)
+            own = own.up
+        order.extend(reversed(chain))
+    return order
+
+
+def _fused(n: int, marks: int, linked: int, k: int = 1) -> float:
+    """Text and punctuation per occurrence, lowered by the share of linked text."""
+    return math.sqrt((n / k) * (marks / k)) * (1 - linked / n)
+
+
+def _measures(text: str, linked: int) -> tuple[int, int, int, int]:
+    return len(text), 1 + len(PUNCTUATION.findall(text)), min(linked, len(text)), 1
+
+
+def ratios(found: list) -> dict[Path, float]:
     """Fused and smoothed ratio of each path."""
-    sums: dict[tuple, list[float]] = {}
-    for text, path, _, _, linked in found:
-        own = sums.setdefault(path, [0, 0, 0, 0])
-        own[0] += len(text)
-        own[1] += 1 + len(PUNCTUATION.findall(text))
-        own[2] += min(linked, len(text))
-        own[3] += 1
-    fused = {p: math.sqrt((n / k) * (marks / k)) * (1 - a / n) for p, (n, marks, a, k) in sums.items()}
-    around: dict[tuple, list[float]] = {}
-    for path, (n, *_) in sums.items():
-        for depth in range(1, len(path)):
-            if not path[depth - 1].startswith(("html", "body")):
-                total = around.setdefault(path[:depth], [0, 0])
-                total[0] += n * fused[path]
-                total[1] += n
-    out = {}
-    for path, own in fused.items():
-        best = max((t[0] / t[1] for d in range(1, len(path)) if (t := around.get(path[:d]))), default=own)
-        out[path] = (own + max(own, best)) / 2
+    sums: dict[Path, list[int]] = {}
+    for text, element, linked in found:
+        own = sums.setdefault(element.path, [0, 0, 0, 0])
+        for i, x in enumerate(_measures(text, linked)):
+            own[i] += x
+    fused = {p: _fused(*own) for p, own in sums.items()}
+    order = _downwards(sums)
+    #: Of all paths below: text times ratio, and text.
+    within = {p: [0.0, 0] for p in order}
+    for path in reversed(order):
+        if path.up is not None:
+            n = sums[path][0] if path in sums else 0
+            within[path.up][0] += within[path][0] + n * fused.get(path, 0.0)
+            within[path.up][1] += within[path][1] + n
+    out, around = {}, {}
+    for path in order:
+        up = path.up
+        best = around.get(up, 0.0)
+        if up is not None and up.label and not up.label.startswith(("html", "body")):
+            best = max(best, within[up][0] / within[up][1])
+        around[path] = best
+        if path in fused:
+            out[path] = (fused[path] + max(fused[path], best)) / 2
     return out
 
 
+def content_part(found: list) -> list:
+    """The blocks of the element that holds most, for pages that don't name their article.
+
+    From the root down, an element of several blocks whose fused ratio exceeds that of all beside it together takes their place;
+    headings beside it stay.
+    """
+    order = _downwards(element for _, element, _ in found)
+    sums = {e: [0, 0, 0, 0] for e in order}
+    direct = {e: 0.0 for e in order}
+    for text, element, linked in found:
+        own = _measures(text, linked)
+        sums[element] = [a + b for a, b in zip(sums[element], own, strict=True)]
+        direct[element] += _fused(*own)
+    children: dict[Element, list[Element]] = {}
+    for e in reversed(order):
+        if e.up is not None:
+            sums[e.up] = [a + b for a, b in zip(sums[e.up], sums[e], strict=True)]
+            children.setdefault(e.up, []).append(e)
+    at, chain = order[0], set()
+    while at in children:
+        score = {e: _fused(*sums[e][:3]) for e in children[at]}
+        best = max((e for e in score if sums[e][3] > 1), key=score.get, default=None)
+        if best is None or score[best] <= direct[at] + sum(score.values()) - score[best]:
+            break
+        chain.add(at)
+        at = best
+    inside = {}
+    for e in order:
+        inside[e] = e is at or inside.get(e.up, False)
+    return [b for b in found if inside[b[1]] or (b[1].tag in HEADINGS and b[1].up in chain)]
+
+
 def extract(page: str | None) -> str:
     """Main text of one page."""
-    found = [b for b in blocks(page or "") if not b[2]]
+    found = [b for b in blocks(page or "") if not b[1].out]
     if not found:
         return ""
     ratio = ratios(found)
-    in_main = {b[1]: b[3] for b in found}
-    best = max(ratio, key=lambda p: (in_main[p], ratio[p])) if any(in_main.values()) else max(ratio, key=ratio.get)
-    if in_main[best]:
-        found = [b for b in found if b[3]]
-    least = SHARE * max(ratio[b[1]] for b in found)
-    return "\n".join(b[0] for b in found if ratio[b[1]] >= least)
+    in_main = {b[1].path: b[1].main for b in found}
+    best = max(ratio, key=lambda p: (in_main[p], ratio[p]))
+    found = [b for b in found if b[1].main] if in_main[best] else content_part(found)
+    least = SHARE * max(ratio[b[1].path] for b in found)
+    return "\n".join(text for text, element, _ in found if ratio[element.path] >= least)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:

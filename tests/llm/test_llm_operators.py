@@ -77,6 +77,24 @@ def test_html_by_article(spark, data_dir):
         assert (got[p.page_id].text, got[p.page_id].n_chars) == (expected, len(expected))
 
 
+def test_html_without_names(spark, data_dir):
+    """Without telling tags and classes the ratios alone find the same text, but on pages whose article is hardly longer than what surrounds it."""
+    tags = re.compile(r"<(/?)(?:article|main|nav|footer|aside|header|section)\b[^>]*>")
+    names = re.compile(r"""(<\w+)\s+(?:class|id|role)=(?:"[^"]*"|'[^']*')""")
+    pages = [r.html for r in spark.read.parquet(f"{data_dir}/pages.parquet").collect() if r.html]
+    wanted = [html_extract.extract(x) for x in pages]
+    found = [html_extract.extract(names.sub(r"\1", tags.sub(r"<\1div>", x))) for x in pages]
+    long = [(a, b) for a, b in zip(wanted, found, strict=True) if len(a) >= 300]
+    assert long and all(a == b for a, b in long)
+    page = "<div><div><a href='/'>Home</a></div><div>Buy this, now.</div><div><h2>Head</h2><div><p>One, two, three.</p><p>Four; five.</p></div></div><div>(c) me.</div></div>"
+    assert html_extract.extract(page) == "Head\nOne, two, three.\nFour; five."
+
+
+def test_html_deep_nesting():
+    depth = 20_000
+    assert html_extract.extract("<div>" * depth + "<p>Text.</p>" + "</div>" * depth) == "Text."
+
+
 def test_html_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "old"), (1, "<p>x</p>", None)], "page_id long, html string, TEXT string")
     out = html_extract.extract_pages(pages)
