@@ -241,16 +241,17 @@ def growth_rates(df: DataFrame, metrics: list[Metric] = GROWTH_METRICS, period:
 
     The ranking keeps two rows per line item, values before gaps; Spark applies
     such a limit before the shuffle as well (WindowGroupLimit), so long
-    histories do not travel.  Every line item keeps a row, which tells whether
-    its statement is reported annually.
+    histories do not travel.  Line items without a use count as one item, of which
+    two rows tell whether its statement is reported annually.
     """
     items = sorted({(m.statement, c) for m in metrics for c in m.candidates})
     value = nan_to_null("value")
+    item = F.when(F.col("line_item").isin([c for _, c in items]), F.col("line_item"))
     newest_first = W.partitionBy("ticker", "statement", "freq", "line_item").orderBy(
         F.col("_v").isNull(), F.col(period).desc()
     )
     two = (
-        df.select("ticker", "statement", "freq", "line_item", period, value.alias("_v"))
+        df.select("ticker", "statement", "freq", item.alias("line_item"), period, value.alias("_v"))
         .withColumn("_rn", F.row_number().over(newest_first))
         .filter("_rn <= 2")
     )
