@@ -325,6 +325,10 @@ class HistogramBoostModel:
     def classes(self) -> int:
         return len(self.start)
 
+    def first_rounds(self, rounds: int) -> "HistogramBoostModel":
+        """The model that a run of only ``rounds`` rounds gives: later rounds change nothing in earlier trees."""
+        return HistogramBoostModel(self.start, [own[:rounds] for own in self.trees], self.features, {**self.params, "rounds": rounds})
+
     def margin_arrays(self, x: np.ndarray) -> np.ndarray:
         x = np.where(np.isnan(x), -np.inf, x)
         out = np.tile(self.start, (len(x), 1))

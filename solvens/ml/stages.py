@@ -8,6 +8,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 
+from solvens.operators.features import Terms
 from solvens.operators.preprocessing import MedianImputer, StandardScaler, features_vector
 
 
@@ -39,18 +40,21 @@ class PreprocessModel(Model, _Shared, DefaultParamsReadable, DefaultParamsWritab
 
     imputer = Param(Params._dummy(), "imputer", "fitted imputer as JSON", TypeConverters.toString)
     scaler = Param(Params._dummy(), "scaler", "fitted scaler as JSON, empty for none", TypeConverters.toString)
+    terms = Param(Params._dummy(), "terms", "engineered features as JSON, empty for none", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, imputer=None, scaler=None, outputCol="features"):
+    def __init__(self, *, imputer=None, scaler=None, terms=None, outputCol="features"):
         super().__init__()
-        self._setDefault(scaler="", outputCol="features")
+        self._setDefault(scaler="", terms="", outputCol="features")
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
-    def parts(self) -> tuple[MedianImputer, StandardScaler | None]:
-        scaler = self.getOrDefault("scaler")
-        return MedianImputer.from_json(self.getOrDefault("imputer")), StandardScaler.from_json(scaler) if scaler else None
+    def parts(self) -> tuple[MedianImputer, StandardScaler | None, Terms | None]:
+        imputer, scaler, terms = (self.getOrDefault(p) for p in ("imputer", "scaler", "terms"))
+        return MedianImputer.from_json(imputer), StandardScaler.from_json(scaler) if scaler else None, Terms.from_json(terms) if terms else None
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        imputer, scaler = self.parts()
+        imputer, scaler, terms = self.parts()
         out = imputer.transform(df)
-        return features_vector(scaler.transform(out) if scaler else out, imputer.columns, self.getOrDefault("outputCol"))
+        out = terms.add(out, imputer.columns) if terms else out
+        inputs = [*imputer.columns, *(terms.names if terms else ())]
+        return features_vector(scaler.transform(out) if scaler else out, inputs, self.getOrDefault("outputCol"))

@@ -8,24 +8,25 @@ from __future__ import annotations
 
 import itertools
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvens.functions.arrays import argmax, cascade_class, cascade_probabilities
+from solvens.functions.text import class_name
 from solvens.ml import models
-from solvens.ml.boosting import SoftmaxBoost, SoftmaxBoostModel
-from solvens.ml.histogram import HistogramBoostModel
+from solvens.ml.boosting import SoftmaxBoostModel
+from solvens.ml.histogram import HistogramBoost, HistogramBoostModel
 from solvens.ml.evaluation import MacroF1Evaluator
 from solvens.ml.stages import PreprocessModel
 from solvens.operators.labels import binary_target, distressed_only
-from solvens.operators.metrics import macro_metrics
+from solvens.operators.features import Terms
+from solvens.operators.metrics import class_table, macro_metrics
 from solvens.operators.preprocessing import MedianImputer, StandardScaler, features_vector
 from solvens.operators.resampling import smote
 from solvens.operators.splitting import with_class_weights
@@ -35,36 +36,44 @@ from solvens.session import materialise
 
 @dataclass
 class Prepared:
-    """Fitted preprocessing; ``transform`` gives rows a ``features`` vector."""
+    """Fitted preprocessing; ``transform`` gives rows a ``features`` vector.
+
+    ``columns`` are read from the rows, ``inputs`` reach the model: the columns and the engineered ``terms`` of their imputed values.
+    """
 
     columns: list[str]
     imputer: MedianImputer
     scaler: StandardScaler | None
+    terms: Terms | None = None
+
+    @property
+    def inputs(self) -> list[str]:
+        return [*self.columns, *(self.terms.names if self.terms else ())]
 
     @staticmethod
-    def fit(train: DataFrame, columns: list[str], scaled: bool = False) -> "Prepared":
-        imputer = MedianImputer(columns).fit(train)
-        scaler = StandardScaler(columns).fit(imputer.transform(train)) if scaled else None
-        return Prepared(columns, imputer, scaler)
+    def fit(train: DataFrame, columns: list[str], scaled: bool = False, terms: Terms | None = None) -> "Prepared":
+        out = Prepared(columns, MedianImputer(columns).fit(train), None, terms)
+        return replace(out, scaler=StandardScaler(out.inputs).fit(out.table(train))) if scaled else out
 
     def table(self, df: DataFrame) -> DataFrame:
         out = self.imputer.transform(df)
+        out = self.terms.add(out, self.columns) if self.terms else out
         return self.scaler.transform(out) if self.scaler else out
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return features_vector(self.table(df), self.columns)
+        return features_vector(self.table(df), self.inputs)
 
     def stage(self) -> PreprocessModel:
         """The same as a Spark ML stage."""
-        return PreprocessModel(imputer=self.imputer.to_json(), scaler=self.scaler.to_json() if self.scaler else "")
+        return PreprocessModel(imputer=self.imputer.to_json(), scaler=self.scaler.to_json() if self.scaler else "", terms=self.terms.to_json() if self.terms else "")
 
     def save(self, path: str) -> None:
         self.stage().write().overwrite().save(path)
 
     @staticmethod
     def load(path: str) -> "Prepared":
-        imputer, scaler = PreprocessModel.load(path).parts()
-        return Prepared(imputer.columns, imputer, scaler)
+        imputer, scaler, terms = PreprocessModel.load(path).parts()
+        return Prepared(imputer.columns, imputer, scaler, terms)
 
 
 @dataclass
@@ -115,18 +124,18 @@ def score_with(model, df: DataFrame) -> DataFrame:
 def rebalance(train: DataFrame, prepared: Prepared, target: str, row_id: str, method: str | None) -> tuple[DataFrame, str | None]:
     """Training vectors and the weight column, by ``smote``, ``weights`` or neither."""
     if method == "smote":
-        rows = smote(prepared.table(train), prepared.columns, target, row_id)
-        return features_vector(rows, prepared.columns), None
+        rows = smote(prepared.table(train), prepared.inputs, target, row_id)
+        return features_vector(rows, prepared.inputs), None
     rows = prepared.transform(train)
     if method == "weights":
         return with_class_weights(rows, target), "weight"
     return rows, None
 
 
-def train_model(name: str, train: DataFrame, columns: list[str], target: str = "target", row_id: str = "row_id", balance: str | None = None, overrides: dict | None = None) -> Trained:
+def train_model(name: str, train: DataFrame, columns: list[str], target: str = "target", row_id: str = "row_id", balance: str | None = None, overrides: dict | None = None, terms: Terms | None = None) -> Trained:
     """Fit one preset on training rows; oversampling happens in scaled space for scaled models."""
     preset = models.PRESETS[name]
-    prepared = Prepared.fit(train, columns, preset.scaled)
+    prepared = Prepared.fit(train, columns, preset.scaled, terms)
     rows, weight = rebalance(train, prepared, target, row_id, balance)
     rows = materialise(rows.select("features", target, *([weight] if weight else [])), "train")
     n = rows.count() if preset.kind == "lr" else 0
@@ -184,24 +193,48 @@ def grid_points(grid: dict) -> list[dict]:
     return [dict(zip(names, values)) for values in itertools.product(*grid.values())]
 
 
+def staged_points(name: str, points: list[dict]) -> list[list[int]]:
+    """Places of the points, together if one boosted run serves them."""
+    if models.PRESETS[name].kind != "boost":
+        return [[i] for i in range(len(points))]
+    groups: dict[tuple, list[int]] = {}
+    for i, p in enumerate(points):
+        groups.setdefault(tuple(sorted((k, v) for k, v in p.items() if k != "rounds")), []).append(i)
+    return list(groups.values())
+
+
+def staged_out_of_fold(name: str, folds: list[FoldData], target: str, points: list[dict]) -> DataFrame:
+    """``out_of_fold`` of every point (``stage``: its place), from one run per fold; the points differ in ``rounds`` only."""
+    parts = []
+    most = max(points, key=lambda p: p["rounds"])
+    for f in folds:
+        model = models.build(name, f.rows, most, label=target, weight=f.weight).fit(f.train)
+        for stage, p in enumerate(points):
+            parts.append(model.first_rounds(p["rounds"]).transform(f.valid).select(F.lit(stage).alias("stage"), *f.keep, "pred"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def grid_search(name: str, df: DataFrame, columns: list[str], grid: dict | None = None, target: str = "target", row_id: str = "row_id", balance: str | None = None, parallelism: int = 4) -> tuple[dict, DataFrame, Trained]:
     """Best hyperparameters by mean macro F1 over all folds of the table, all scores, and a refit on all rows.
 
-    Imputer, scaler and oversampling are fitted once per fold; the points share them and run side by side.
+    Imputer, scaler and oversampling are fitted once per fold; the points share them and run side by side.  Points of a boosted model that
+    differ in ``rounds`` only are one run of the most rounds, judged at each: its first trees are those of the shorter runs.
     """
     points = grid_points(grid or models.GRIDS[name])
     folds = prepare_folds(name, df, columns, target, row_id, balance)
 
-    def judge(i: int) -> tuple:
-        scored = out_of_fold(name, folds, target, points[i])
-        per_fold = macro_metrics(scored, target, "pred", ["fold"]).agg(
-            F.avg("macro_f1").alias("f1"), F.avg("accuracy").alias("acc"), F.sum("support").alias("rows")
-        )
-        row = per_fold.first()
+    def summary(i: int, scored: DataFrame) -> tuple:
+        row = macro_metrics(scored, target, "pred", ["fold"]).agg(F.avg("macro_f1").alias("f1"), F.avg("accuracy").alias("acc"), F.sum("support").alias("rows")).first()
         return i, str(points[i]), float(row.f1), float(row.acc), int(row.rows)
 
+    def judge(group: list[int]) -> list[tuple]:
+        if len(group) == 1:
+            return [summary(group[0], out_of_fold(name, folds, target, points[group[0]]))]
+        scored = materialise(staged_out_of_fold(name, folds, target, [points[i] for i in group]), "staged")
+        return [summary(i, scored.filter(F.col("stage") == stage)) for stage, i in enumerate(group)]
+
     with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(judge, range(len(points))))
+        scores = sorted(itertools.chain.from_iterable(pool.map(judge, staged_points(name, points))))
     best = points[max(scores, key=lambda s: (s[2], -s[0]))[0]]
     table = df.sparkSession.createDataFrame(scores, "point int, params string, macro_f1 double, accuracy double, rows long")
     return best, table, train_model(name, df, columns, target, row_id, balance, best)
@@ -234,55 +267,42 @@ class Cascade:
     """Gate (healthy or not) and severity model for the rest."""
 
     prepared: Prepared
-    gate: GBTClassificationModel
-    severity: SoftmaxBoostModel
+    gate: HistogramBoostModel
+    severity: HistogramBoostModel
     threshold: float = 0.40
 
     def score(self, df: DataFrame, threshold: float | None = None) -> DataFrame:
         cut = self.threshold if threshold is None else threshold
-        rows = self.gate.transform(self.prepared.transform(df))
-        rows = rows.withColumn("gate", vector_to_array("gate_probability")[1]).drop("gate_probability", "gate_raw", "gate_pred")
-        rows = self.severity.transform(rows, probs="severity", pred="_s").drop("_s")
+        rows = self.gate.transform(self.prepared.transform(df), probs="_gate", pred="_g")
+        rows = self.severity.transform(rows, probs="severity", pred="_s").withColumn("gate", F.col("_gate")[1]).drop("_gate", "_g", "_s")
         return rows.withColumn("probs", cascade_probabilities("gate", "severity")).withColumn(
             "pred", cascade_class("gate", "severity", cut)
         )
 
     def save(self, spark, path: str) -> None:
-        self.gate.write().overwrite().save(f"{path}/gate")
+        self.prepared.save(f"{path}/prepared")
+        self.gate.save(spark, f"{path}/gate")
         self.severity.save(spark, f"{path}/severity")
-        doc = spark.createDataFrame([(self.prepared.imputer.to_json(), float(self.threshold))], "imputer string, threshold double")
-        doc.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+        spark.createDataFrame([(float(self.threshold),)], "threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
     @staticmethod
     def load(spark, path: str) -> "Cascade":
-        meta = spark.read.schema("imputer string, threshold double").json(f"{path}/meta").first()
-        imputer = MedianImputer.from_json(meta.imputer)
-        gate = GBTClassificationModel.load(f"{path}/gate")
-        return Cascade(Prepared(imputer.columns, imputer, None), gate, SoftmaxBoostModel.load(spark, f"{path}/severity"), meta.threshold)
-
-
-def train_cascade(train: DataFrame, columns: list[str], target: str = "target", row_id: str = "row_id", balance: str | None = "smote", rounds: int = 300, depth: int = 6, step: float = 0.08, subsample: float = 0.85, seed: int = 42) -> Cascade:
-    """Gate on all rows, severity on the distressed ones, each rebalanced on its own."""
-    prepared = Prepared.fit(train, columns)
-    marked = train.withColumn("healthy", binary_target(target))
-    gate_rows, weight = rebalance(marked, prepared, "healthy", row_id, balance)
-    gate = GBTClassifier(
-        featuresCol="features",
-        labelCol="healthy",
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=step,
-        subsamplingRate=subsample,
-        seed=seed,
-        predictionCol="gate_pred",
-    )
-    gate = gate.setProbabilityCol("gate_probability").setRawPredictionCol("gate_raw")
-    if weight:
-        gate = gate.setWeightCol(weight)
-    gate_model = gate.fit(materialise(gate_rows.select("features", "healthy", *([weight] if weight else [])), "gate"))
-    sick, weight = rebalance(distressed_only(train, target), prepared, target, row_id, balance)
-    severity = SoftmaxBoost(rounds=rounds, max_depth=depth, learning_rate=step, subsample=subsample, classes=len(CLASS_NAMES) - 1, label=target, weight=weight, seed=seed)
-    return Cascade(prepared, gate_model, severity.fit(sick))
+        gate, severity = (HistogramBoostModel.load(spark, f"{path}/{part}") for part in ("gate", "severity"))
+        meta = spark.read.schema("threshold double").json(f"{path}/meta").first()
+        return Cascade(Prepared.load(f"{path}/prepared"), gate, severity, meta.threshold)
+
+
+def train_cascade(train: DataFrame, columns: list[str], target: str = "target", row_id: str = "row_id", balance: str | None = "smote", rounds: int = 300, depth: int = 6, step: float = 0.08, subsample: float = 0.85, seed: int = 42, terms: Terms | None = None) -> Cascade:
+    """Gate on all rows, severity on the distressed ones, each rebalanced on its own, both on columns and engineered ``terms``."""
+    prepared = Prepared.fit(train, columns, terms=terms)
+    params = {"rounds": rounds, "max_depth": depth, "learning_rate": step, "subsample": subsample, "seed": seed}
+
+    def fit(rows: DataFrame, label: str, classes: int) -> HistogramBoostModel:
+        vectors, weight = rebalance(rows, prepared, label, row_id, balance)
+        return HistogramBoost(classes=classes, label=label, weight=weight, **params).fit(vectors)
+
+    gate = fit(train.withColumn("healthy", binary_target(target)), "healthy", 2)
+    return Cascade(prepared, gate, fit(distressed_only(train, target), target, len(CLASS_NAMES) - 1))
 
 
 # --- comparison ----------------------------------------------------------------
@@ -327,6 +347,31 @@ def held_out_predictions(trained: list[Trained], test: DataFrame, target: str =
     return out
 
 
+def importances(model: Trained) -> list[float]:
+    """How much each input counts, summing to 1: split gains, a forest's own importances, or mean absolute coefficients of scaled inputs."""
+    fitted = model.model
+    if isinstance(fitted, HistogramBoostModel):
+        return fitted.feature_importances(len(model.prepared.inputs))
+    if hasattr(fitted, "featureImportances"):
+        return [float(v) for v in fitted.featureImportances.toArray()]
+    size = abs(fitted.coefficientMatrix.toArray()).mean(axis=0)
+    return [float(v) for v in size / (size.sum() or 1.0)]
+
+
+def result_table(predictions: DataFrame, fitted: list[Trained], target: str = "target") -> DataFrame:
+    """(model, section, entry, value): averages, F1 and support of each class, importances; from the models' held-out predictions."""
+    average = macro_metrics(predictions, target, "pred", ["model"])
+    names = [c for c in average.columns if c != "model"]
+    line = lambda section, entry, value: F.struct(F.lit(section).alias("section"), entry.alias("entry"), value.cast("double").alias("value"))
+    averages = average.select("model", F.inline(F.array(*[line("average", F.lit(c), F.col(c)) for c in names])))
+    classes = class_table(predictions, target, "pred", ["model"])
+    of_class = [line(f"class {c}", class_name("label"), F.col(c)) for c in ("precision", "recall", "f1", "support")]
+    classes = classes.select("model", F.inline(F.array(*of_class)))
+    weights = [(m.name, "importance", n, v) for m in fitted for n, v in zip(m.prepared.inputs, importances(m), strict=True)]
+    table = predictions.sparkSession.createDataFrame(weights, "model string, section string, entry string, value double")
+    return averages.unionByName(classes).unionByName(table)
+
+
 def importance_table(spark, importances: list[float], names: list[str], k: int = 20) -> DataFrame:
     """The ``k`` most important features (a list as long as the features, not the rows)."""
     pairs = [(n, float(v)) for n, v in zip(names, importances)]

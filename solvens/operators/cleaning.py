@@ -136,12 +136,18 @@ def infinity_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.filter("n > 0").select("feature", F.col("n").alias("inf_count"))
 
 
-def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
-    """Rows and columns of each named stage."""
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("stage"), "rows", F.lit(len(df.columns)).alias("columns")
-        )
-        for name, df in stages.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def stage_counts(df: DataFrame, stages: dict[str, tuple[Column, int]], unique: dict[str, tuple[str, list[str], int]]) -> DataFrame:
+    """Rows and columns of the stages that ``df`` goes through, from one scan and one aggregation.
+
+    ``stages``: how many rows of the stage a row of ``df`` becomes, and the stage's columns.  ``unique``: the stage whose rows
+    are reduced to one per key, the keys, and the columns.  All ``unique`` stages share their keys.
+    """
+    keys = next((k for _, k, _ in unique.values()), [])
+    at = {name: f"_n{i}" for i, name in enumerate(stages)}
+    groups = df.groupBy(*keys).agg(*[F.sum(n.cast("bigint")).alias(at[name]) for name, (n, _) in stages.items()])
+    counted = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in at.values()]
+    counted += [F.count_if(F.col(at[of]) > 0).alias(f"_u{i}") for i, (of, _, _) in enumerate(unique.values())]
+    rows = [(name, at[name], columns) for name, (_, columns) in stages.items()]
+    rows += [(name, f"_u{i}", columns) for i, (name, (_, _, columns)) in enumerate(unique.items())]
+    structs = [F.struct(F.lit(n).alias("stage"), F.col(c).alias("rows"), F.lit(w).alias("columns")) for n, c, w in rows]
+    return groups.agg(*counted).select(F.inline(F.array(*structs)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ QUOTIENTS = {"x1_div_x2": ("x1", "x2"), "x24_div_x45": ("x24", "x45"), "x13_div_
 PRODUCTS = {"x3_mul_x5": ("x3", "x5")}
 EXTRA_PRODUCTS = {"x8_mul_x16": ("x8", "x16")}
 QUOTIENT_GUARD = 1e-4
+ROW_COUNTS = ("num_negative", "num_zero")
+ROW_STATISTICS = ("mean_ratio", "std_ratio", "median_ratio")
 
 
 def count_where(columns: list[str], test) -> Column:
@@ -46,7 +51,35 @@ def interactions(df: DataFrame, quotients=QUOTIENTS, products=PRODUCTS) -> DataF
     return df.withColumns(out)
 
 
-def engineer(df: DataFrame, columns: list[str], extra: bool = False) -> DataFrame:
-    """Counts, statistics and interactions of one row."""
-    products = {**PRODUCTS, **EXTRA_PRODUCTS} if extra else PRODUCTS
-    return interactions(row_statistics(row_counts(df, columns), columns), QUOTIENTS, products)
+@dataclass(frozen=True)
+class Terms:
+    """Engineered features of one row, by name; ``counts`` and ``statistics`` look at all of a model's columns."""
+
+    quotients: dict = field(default_factory=lambda: dict(QUOTIENTS))
+    products: dict = field(default_factory=lambda: dict(PRODUCTS))
+    counts: bool = True
+    statistics: bool = True
+
+    @property
+    def names(self) -> list[str]:
+        return [*(ROW_COUNTS if self.counts else ()), *(ROW_STATISTICS if self.statistics else ()), *self.quotients, *self.products]
+
+    def add(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        """``df`` with the terms; ``columns`` hold no NULL."""
+        out = row_counts(df, columns) if self.counts else df
+        out = row_statistics(out, columns) if self.statistics else out
+        return interactions(out, self.quotients, self.products)
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_json(text: str) -> "Terms":
+        given = json.loads(text)
+        pairs = {k: {n: tuple(p) for n, p in given[k].items()} for k in ("quotients", "products")}
+        return Terms(**{**given, **pairs})
+
+
+#: Terms of the enhanced models; the second set has one more product.
+ENHANCED = Terms()
+ENHANCED_EXTRA = Terms(products={**PRODUCTS, **EXTRA_PRODUCTS})

@@ -266,18 +266,19 @@ def roc_auc(df: DataFrame, probs: list[str], truth: str = "target", by: list[str
     return area.select(*by, "class_id", F.when(full > 0, F.col("a").cast("double") / full).alias("auc"))
 
 
-def roc_macro(df: DataFrame, probs: list[str], truth: str = "target", drop_collinear: bool = True, buckets: int | None = None) -> DataFrame:
-    """Mean of the class curves on the union of their false positive rates.
+def roc_macro(df: DataFrame, probs: list[str], truth: str = "target", by: list[str] = (), drop_collinear: bool = True, buckets: int | None = None) -> DataFrame:
+    """Mean of the class curves on the union of their false positive rates, for each combination of ``by`` (models, folds).
 
     Each class curve is read at every rate by linear interpolation between its
     nearest knots; where a curve rises vertically the upper end counts.  Knots
     outside a bucket come from bucket edges, so no window spans the curve.
     """
-    points = roc_curve(df, probs, truth, drop_collinear=drop_collinear, buckets=buckets)
-    points = materialise(points.select("class_id", "fpr", "tpr"), "roc-points")
+    by = list(by)
+    points = roc_curve(df, probs, truth, by, drop_collinear=drop_collinear, buckets=buckets)
+    points = materialise(points.select(*by, "class_id", "fpr", "tpr"), "roc-points")
     buckets = buckets or bucket_number(points.count())
-    knots = points.groupBy("class_id", "fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
-    n = len(probs)
+    knots = points.groupBy(*by, "class_id", "fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
+    n, part = len(probs), [*by, "k"]
     spread = F.array(
         *[
             F.struct(
@@ -288,25 +289,25 @@ def roc_macro(df: DataFrame, probs: list[str], truth: str = "target", drop_colli
         ]
     )
     grid = (
-        knots.select("fpr", F.inline(spread))
-        .groupBy("k", "fpr")
+        knots.select(*by, "fpr", F.inline(spread))
+        .groupBy(*part, "fpr")
         .agg(F.max("knot").alias("knot"))
     )
-    cut = quantile_buckets(grid, ["k"], "fpr", buckets)
-    edges = cut.filter(F.col("knot").isNotNull()).groupBy("k", BUCKET).agg(
+    cut = quantile_buckets(grid, part, "fpr", buckets)
+    edges = cut.filter(F.col("knot").isNotNull()).groupBy(*part, BUCKET).agg(
         F.max("knot").alias("last"), F.min("knot").alias("first")
     )
-    all_buckets = cut.groupBy("k", BUCKET).agg(F.lit(1).alias("_b")).join(edges, ["k", BUCKET], "left")
-    order = W.partitionBy("k").orderBy(BUCKET)
+    all_buckets = cut.groupBy(*part, BUCKET).agg(F.lit(1).alias("_b")).join(edges, [*part, BUCKET], "left")
+    order = W.partitionBy(*part).orderBy(BUCKET)
     carried = all_buckets.select(
-        "k",
+        *part,
         BUCKET,
         F.last("last", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
         F.first("first", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
     )
-    inside = W.partitionBy("k", BUCKET).orderBy("fpr")
-    near = cut.join(F.broadcast(carried), ["k", BUCKET]).select(
-        "k",
+    inside = W.partitionBy(*part, BUCKET).orderBy("fpr")
+    near = cut.join(F.broadcast(carried), [*part, BUCKET]).select(
+        *part,
         "fpr",
         "knot",
         F.coalesce(
@@ -320,12 +321,13 @@ def roc_macro(df: DataFrame, probs: list[str], truth: str = "target", drop_colli
     value = F.when(F.col("knot").isNotNull(), F.col("knot.high")).otherwise(
         F.col("a.high") + slope * (F.col("fpr") - F.col("a.fpr"))
     )
-    return near.groupBy("fpr").agg((F.sum(value) / n).alias("mean_tpr"))
+    return near.groupBy(*by, "fpr").agg((F.sum(value) / n).alias("mean_tpr"))
 
 
-def curve_area(curve: DataFrame, x: str = "fpr", y: str = "mean_tpr", buckets: int | None = None) -> DataFrame:
-    """Trapezoid area under one curve with distinct ``x``."""
-    curve = materialise(curve.select(x, y), "curve")
-    steps = with_neighbour(curve, [], x, [x, y], ahead=False, buckets=buckets or bucket_number(curve.count()))
+def curve_area(curve: DataFrame, x: str = "fpr", y: str = "mean_tpr", by: list[str] = (), buckets: int | None = None) -> DataFrame:
+    """Trapezoid area under one curve with distinct ``x``, or under one for each combination of ``by``."""
+    by = list(by)
+    curve = materialise(curve.select(*by, x, y), "curve")
+    steps = with_neighbour(curve, by, x, [x, y], ahead=False, buckets=buckets or bucket_number(curve.count()))
     width = F.col(x) - F.col(f"prev_{x}")
-    return steps.agg(F.sum(width * (F.col(y) + F.col(f"prev_{y}")) / 2).alias("auc"))
+    return (steps.groupBy(*by) if by else steps).agg(F.sum(width * (F.col(y) + F.col(f"prev_{y}")) / 2).alias("auc"))

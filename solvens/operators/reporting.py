@@ -9,6 +9,8 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -48,6 +50,22 @@ def attribution_ranking(df: DataFrame, k: int = 20) -> DataFrame:
     return df.groupBy("feature").agg(mean.alias("mean_abs_phi")).orderBy(F.col("mean_abs_phi").desc(), "feature").limit(k)
 
 
+def item_ranking(df: DataFrame, items: str = "items", k: int = 20) -> DataFrame:
+    """``attribution_ranking`` of rows that carry their attributions as an array.
+
+    Arrays are summed place by place within each order of names that occurs (usually one), before anything is exploded: a task
+    hands on one vector, not a row per feature.  A missing attribution leaves its row out of the feature's mean.
+    """
+    names = F.transform(items, lambda f: f["feature"]).alias("_names")
+    there = F.transform(items, lambda f: f["phi"].isNotNull().cast("double"))
+    size = F.transform(items, lambda f: F.coalesce(F.abs(f["phi"]), F.lit(0.0)))
+    rows = df.filter(F.size(items) > 0).select(names, array_to_vector(size).alias("_size"), array_to_vector(there).alias("_there"))
+    sums = rows.groupBy("_names").agg(Summarizer.sum(F.col("_size")).alias("_size"), Summarizer.sum(F.col("_there")).alias("_there"))
+    each = sums.select(F.inline(F.arrays_zip(F.col("_names").alias("feature"), vector_to_array("_size").alias("s"), vector_to_array("_there").alias("n"))))
+    mean = (F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("mean_abs_phi")
+    return each.toDF("feature", "s", "n").groupBy("feature").agg(mean).orderBy(F.col("mean_abs_phi").desc(), "feature").limit(k)
+
+
 def supports_health(phi, predicted) -> Column:
     """True when the attribution speaks for health; zero counts as adverse."""
     return F.when(col(predicted) == HEALTHY, col(phi) > 0).otherwise(col(phi) < 0)

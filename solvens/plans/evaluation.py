@@ -148,6 +148,16 @@ def roc_macro_auc(spark, d):
     return metrics.curve_area(curve).select(F.round("auc", 6).alias("auc"))
 
 
+def roc_macro_auc_by_model(spark, d):
+    """Area under the macro curve of two models, one with its classes the wrong way round."""
+    df = scored(spark, d)
+    models = [("nearest", PROBS), ("reversed", PROBS[::-1])]
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), *[F.col(c).alias(p) for p, c in zip(PROBS, own)]) for m, own in models])
+    both = df.select("target", F.inline(rows))
+    curve = metrics.roc_macro(both, PROBS, by=["model"])
+    return metrics.curve_area(curve, by=["model"]).select("model", F.round("auc", 6).alias("auc"))
+
+
 def argmax_class(spark, d):
     df = scored(spark, d)
     shares = percent_map("probs")
@@ -255,6 +265,7 @@ QUERIES = {
     "roc_auc": roc_auc,
     "roc_macro": roc_macro,
     "roc_macro_auc": roc_macro_auc,
+    "roc_macro_auc_by_model": roc_macro_auc_by_model,
     "argmax_class": argmax_class,
     "blend": blend,
     "cascade_combine": cascade_combine,
@@ -323,7 +334,7 @@ filled as (select g.class_id, g.fpr, n.high,
   from grid g left join knots n on g.class_id=n.class_id and g.fpr=n.fpr),
 macro as (select fpr, sum(case when high is not null then high else a.y + (b.y-a.y)/(b.x-a.x)*(fpr-a.x) end)/4 as mean_tpr from filled group by fpr)"""
 
-
+MACRO_AREA = "select round(sum((fpr-px)*(mean_tpr+py)/2),6) as auc from (select *, lag(fpr) over (order by fpr) as px, lag(mean_tpr) over (order by fpr) as py from macro)"
 
 T = "+ t as (select target as y, pred as p from scored), "
 PCT = "cast(printf('%.2f', {c}*100) as double)"
@@ -422,8 +433,11 @@ ORACLES = {
         f"+ {ROC} select class_id, round(sum(neg*(tp-pos/2.0::double))/(max(np)::double*max(nn)),9) as auc from cum group by class_id", "probs"
     ),
     "roc_macro": with_tables(f"+ {ROC}, {MACRO} select round(fpr,9) as fpr, round(mean_tpr,6) as mean_tpr from macro", "probs"),
-    "roc_macro_auc": with_tables(
-        f"+ {ROC}, {MACRO} select round(sum((fpr-px)*(mean_tpr+py)/2),6) as auc from (select *, lag(fpr) over (order by fpr) as px, lag(mean_tpr) over (order by fpr) as py from macro)",
+    "roc_macro_auc": with_tables(f"+ {ROC}, {MACRO} {MACRO_AREA}", "probs"),
+    "roc_macro_auc_by_model": with_tables(
+        f"""+ turned as (select target, p3 as p0, p2 as p1, p1 as p2, p0 as p3 from probs)
+        select 'nearest' as model, auc from (with {ROC}, {MACRO} {MACRO_AREA})
+        union all select 'reversed', auc from (with {ROC.replace("from probs", "from turned")}, {MACRO} {MACRO_AREA})""",
         "probs",
     ),
     "argmax_class": with_tables(

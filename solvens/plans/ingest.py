@@ -123,16 +123,18 @@ def dedup_keep_first(spark, d):
 
 
 def stage_counts(spark, d):
+    """Every filing counted at each stage: as delivered, with a label, with its copies (two of every third year), and without them."""
     raw = _raw(spark, d)
     standard = cleaning.standardize_labels(raw)
-    return cleaning.stage_counts(
-        {
-            "raw": raw,
-            "labelled": cleaning.labelled_only(standard),
-            "with_copies": _with_copies(spark, d),
-            "deduplicated": dedup_keep_first(spark, d),
-        }
-    )
+    known = F.col("Standard_Label").isNotNull()
+    rows = cleaning.coerce_numeric(cleaning.derive_ids(cleaning.encode_target(standard), "folder_name", "feature_name"), RATIOS)
+    copies = F.when(F.col("Year").cast("int") % 3 == 0, 2).otherwise(1)
+    stages = {
+        "raw": (F.lit(1), len(raw.columns)),
+        "labelled": (known.cast("int"), len(standard.columns)),
+        "with_copies": (F.when(known, copies).otherwise(0), 8),
+    }
+    return cleaning.stage_counts(rows, stages, {"deduplicated": ("with_copies", ["Company", "Year", "Target", *RATIOS], 8)})
 
 
 def missing_report(spark, d):

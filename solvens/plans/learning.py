@@ -2,6 +2,8 @@
 
 Numbers of trees and rounds are small here so that a check takes seconds; the
 presets in ``solvens.ml.models`` hold the full ones.  Rows are never cut.
+Where results depend on a library's random numbers, a query returns what must
+hold of them; ``training_results`` returns the figures themselves.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ from solvens.functions.arrays import argmax
 from solvens.ml import models, training
 from solvens.ml.attribution import base_values, tree_attributions
 from solvens.ml.boosting import SoftmaxBoost
-from solvens.ml.scoring import Registry, explain_scores
+from solvens.ml.scoring import Registry, explain_scores, explained_statements, live_reports
 from solvens.ml.stages import Preprocess
-from solvens.operators import metrics, splitting
+from solvens.operators import cleaning, lookup, metrics, splitting
+from solvens.operators import statements as st
+from solvens.operators.features import Terms
 from solvens.operators.neighbours import distinct_points, nearest_points
-from solvens.operators.reporting import attribution_ranking
+from solvens.operators.reporting import NEGATIVE_LIMIT_HEALTHY, POSITIVE_LIMIT, attribution_ranking
 from solvens.operators.resampling import smote
 from solvens.plans.base import with_tables
 from solvens.plans.evaluation import FOLDS
+from solvens.schemas import CLASS_NAMES, RULE_INPUTS
 from solvens.session import materialise, scratch_path
 from solvens.sources import tables
 from solvens.sources.tables import FILING_FEATURES
@@ -38,6 +43,24 @@ SMALL = {
     "boost_b": {"rounds": 20},
     "boost_c": {"rounds": 20},
 }
+#: Engineered features of filings: counts and statistics of the row, quotients and a product.
+FILING_TERMS = Terms(
+    quotients={"profit_to_debt": ("net_profit", "borrowings"), "interest_to_sales": ("interest", "sales")},
+    products={"margin_by_coverage": ("operating_margin", "interest_coverage")},
+)
+#: Statement features that filings have, by their name in the audited layout.
+LIVE_FEATURES = {
+    "Sales": "sales",
+    "Net profit": "net_profit",
+    "Operating Profit": "operating_profit",
+    "Interest": "interest",
+    "Borrowings": "borrowings",
+    "Equity Share Capital": "equity_share_capital",
+    "Reserves": "reserves",
+    "Interest_Coverage": "interest_coverage",
+    "Debt_to_Equity": "debt_to_equity",
+    "Operating_Margin": "operating_margin",
+}
 NEAR_FEATURES = ["sales", "interest", "borrowings", "reserves", "net_profit"]
 
 
@@ -91,8 +114,9 @@ def train_gbt(spark, d):
 
 
 def _cascade(spark, d):
+    """The published cascade but for ``rounds``, with engineered features of the filings."""
     train, test = training.fold_parts(rows_with_folds(spark, d), 0)
-    return training.train_cascade(train, FILING_FEATURES, rounds=2, depth=4, step=0.4), test
+    return training.train_cascade(train, FILING_FEATURES, rounds=20, terms=FILING_TERMS), test
 
 
 def train_cascade(spark, d):
@@ -116,6 +140,76 @@ def score_cascade(spark, d):
     )
 
 
+def _audited(spark, d) -> DataFrame:
+    """Labelled filings under the names of the audited layout, with folds."""
+    rows = rows_with_folds(spark, d)
+    return rows.select("row_id", "company", "year", "target", "fold", *[F.col(c).alias(n) for n, c in LIVE_FEATURES.items()])
+
+
+def feature_columns(spark, d):
+    """What a model may see of the audited filings when the inputs of the rule label are left out."""
+    rows = tables.labelled(spark, d).select("company", "year", "target", *[F.col(c).alias(n) for n, c in LIVE_FEATURES.items()])
+    names = cleaning.feature_columns(rows, ["company", "year", "target", *RULE_INPUTS])
+    return cleaning.missing_report(rows, names)
+
+
+def train_without_rule_inputs(spark, d):
+    """A model that can't just repeat the rule behind its labels."""
+    train, test = training.fold_parts(_audited(spark, d), 0)
+    columns = cleaning.feature_columns(train, ["row_id", "company", "year", "target", "fold", *RULE_INPUTS])
+    model = training.train_model("boost_a", train, columns, overrides=SMALL["boost_a"])
+    return _facts(model.score(test), ",".join(columns))
+
+
+def live_report(spark, d):
+    """Statements to vectors, scores, the model's own attributions and reports; one line of facts per report.
+
+    ``exact``: the attributions and the base value add up to the margin of the class explained.
+    """
+    model = training.train_model("boost_b", _audited(spark, d), list(LIVE_FEATURES), overrides=SMALL["boost_b"])
+    statements, features = materialise(tables.statements_long(spark, d), "statements"), list(LIVE_FEATURES)
+    reports = live_reports(statements, model, features)
+    margins = [f"margin_{k}" for k in range(4)]
+    outputs = model.model.margins(model.prepared.transform(st.feature_vector(statements, features))).select("ticker", F.array(*margins).alias("margins"))
+    phi = F.aggregate("items", F.lit(0.0), lambda a, i: a + i["phi"])
+    base = F.array(*[F.lit(b) for b in base_values(model.model, spark)])
+    rows = explained_statements(statements, model, features).join(outputs, "ticker")
+    sums = rows.select("ticker", (F.abs(F.get(base, "explained") + phi - F.get("margins", "explained")) < 1e-6).alias("exact"))
+    whole = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, v: a + v)
+    return reports.join(sums, "ticker").select(
+        "ticker",
+        "latest_period",
+        (F.abs(whole - 100) < 0.03).alias("whole"),
+        F.col("prediction").isin(CLASS_NAMES).alias("named"),
+        (F.size("risk_factors") + F.size("health_factors") <= POSITIVE_LIMIT + NEGATIVE_LIMIT_HEALTHY).alias("limited"),
+        F.size("snapshot").alias("indicators"),
+        "exact",
+    )
+
+
+def scenario_scores(spark, d):
+    """The what-if presets beside every filing put as a what-if row, scored by the same model."""
+    model = training.train_model("boost_b", _audited(spark, d), list(LIVE_FEATURES), overrides=SMALL["boost_b"])
+    filings = tables.filings(spark, d).withColumn("equity", F.col("equity_share_capital") + F.col("reserves"))
+    given = filings.withColumn("scenario", F.lit("filing")).select("scenario", *[c for c in lookup.presets(spark).columns if c in filings.columns])
+    rows = lookup.presets(spark).unionByName(given, allowMissingColumns=True)
+    scored = model.score(lookup.scenario_vectors(rows, ["scenario"], list(LIVE_FEATURES)))
+    whole = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
+    return scored.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.abs(whole - 1) < 1e-9).alias("normalised"),
+        F.count_if((F.col("scenario") == "filing") | ((F.col("pred") == 3) == F.col("scenario").startswith("Healthy"))).alias("plausible"),
+    )
+
+
+def training_results(spark, d):
+    """Results of the comparison as rows: averages and classes of each model on the companies held out, and importances of its inputs."""
+    train, test = training.fold_parts(rows_with_folds(spark, d), 0)
+    fitted = [training.train_model(n, train, FILING_FEATURES, overrides=SMALL.get(n)) for n in ("logistic_regression", "random_forest", "boost_a", "boost_b", "boost_c")]
+    predictions = materialise(training.held_out_predictions(fitted, test), "predictions")
+    return training.result_table(predictions, fitted)
+
+
 def grid_search(spark, d):
     """The whole published grid over all folds; the refit uses the best point of the table."""
     rows = rows_with_folds(spark, d)
@@ -292,6 +386,11 @@ QUERIES = {
     "train_boost": train_boost,
     "train_gbt": train_gbt,
     "train_cascade": train_cascade,
+    "train_without_rule_inputs": train_without_rule_inputs,
+    "feature_columns": feature_columns,
+    "live_report": live_report,
+    "scenario_scores": scenario_scores,
+    "training_results": training_results,
     "score_cascade": score_cascade,
     "grid_search": grid_search,
     "spark_grid_search": spark_grid_search,
@@ -368,6 +467,26 @@ ORACLES = {
         (select unnest(['logistic_regression','random_forest','boost_a','boost_b','boost_c']) as model) where fold=0 group by model""",
         "labelled",
     ),
+    "feature_columns": with_tables(
+        " union all ".join(
+            f"select '{n}' as feature, count(*) filter (where {c} is null) as missing_count, round(count(*) filter (where {c} is null)/count(*)*100, 2) as missing_pct from labelled"
+            for n, c in LIVE_FEATURES.items()
+            if n not in RULE_INPUTS
+        ),
+        "labelled",
+    ),
+    "live_report": with_tables(
+        """select ticker, max(period) as latest_period, true as whole, true as named, true as limited, 6 as indicators, true as exact
+        from statements_long where statement='income' group by ticker""",
+        "statements_long",
+    ),
+    "scenario_scores": with_tables(
+        """select 'filing' as scenario, count(*) as rows, count(*) as normalised, count(*) as plausible from filings union all
+        select unnest(["""
+        + ", ".join(f"'{p[0]}'" for p in lookup.PRESETS)
+        + "]), 1, 1, 1",
+        "filings",
+    ),
     "feature_importance": f"select {len(FILING_FEATURES)}::bigint as features, true as sum_is_one, {len(FILING_FEATURES)}::bigint as known",
     **{
         q: with_tables(
@@ -381,6 +500,7 @@ ORACLES = {
             "train_boost": ["boost_a"],
             "train_gbt": ["one_vs_rest"],
             "train_cascade": ["threshold 0.40", "threshold 0.50"],
+            "train_without_rule_inputs": [",".join(n for n in LIVE_FEATURES if n not in RULE_INPUTS)],
         }.items()
     },
 }

@@ -36,7 +36,7 @@ def topk_attributions(spark, d):
 
 
 def attribution_ranking(spark, d):
-    return rp.attribution_ranking(tables.attributions(spark, d)).withColumn("mean_abs_phi", F.round("mean_abs_phi", 6))
+    return rp.item_ranking(tables.scored_filings(spark, d)).withColumn("mean_abs_phi", F.round("mean_abs_phi", 6))
 
 
 def risk_factors(spark, d):

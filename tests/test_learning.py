@@ -14,10 +14,12 @@ from solvens.ml.attribution import attribute, base_values, ensemble_leaves, expe
 from solvens.ml.boosting import SoftmaxBoost, SoftmaxBoostModel
 from solvens.ml.histogram import HistogramBoost
 from solvens.ml.evaluation import MacroF1Evaluator
-from solvens.ml.scoring import Registry, score_statements
+from solvens.ml.scoring import Registry, explained_statements, live_reports, score_statements
+from solvens.operators.features import Terms
 from solvens.operators.neighbours import distinct_points, nearest_points, neighbour_slots
 from solvens.operators.preprocessing import features_vector
 from solvens.operators.resampling import smote
+from solvens.schemas import CLASS_NAMES
 from solvens.session import scratch_path
 
 COLUMNS = ["a", "b", "c"]
@@ -154,7 +156,7 @@ def test_attributions_add_up(spark, vectors, boosted):
 
 
 def test_cascade_saves_and_scores(spark, table):
-    cascade = training.train_cascade(table, COLUMNS, balance="weights", rounds=2, depth=3, step=0.5)
+    cascade = training.train_cascade(table, COLUMNS, balance="weights", rounds=2, depth=3, step=0.5, terms=TERMS)
     path = scratch_path(spark, "cascade")
     cascade.save(spark, path)
     again = training.Cascade.load(spark, path)
@@ -174,20 +176,98 @@ def test_registry_aligns_and_explains_unknown_names(spark, table):
         registry.score("none", table)
 
 
-def test_statements_are_scored_end_to_end(spark):
+STATEMENT_FEATURES = ["Sales", "Interest_Coverage", "Debt_to_Equity"]
+
+
+def _live_case(spark):
     import datetime
 
-    features = ["Sales", "Interest_Coverage", "Debt_to_Equity"]
     rng = random.Random(1)
     train = spark.createDataFrame(
         [(f"r{i}", i % 4, 10.0 * i, (i % 4) - 1.0 + rng.random(), 3.0 - i % 4) for i in range(80)],
         "row_id string, target int, Sales double, Interest_Coverage double, Debt_to_Equity double",
     )
-    model = training.train_model("boost_b", train, features, overrides={"rounds": 2, "max_depth": 2})
+    model = training.train_model("boost_b", train, STATEMENT_FEATURES, overrides={"rounds": 4, "max_depth": 3})
     day = datetime.date(2024, 3, 31)
     rows = [("T", "income", "annual", "Total Revenue", day, 5e9), ("T", "balance", "annual", "Total Debt", day, 1e9)]
+    rows += [("U", "income", "annual", "Operating Income", day, -9e9), ("U", "balance", "annual", "Stockholders Equity", day, 1e7)]
+    # A ticker without a balance sheet gets no report.
+    rows += [("V", "income", "annual", "Total Revenue", day, 1e9)]
     landed = spark.createDataFrame(rows, "ticker string, statement string, freq string, line_item string, period date, value double")
-    assert score_statements(landed, model, features).select("ticker", "prediction").count() == 1
+    return model, landed
+
+
+def test_statements_are_scored_end_to_end(spark):
+    model, landed = _live_case(spark)
+    assert sorted(r.ticker for r in score_statements(landed, model, STATEMENT_FEATURES).select("ticker").collect()) == ["T", "U"]
+
+
+def test_live_reports_explain_by_the_scoring_model(spark):
+    model, landed = _live_case(spark)
+    rows = {r.ticker: r for r in explained_statements(landed, model, STATEMENT_FEATURES).collect()}
+    scored = model.model.margins(score_statements(landed, model, STATEMENT_FEATURES)).collect()
+    base = base_values(model.model, spark)
+    assert len(scored) == len(rows) == 2
+    for r in scored:
+        own = rows[r.ticker]
+        assert own.explained == r.pred and [i.feature for i in own["items"]] == STATEMENT_FEATURES
+        assert base[r.pred] + sum(i.phi for i in own["items"]) == pytest.approx(r[f"margin_{r.pred}"], abs=1e-9)
+    reports = live_reports(landed, model, STATEMENT_FEATURES).collect()
+    assert {r.ticker for r in reports} == {"T", "U"}
+    for r in reports:
+        assert r.prediction in CLASS_NAMES and r.prediction == CLASS_NAMES[rows[r.ticker].explained] and len(r.snapshot) == 6
+    assert live_reports(landed.limit(0), model, STATEMENT_FEATURES).count() == 0
+
+
+TERMS = Terms(quotients={"a_by_b": ("a", "b")}, products={"b_times_c": ("b", "c")})
+
+
+def test_engineered_terms_reach_the_models(spark, table):
+    holes = table.withColumn("a", F.when(F.col("row_id") != "r0", F.col("a")))
+    model = training.train_model("boost_b", holes, COLUMNS, overrides={"rounds": 2, "max_depth": 3}, terms=TERMS)
+    assert model.prepared.inputs == [*COLUMNS, "num_negative", "num_zero", "mean_ratio", "std_ratio", "median_ratio", "a_by_b", "b_times_c"]
+    rows = model.prepared.transform(holes).select("a", "b", "c", vector_to_array("features").alias("x")).limit(50).collect()
+    for r in rows:
+        v = np.array([r.a, r.b, r.c])
+        want = [(v < 0).sum(), (v == 0).sum(), v.mean(), r.x[6], np.median(v), r.a / (abs(r.b) + 1e-4), r.b * r.c]
+        assert r.x[3:] == pytest.approx([float(w) for w in want])
+    path = scratch_path(spark, "engineered")
+    model.save(spark, path)
+    again = training.Trained.load(spark, path)
+    assert again.prepared.terms == TERMS
+    assert model.score(holes).select("row_id", "probs").exceptAll(again.score(holes).select("row_id", "probs")).count() == 0
+    scaled = training.Prepared.fit(holes, COLUMNS, scaled=True, terms=TERMS)
+    means = scaled.table(holes).agg(*[F.avg(c) for c in scaled.inputs]).first()
+    assert list(means) == pytest.approx([0.0] * len(scaled.inputs), abs=1e-9)
+
+
+def test_rounds_of_a_grid_come_from_one_run(spark, table):
+    grid = {"rounds": [1, 3], "max_depth": [2, 3]}
+    points = training.grid_points(grid)
+    assert training.staged_points("boost_a", points) == [[0, 2], [1, 3]]
+    assert training.staged_points("random_forest", points) == [[0], [1], [2], [3]]
+    folds = training.prepare_folds("boost_a", table, COLUMNS)
+    staged = training.staged_out_of_fold("boost_a", folds, "target", [points[0], points[2]]).cache()
+    for stage, p in enumerate([points[0], points[2]]):
+        alone = training.out_of_fold("boost_a", folds, "target", p)
+        assert staged.filter(F.col("stage") == stage).drop("stage").exceptAll(alone).count() == 0
+    best, scores, model = training.grid_search("boost_b", table, COLUMNS, grid)
+    got = {r.point: r.macro_f1 for r in scores.collect()}
+    assert sorted(got) == [0, 1, 2, 3] and {r.rows for r in scores.collect()} == {table.count()}
+    assert best == points[max(got, key=lambda i: (got[i], -i))]
+    assert len(model.model.trees[0]) == best["rounds"]
+
+
+def test_result_table_holds_averages_classes_and_importances(spark, table):
+    fitted = [training.train_model(n, table, COLUMNS, overrides=o) for n, o in (("logistic_regression", {"max_iter": 20}), ("random_forest", {"trees": 3, "depth": 3}), ("boost_b", {"rounds": 2, "max_depth": 2}))]
+    predictions = training.held_out_predictions(fitted, table)
+    rows = training.result_table(predictions, fitted).collect()
+    for m in fitted:
+        own = [r for r in rows if r.model == m.name]
+        assert sum(r.value for r in own if r.section == "importance") == pytest.approx(1.0)
+        hits = predictions.filter((F.col("model") == m.name) & (F.col("pred") == F.col("target"))).count()
+        assert next(r.value for r in own if r.entry == "accuracy") == pytest.approx(hits / table.count())
+        assert sum(r.value for r in own if r.section == "class support") == table.count()
 
 
 def test_presets_cover_both_runs():

@@ -327,3 +327,27 @@ def test_lookups(spark):
     assert [r.company for r in found] == ["a"]
     assert lookup.seeded_sample(df, 2, ["year"]).count() == 2
     assert lookup.scenario_vectors(lookup.presets(spark), ["scenario"]).count() == 4
+
+
+def test_item_ranking_equals_the_ranking_of_exploded_rows(spark):
+    rows = [
+        ("a", [("x", 1.0), ("y", -3.0), ("z", None)]),
+        ("b", [("x", -2.0), ("y", 0.5), ("z", 4.0)]),
+        ("c", [("z", 2.0), ("x", None)]),
+        ("d", []),
+        ("e", None),
+    ]
+    df = spark.createDataFrame(rows, "id string, items array<struct<feature:string,phi:double>>")
+    got = [tuple(r) for r in reporting.item_ranking(df).collect()]
+    assert got == [tuple(r) for r in reporting.attribution_ranking(df.select(F.inline("items"))).collect()]
+    assert [r[0] for r in got] == ["z", "y", "x"]
+    assert reporting.item_ranking(df.limit(0)).count() == 0
+
+
+def test_stage_counts_of_rows_that_vanish_and_double(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 1), ("b", 0)], "k string, n int")
+    stages = {"raw": (F.lit(1), 2), "copied": (F.col("n"), 3)}
+    got = {r.stage: (r.rows, r.columns) for r in cleaning.stage_counts(df, stages, {"unique": ("copied", ["k"], 3)}).collect()}
+    assert got == {"raw": (4, 2), "copied": (4, 3), "unique": (2, 3)}
+    empty = {r.stage: r.rows for r in cleaning.stage_counts(df.limit(0), stages, {"unique": ("copied", ["k"], 3)}).collect()}
+    assert set(empty.values()) == {0}
