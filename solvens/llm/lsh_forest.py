@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from solvens.llm.common import SPACE_TABLE, fresh_name, give_back, mix, split_by_keys, text_bytes, word_bounds, word_hashes
 from solvens.llm.components import components
-from solvens.llm.ngram_join import Limit, joined_components
+from solvens.llm.ngram_join import Limit, joining_links
 from solvens.session import materialise
 
 SHINGLE = 5
@@ -240,7 +240,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if crowd.limit(1).count():
         known = crowd.join(root("rep"), "rep", "left").select(F.col("rep").alias("doc_id"), F.coalesce("rep_root", "rep").alias("root"))
         dense = materialise(texts.join(crowd, "rep", "left_semi").withColumnRenamed("rep", "doc_id"), "dense")
-        across = materialise(joined_components(dense, Limit(SHINGLE, NUMERATOR), materialise(known, "known")), "links")
+        across = materialise(joining_links(dense, Limit(SHINGLE, NUMERATOR), materialise(known, "known")), "links")
         found = components(found.unionByName(across))
     member = marks.select("doc_id", "n_shingles", "digest")
     out = member.join(classes.select(F.col("digest").alias("_d"), "rep"), F.col("digest") == F.col("_d"), "left")

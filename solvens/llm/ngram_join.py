@@ -288,8 +288,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, limit: Limit)
     return summed.where(reached).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def class_components(docs: DataFrame, marks: DataFrame, limit: Limit, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The classes (digest, node, rep, n) and (u, v): each node that isn't the smallest of its component, with that one.
+def class_links(docs: DataFrame, marks: DataFrame, limit: Limit, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The classes (digest, node, rep, n), (u, v) of the components found by heads, and (u, v) of the links between those.
 
     ``known`` (doc_id, root) names components found elsewhere: pairs inside one are not looked at, and they become part of the result.
     """
@@ -328,18 +328,23 @@ def class_components(docs: DataFrame, marks: DataFrame, limit: Limit, known: Dat
     flags = {"asks": F.col("tag").bitwiseAND(ASKS) > 0, "frequent": F.col("tag").bitwiseAND(FREQUENT) > 0}
     rooted = shared.join(of, F.col("node") == F.col("_n")).withColumns(flags).drop("_n", "tag", "head")
     rest = materialise(_between_components(rooted, limit).join(star, ["a", "b"], "left_anti"), "pairs")
-    more = materialise(_linked(rest, docs, classes, limit), "links")
+    return classes, found, materialise(_linked(rest, docs, classes, limit), "links")
+
+
+def class_components(docs: DataFrame, marks: DataFrame, limit: Limit) -> tuple[DataFrame, DataFrame]:
+    """The classes (digest, node, rep, n) and (u, v): each node that isn't the smallest of its component, with that one."""
+    classes, found, more = class_links(docs, marks, limit)
     if more.limit(1).count():
         found = components(found.unionByName(more))
     return classes, found
 
 
-def joined_components(docs: DataFrame, limit: Limit, known: DataFrame) -> DataFrame:
-    """u, v: links between the components ``known`` (doc_id, root) of ``docs`` (doc_id, text), as pairs of ids: each class with the smallest of its new component."""
+def joining_links(docs: DataFrame, limit: Limit, known: DataFrame) -> DataFrame:
+    """u, v: pairs of ids that join the components ``known`` (doc_id, root) of ``docs`` (doc_id, text) wherever texts link across them."""
     marked = materialise(docs.mapInArrow(_mark(limit), MARKS), "marks")
-    classes, found = class_components(docs, marked, limit, known)
+    classes, found, more = class_links(docs, marked, limit, known)
     rep = classes.select("node", "rep")
-    pairs = found.join(rep.withColumnsRenamed({"node": "u", "rep": "_u"}), "u").join(rep.withColumnsRenamed({"node": "v", "rep": "_v"}), "v")
+    pairs = found.unionByName(more).join(rep.withColumnsRenamed({"node": "u", "rep": "_u"}), "u").join(rep.withColumnsRenamed({"node": "v", "rep": "_v"}), "v")
     return pairs.select(F.col("_u").alias("u"), F.col("_v").alias("v"))
 
 
