@@ -145,17 +145,22 @@ def unpack_text(packed: bytes, n_bytes: int) -> np.ndarray:
     return np.frombuffer(pa.Codec(CODEC).decompress(packed, n_bytes, asbytes=True), np.uint8)
 
 
-def _grams(unit: Unit):
-    """gram, uid, n: each gram that is an anchor of a document, once a document."""
+GRAM_ROWS = "unit long, gram long, uid long, n long"
+
+
+def _grams(units: tuple[Unit, ...]):
+    """unit, gram, uid, n: each gram that is an anchor of a document, once a document and unit."""
 
     def run(batches):
         for batch in batches:
-            keys, owners, counts = [], [], []
+            kinds, keys, owners, counts = [], [], [], []
             for uid, text in zip(batch.column("uid").to_pylist(), _texts(batch.column("text")), strict=True):
-                own, n = np.unique(anchors(unit.cells(text), unit)[1], return_counts=True)
-                keys.append(own), owners.append(np.full(len(own), uid)), counts.append(n)
+                for k, unit in enumerate(units):
+                    if len(text) >= unit.least_bytes:
+                        own, n = np.unique(anchors(unit.cells(text), unit)[1], return_counts=True)
+                        kinds.append(np.full(len(own), k)), keys.append(own), owners.append(np.full(len(own), uid)), counts.append(n)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, owners, counts)], names=["gram", "uid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (kinds, keys, owners, counts)], names=["unit", "gram", "uid", "n"])
         give_back()
 
     return run
@@ -414,18 +419,26 @@ def with_uid(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def repeated_spans(rows: DataFrame, unit: Unit = BYTES) -> tuple[DataFrame, DataFrame]:
-    """(uid, spans) of the documents of ``rows`` (see ``with_uid``) that hold repeated cells, spans as begin and end in cells, any order and
-    overlapping; and (uid, n_bytes, packed) of all documents that were looked at closely."""
-    long_ = rows.where(F.octet_length("text") >= unit.least_bytes).select("uid", "text")
-    grams = long_.mapInArrow(_grams(unit), "gram long, uid long, n long")
-    twice = grams.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select(F.col("gram").alias("_g"))
+def repeated_spans(rows: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> tuple[list[DataFrame], DataFrame]:
+    """(uid, spans) of the documents of ``rows`` (see ``with_uid``) that hold repeated cells, for each unit, spans as begin and end in cells, any order and
+    overlapping; and (uid, n_bytes, packed) of all documents that were looked at closely.  All units share the passes over the texts."""
+    long_ = rows.where(F.octet_length("text") >= min(unit.least_bytes for unit in units)).select("uid", "text")
+    grams = materialise(long_.mapInArrow(_grams(units), GRAM_ROWS), "grams")
+    twice = grams.groupBy("unit", "gram").agg(F.sum("n").alias("all")).where("all > 1").select(F.col("unit").alias("_k"), F.col("gram").alias("_g"))
     # Grams of a document: as many as its length allows.
-    shared = grams.join(twice, F.col("gram") == F.col("_g"), "left_semi").groupBy("uid").agg(F.collect_set("gram").alias("grams"))
+    wanted = F.array(*(F.collect_set(F.when(F.col("unit") == k, F.col("gram"))) for k in range(len(units))))
+    shared = grams.join(twice, (F.col("unit") == F.col("_k")) & (F.col("gram") == F.col("_g")), "left_semi").groupBy("uid").agg(wanted.alias("grams"))
     shared = materialise(shared, "shared")
     near, _ = split_by_keys(long_, F.col("uid"), shared.select("uid"))
     texts = near.mapInArrow(_packed, "uid long, n_bytes long, packed binary").withColumnRenamed("uid", "_u")
     close = materialise(texts.join(shared, F.col("_u") == F.col("uid")).select("uid", "n_bytes", "packed", "grams"), "close")
+    one_each = close.dropDuplicates(["uid"]).drop("grams")
+    own = (close.withColumn("grams", F.col("grams")[k]).where(F.size("grams") > 0) for k in range(len(units)))
+    return [_spans(of, one_each, unit) for of, unit in zip(own, units, strict=True)], one_each
+
+
+def _spans(close: DataFrame, one_each: DataFrame, unit: Unit) -> DataFrame:
+    """(uid, spans) of the documents of ``close`` (uid, n_bytes, packed, grams) by one unit."""
     places = materialise(close.mapInArrow(_occurrences(unit), OCCURRENCES), "places")
 
     contexts = places.groupBy("gram", "digest").agg(
@@ -435,7 +448,6 @@ def repeated_spans(rows: DataFrame, unit: Unit = BYTES) -> tuple[DataFrame, Data
     groups = contexts.groupBy(F.col("gram").alias("_g")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
     open_ = contexts.join(groups.where("m > 1 and least = 1"), F.col("gram") == F.col("_g"))
     asked = open_.groupBy(F.col("giver").alias("_u")).agg(F.collect_list(F.struct("gram", "digest", "n", "m")).alias("asked"))
-    one_each = close.dropDuplicates(["uid"]).drop("grams")
     given = materialise(one_each.join(asked, F.col("uid") == F.col("_u")).select("n_bytes", "packed", "asked").mapInArrow(_give(unit), CONTEXTS), "given")
     buckets = max(1, math.ceil(given.count() / BUCKET))
     compared = given.where("not alone").groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket")).applyInArrow(_compare(unit), REPEATS)
@@ -445,12 +457,14 @@ def repeated_spans(rows: DataFrame, unit: Unit = BYTES) -> tuple[DataFrame, Data
     found = found.groupBy(F.col("gram").alias("_g"), F.col("digest").alias("_d")).agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
     hit = places.join(found, (F.col("gram") == F.col("_g")) & (F.col("digest") == F.col("_d")))
     span = F.transform("places", lambda p: F.struct((p - F.col("to_left")).alias("a"), (p + F.col("to_right")).alias("b")))
-    spans = hit.select("uid", span.alias("s")).groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
-    return spans, one_each
+    # A set of lists, because a set of spans would compare each with each.
+    return hit.select("uid", span.alias("s")).groupBy("uid").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
 def runs(spans: np.ndarray) -> np.ndarray:
     """Maximal runs of the union of spans (n, 2): touching ones are one."""
+    if not len(spans):
+        return spans
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     reach = np.maximum.accumulate(spans[:, 1])
     first = np.r_[True, spans[1:, 0] > reach[:-1]]
@@ -467,20 +481,23 @@ def kept_mask(n_bytes: int, found: np.ndarray) -> np.ndarray:
 CUT = "_u long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _cut(with_text: bool, units: tuple[Unit, ...]):
+def _cut(units: tuple[Unit, ...], counted: int):
+    """What the first ``counted`` units cut, in numbers and as a digest, and the text that all of them leave."""
+
     def run(batches):
         for batch in batches:
             rows = []
             for uid, n, packed, spans in zip(*(batch.column(c).to_pylist() for c in ("uid", "n_bytes", "packed", "spans")), strict=True):
                 text = unpack_text(packed, n)
                 of_units = [np.array([(s["a"], s["b"]) for own in spans if own["unit"] == k for s in own["spans"]], np.int64).reshape(-1, 2) for k in range(len(units))]
-                found = runs(np.concatenate([unit.in_bytes(text, own) for unit, own in zip(units, of_units, strict=True)]))
+                of_units = [unit.in_bytes(text, own) for unit, own in zip(units, of_units, strict=True)]
+                found = runs(np.concatenate(of_units[:counted]))
                 keep = kept_mask(n, found)
                 digest = hashlib.sha256(text[keep].tobytes()).hexdigest()
-                if with_text:  # a character goes only if all its bytes do
-                    lead = (text & 0xC0) != 0x80
-                    keep = np.logical_or.reduceat(keep, np.flatnonzero(lead)).repeat(np.diff(np.r_[np.flatnonzero(lead), n])) if n else keep
-                rows.append((uid, int((found[:, 1] - found[:, 0]).sum()), len(found), digest, text[keep].tobytes() if with_text else None))
+                keep &= kept_mask(n, runs(np.concatenate(of_units)))
+                lead = (text & 0xC0) != 0x80  # a character goes only if all its bytes do
+                keep = np.logical_or.reduceat(keep, np.flatnonzero(lead)).repeat(np.diff(np.r_[np.flatnonzero(lead), n])) if n else keep
+                rows.append((uid, int((found[:, 1] - found[:, 0]).sum()), len(found), digest, text[keep].tobytes()))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_u", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -488,28 +505,26 @@ def _cut(with_text: bool, units: tuple[Unit, ...]):
     return run
 
 
-def _changes(rows: DataFrame, with_text: bool, units: tuple[Unit, ...]) -> DataFrame:
+def _changes(rows: DataFrame, units: tuple[Unit, ...], counted: int) -> DataFrame:
     """What is cut from each document that repeats something by any of ``units``, by ``_u``."""
-    found = [repeated_spans(rows, unit) for unit in units]
-    spans = reduce(DataFrame.unionByName, [own.select("uid", F.struct(F.lit(k).alias("unit"), "spans").alias("s")) for k, (own, _) in enumerate(found)])
-    texts = reduce(DataFrame.unionByName, [own for _, own in found])
+    found, texts = repeated_spans(rows, units)
+    spans = reduce(DataFrame.unionByName, [own.select("uid", F.struct(F.lit(k).alias("unit"), "spans").alias("s")) for k, own in enumerate(found)])
     if len(units) > 1:
-        texts = texts.dropDuplicates(["uid"])
         spans = spans.groupBy(F.col("uid").alias("_s")).agg(F.collect_list("s").alias("spans"))
     else:
         spans = spans.select(F.col("uid").alias("_s"), F.array("s").alias("spans"))
     both = spans.join(texts, F.col("_s") == F.col("uid"))
-    return both.select("uid", "n_bytes", "packed", "spans").mapInArrow(_cut(with_text, units), CUT)
+    return both.select("uid", "n_bytes", "packed", "spans").mapInArrow(_cut(units, counted), CUT)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: tuple[Unit, ...] = (BYTES,), besides: tuple[Unit, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of every row.
 
     ``text`` is what is left, in whole characters: of a character that is cut in part, all bytes stay.  ``kept_sha256`` is of the bytes left.
-    Only rows that may have changed move.
+    What repeats by ``besides`` is cut out of ``text`` too, but not counted in the columns before it.  Only rows that may have changed move.
     """
     rows = with_uid(docs, id_col, text_col)
-    changes = materialise(_changes(rows, True, units), "changes")
+    changes = materialise(_changes(rows, units + besides, len(units)), "changes")
     near, rest = split_by_keys(rows, F.col("uid"), changes.select("_u"))
     raw = F.coalesce("text", F.lit("")).cast("binary")
     none = F.lit(0).cast("long")
@@ -534,7 +549,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A character goes only if all its bytes are cut.  ``chars_col``, if there is one, becomes the length of texts that changed.
     """
     own, kept = fresh_name(docs, "_u"), fresh_name(docs, "_kept")
-    changes = _changes(with_uid(docs, id_col, text_col), True, units).select(F.col("_u").alias(own), F.col("kept").cast("string").alias(kept))
+    changes = _changes(with_uid(docs, id_col, text_col), units, len(units)).select(F.col("_u").alias(own), F.col("kept").cast("string").alias(kept))
     changes = materialise(changes, "changes")
     uid = F.xxhash64(F.col(id_col), F.col(text_col))
     near, rest = split_by_keys(docs, uid, changes.select(own))

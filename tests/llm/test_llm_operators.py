@@ -332,6 +332,24 @@ def test_passages_of_more_than_50_words(spark, rows, monkeypatch):
     assert short[0] in staged[600] and staged[610].split() == by_id[610].split() and staged[700] == ""
 
 
+def test_op8_text_without_short_passages(spark, rows, tmp_path):
+    """Passages of more than 50 words, but of less than 400 bytes, go from the text; the contract's columns count 400 bytes only."""
+    rng = random.Random(19)
+    short = [" ".join("abcdefgh"[rng.randrange(8)] * rng.randint(1, 5) for _ in range(n)) for n in (50, 51, 60)]
+    docs = list({i: (i, t) for i, t in rows if i is not None and i != 507}.values())
+    docs += [(600 + 10 * k + i, f"{words(rng, 9)} {p} {words(rng, 9)}") for k, p in enumerate(short) for i in range(2)]
+    documents(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    texts = [(t or "").encode() for _, t in docs]
+    for (i, t), text, passages, expected in zip(docs, texts, brute_words(texts, 51), brute_spans(texts, suffix_dedup.LENGTH), strict=True):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected
+        if not r.n_removed and text.isascii():
+            assert r.text.encode() == passages
+    assert len(got) == len(docs) and short[0] in got[600].text
+    assert all(got[i].n_removed == 0 and len(got[i].text.split()) == 18 for i in (610, 611, 620, 621))
+
+
 def test_windows_counted_one_by_one(spark, rows):
     """The way for grams of very many contexts finds what the sort finds."""
     texts = [(t or "").encode() for _, t in rows if t and len(t) > 400 and len(t) < 5000]
