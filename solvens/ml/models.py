@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 
 from solvens.ml.histogram import HistogramBoost
+from solvens.ml.regression import NewtonRegression
 
 # Spark limits tree depth to 30; "unlimited" is mapped to it.
 UNLIMITED_DEPTH = 30
@@ -60,7 +61,7 @@ def logistic_regression(n_rows: int, C: float = 1.0, max_iter: int = 2000, featu
 
     Spark averages the loss over rows, so the strength is divided by their number.
     """
-    lr = LogisticRegression(
+    lr = NewtonRegression(
         featuresCol=features,
         labelCol=label,
         family="multinomial",
