@@ -65,3 +65,14 @@ def test_grid_points_share_their_preprocessing(rows, monkeypatch):
             fitted = Pipeline(stages=[Preprocess(columns=["a", "b", "c"], scaled=True), lr]).fit(plain.filter(F.col("fold") != f), {lr.regParam: reg})
             each.append(training.MacroF1Evaluator().evaluate(fitted.transform(plain.filter(F.col("fold") == f))))
         assert metric == pytest.approx(np.mean(each))
+
+
+def test_folds_are_prepared_side_by_side(rows, monkeypatch):
+    """Each fold waits for another one: one after the other they would never end."""
+    import threading
+
+    met = threading.Barrier(3, timeout=60)
+    inner = training.Prepared.fit
+    monkeypatch.setattr(training.Prepared, "fit", staticmethod(lambda *a, **kw: (met.wait(), inner(*a, **kw))[1]))
+    folds = training.prepare_folds("logistic_regression", rows.drop("features"), ["a", "b", "c"])
+    assert [f.fold for f in folds] == [0, 1, 2] and sum(f.valid.count() for f in folds) == 900
