@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from solvens.ml.attribution import base_values, tree_attributions
 from solvens.ml.histogram import HistogramBoost, HistogramBoostModel
 from solvens.ml.training import features_vector
@@ -114,3 +115,30 @@ def test_odd_input(spark, vectors):
     flat = spark.createDataFrame([(0, [1.0, None]), (1, [1.0, float("nan")]), (1, [1.0, 2.0])], "target int, features array<double>")
     model = HistogramBoost(rounds=2, classes=2).fit(flat)
     assert all(sum(r.probs) == pytest.approx(1.0) for r in model.transform(flat).collect())
+
+
+def test_vectors_become_a_matrix_at_once():
+    """Row by row this took most of the time of scoring."""
+    import time
+
+    import pandas as pd
+
+    from solvens.ml.histogram import _padded
+
+    odd = _padded(pd.Series([np.array([1.0, 2.0]), np.array([3.0]), np.array([None, 4.0, 5.0], dtype=object)]), 4)
+    assert np.array_equal(odd, [[1, 2, np.nan, np.nan], [3, np.nan, np.nan, np.nan], [np.nan, 4, 5, np.nan]], equal_nan=True)
+    many = pd.Series(list(np.random.default_rng(1).normal(size=(20_000, 18))))
+    start = time.process_time()
+    assert np.array_equal(_padded(many, 18), np.stack(many.to_list()))
+    assert time.process_time() - start < 0.3
+
+
+def test_blocks_hold_all_rows_in_their_order(spark):
+    from solvens.ml.blocks import blocks
+
+    rows = spark.range(10_000, numPartitions=3).select(F.array(F.col("id").cast("double"), F.when(F.col("id") % 5 > 0, 1.0)).alias("x"), F.col("id").cast("int").alias("y"))
+    got = blocks(rows, "x", {"y": F.col("y")}, 1_000).collect()
+    assert max(len(y) for _, y in got) <= 1_000 and len(got) <= 12
+    assert np.array_equal(np.concatenate([y for _, y in got]), np.arange(10_000))
+    x = np.concatenate([x for x, _ in got])
+    assert np.array_equal(x[:, 0], np.arange(10_000)) and np.isnan(x[:, 1]).sum() == 2_000
